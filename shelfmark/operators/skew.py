@@ -1,0 +1,36 @@
+"""Joins that hold when one key has a large share of the rows."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Sides of at most this many narrow rows are sent to every executor.
+BROADCAST_ROWS = 200_000
+# A key with more than this share of the rows is hot, so there are at most 1,000 hot keys.
+HOT_SHARE = 0.001
+HOT_PARTS = 64
+
+
+def has_at_most(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a frame is that small; reads no more than one row beyond it."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def spread_join(
+    large: DataFrame, small: DataFrame, key: str, spread_by: str, counts: DataFrame | None = None
+) -> DataFrame:
+    """Inner join in which few keys may cover most rows of the large side.
+
+    Rows of a hot key are cut into 64 parts by ``spread_by``, and the small side's rows
+    of that key are repeated for each part; all other keys are joined as they are.
+    ``counts`` (key, n) are the rows per key of the large side, if known.
+    """
+    if counts is None:
+        counts = large.groupBy(key).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).scalar()
+    hot = counts.filter(F.col("n") > total * HOT_SHARE).select(key, F.lit(True).alias("_hot"))
+    hot = F.broadcast(hot)
+    part = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(HOT_PARTS)).cast("int")).otherwise(F.lit(0))
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    left = large.join(hot, key, "left").withColumn("_part", part).drop("_hot")
+    right = small.join(hot, key, "left").withColumn("_part", F.explode(parts)).drop("_hot")
+    return left.join(right, [key, "_part"]).drop("_part")
