@@ -103,7 +103,7 @@ BM25_K1 = 1.2
 BM25_B = 0.75
 
 # What counts as white space and as a line end in text input.
-WHITESPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+WHITESPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]+"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 # Analysed terms are runs of letters, digits and underscores.
 NON_TERM = r"[^\p{L}\p{N}_]+"

@@ -26,7 +26,7 @@ def resolve_p95(jobs: DataFrame) -> DataFrame:
     """One row: the element at position max(floor(0.95 n), 1) of the sorted durations, in ms; 0 if none."""
     done = jobs.filter((F.col("state") == "done") & F.col("finished_at").isNotNull() & F.col("started_at").isNotNull())
     durations = done.select(micros_between("started_at", "finished_at").alias("us"))
-    picked = nth_smallest(durations, "us", F.greatest(F.floor(F.col("n") * 0.95), F.lit(1)))
+    picked = nth_smallest(durations, "us", "greatest(floor(n * 0.95D), 1)")
     return picked.select(F.coalesce(F.col("us") / 1000, F.lit(0.0)).alias("resolve_p95_ms"))
 
 

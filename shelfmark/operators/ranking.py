@@ -21,31 +21,26 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
-def nth_smallest(df: DataFrame, value: str, position: Column) -> DataFrame:
-    """The exact n-th smallest (from 1) of a bigint column, as one row with columns (n, value).
+def nth_smallest(df: DataFrame, value: str, position: str) -> DataFrame:
+    """The exact n-th smallest (from 1) of a bigint column, as one row; NULL if there are no values.
 
-    ``position`` is an expression over the column ``n``, the number of rows. Rows are
-    counted per distinct value first. The value is then found 16 bits at a time: each
-    step sorts at most 65,536 counts, whatever the number of rows.
+    ``position`` is SQL over ``n``, the number of values. Rows are counted per distinct
+    value first. The value is then found 22 bits at a time: each step sorts the counts of
+    at most 2^22 value ranges in one task, however many rows there are, and the next step
+    reads only the range that was hit.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    state = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")).select(
-        "n", position.cast("bigint").alias("want"), F.lit(None).cast("bigint").alias("prefix")
-    )
-    for shift in (48, 32, 16, 0):
-        digits = counts.select(F.shiftright("v", shift).alias("p"), "c")
-        if shift < 48:
-            wanted = state.select(F.col("prefix")).scalar()
-            digits = digits.filter(F.shiftright("p", 16) == wanted)
-        sums = digits.groupBy("p").agg(F.sum("c").alias("c"))
-        running = sums.select("p", "c", F.sum("c").over(Window.orderBy("p")).alias("upto"))
-        target = state.select("want").scalar()
-        hit = running.filter(F.col("upto") >= target).agg(
-            F.min("p").alias("prefix"), F.min_by(F.col("upto") - F.col("c"), "p").alias("below")
-        )
+    ordered, whole = Window.orderBy("p"), Window.partitionBy()
+    state = None
+    for shift in (44, 22, 0):
+        step = counts if state is None else counts.join(F.broadcast(state), F.shiftright("v", shift + 22) == state["prefix"])
+        carried = [] if state is None else ["want"]
+        sums = step.groupBy(F.shiftright("v", shift).alias("p"), *carried).agg(F.sum("c").alias("c"))
+        if state is None:
+            sums = sums.withColumn("n", F.sum("c").over(whole)).withColumn("want", F.expr(f"cast({position} as bigint)"))
+        upto = sums.withColumn("upto", F.sum("c").over(ordered))
+        hit = upto.filter((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("c") < F.col("want")))
         state = hit.select(
-            state.select("n").scalar().alias("n"),
-            (target - F.col("below")).alias("want"),
-            F.col("prefix"),
+            F.col("p").alias("prefix"), (F.col("want") - (F.col("upto") - F.col("c"))).alias("want")
         )
-    return state.select("n", F.col("prefix").alias(value))
+    return state.agg(F.max("prefix").alias(value))

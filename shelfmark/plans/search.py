@@ -174,9 +174,8 @@ def _holding_words(words: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def _joined_scores(corpus: DataFrame, tokens: DataFrame) -> DataFrame:
-    postings = corpus.select(
-        "dataset_id", F.explode(F.array_distinct(X.whitespace_tokens("content"))).alias("word")
-    )
+    words_of = F.array_distinct(X.whitespace_tokens("content"))
+    postings = corpus.select("dataset_id", F.explode_outer(words_of).alias("word")).filter("word is not null")
     words = postings.groupBy("word").agg(F.count("*").alias("n"))
     holds = _holding_words(words, tokens.select("token").distinct())
     pairs = spread_join(postings, holds, "word", "dataset_id", words).select("dataset_id", "token").distinct()
@@ -221,16 +220,22 @@ def build_term_index(corpus: DataFrame, only: DataFrame | None = None) -> TermIn
     an index for a single batch most of its shuffle.
     """
     analysed = corpus.select("dataset_id", X.terms("content").alias("terms"))
-    found = analysed.select("dataset_id", F.size("terms").alias("doc_len"), F.explode("terms").alias("term"))
+    # explode_outer, as explode would analyse every text twice: once in a filter for
+    # empty lists that the optimizer adds below it.
+    found = analysed.select("dataset_id", F.size("terms").alias("doc_len"), F.explode_outer("terms").alias("term"))
+    distinct = analysed.select(F.explode_outer(F.array_distinct("terms")).alias("term"))
     if only is not None:
         wanted = asked_terms(only).select("term").distinct()
-        found = found.join(F.broadcast(wanted) if has_at_most(wanted) else wanted, "term", "left_semi")
+        wanted = F.broadcast(wanted) if has_at_most(wanted) else wanted
+        found, distinct = found.join(wanted, "term", "left_semi"), distinct.join(wanted, "term", "left_semi")
+    else:
+        found, distinct = found.filter("term is not null"), distinct.filter("term is not null")
     postings = (
         found.groupBy("dataset_id", "doc_len", "term")
         .agg(F.count("*").alias("tf"))
         .select("term", "dataset_id", "tf", "doc_len")
     )
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
+    terms = distinct.groupBy("term").agg(F.count("*").alias("df"))
     totals = analysed.agg(F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avg_len"))
     return TermIndex(postings, terms, totals)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import text as X
 from shelfmark.schemas import conform
+from shelfmark.session import fill_cores
 
 CATALOG_AS_OF = "2024-01-31 00:00:00"
 JOBS_AS_OF = "1998-01-01 00:00:00"
@@ -18,7 +19,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def datasets(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as catalog rows."""
-    documents = table(spark, folder, "documents").withColumn("tokens", X.token_count("text"))
+    documents = fill_cores(table(spark, folder, "documents")).withColumn("tokens", X.token_count("text"))
 
     def hours_back(hours: str) -> str:
         return f"timestamp_micros(unix_micros(timestamp'{CATALOG_AS_OF}') - {hours} * 3600000000)"

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from shelfmark.workload.registry import ORACLE, QUERIES
 
-for _part in ("search",):
+for _part in ("search", "dense", "health"):
     import_module(f"shelfmark.workload.{_part}")
 
 

@@ -170,14 +170,16 @@ SELECT s.id, score, f.dataset_id IS NOT NULL AS has_schema, title FROM scored s
 LEFT JOIN fresh f ON f.dataset_id = s.id ORDER BY score DESC, s.id LIMIT 30""")
 def search_bm25(spark, folder):
     corpus, datasets, artifacts = _tables(spark, folder)
-    hits = S.search_bm25(S.build_term_index(corpus), datasets, artifacts, RARE_QUERY)
+    asked = spark.createDataFrame([("", RARE_QUERY)], "query_id string, query string")
+    hits = S.search_bm25(S.build_term_index(corpus, asked), datasets, artifacts, RARE_QUERY)
     return hits.select("id", "score", "has_schema", "title")
 
 
 @query("search_bm25_batch", f"WITH {DATASETS}, {_POSTINGS}, {_bm25(_BENCH_TERMS)} {_BATCH_TOP}")
 def search_bm25_batch(spark, folder):
     corpus, datasets, _ = _tables(spark, folder)
-    return S.search_bm25_batch(S.build_term_index(corpus), datasets, _questions(spark, folder), 10)
+    asked = _questions(spark, folder)
+    return S.search_bm25_batch(S.build_term_index(corpus, asked), datasets, asked, 10)
 
 
 @query(
@@ -188,7 +190,8 @@ def search_bm25_batch(spark, folder):
 )
 def search_bm25_filtered(spark, folder):
     corpus, datasets, _ = _tables(spark, folder)
-    return S.search_bm25_batch(S.build_term_index(corpus), datasets, _questions(spark, folder), 10, FILTERS)
+    asked = _questions(spark, folder)
+    return S.search_bm25_batch(S.build_term_index(corpus, asked), datasets, asked, 10, FILTERS)
 
 
 @query("lookup_datasets", f"""WITH {DATASETS}, {SIGNALS}
