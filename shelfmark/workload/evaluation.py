@@ -14,9 +14,14 @@ from shelfmark.workload.registry import ARTIFACTS, DATASETS, SIGNALS, query
 from shelfmark.workload.search import _BATCH_TOP, _BENCH_TERMS, _POSTINGS, _bm25
 
 
-def results(spark, folder):
-    """Events as run results: a run per event type, a query per user, ten hits each."""
+def results(spark, folder, floor=None):
+    """Events as run results: a run per event type, a query per user, ten hits each.
+
+    An engine with a floor returns nothing below that value.
+    """
     events = V.table(spark, folder, "events")
+    if floor is not None:
+        events = events.filter(F.col("value") >= floor)
     order = Window.partitionBy("event_type", "user_id").orderBy(F.col("value").desc(), "event_id")
     ranked = events.withColumn("result_rank", F.row_number().over(order)).filter("result_rank <= 10")
     return conform(
@@ -84,9 +89,9 @@ metrics AS (
 _ROUNDED = ", ".join(f"round(CAST({m} AS DOUBLE), 6) AS {m}" for m in E.METRICS)
 
 
-def _metrics(spark, folder, asked=None):
+def _metrics(spark, folder):
     return E.query_metrics(
-        results(spark, folder), judgments(spark, folder), questions(spark, folder), runs(spark, folder), asked
+        results(spark, folder), judgments(spark, folder), questions(spark, folder), runs(spark, folder)
     )
 
 
@@ -102,21 +107,21 @@ def eval_metrics(spark, folder):
 
 @query(
     "eval_metrics_with_empty",
-    f"""WITH {_EVAL}, asked AS (SELECT DISTINCT event_type AS run_id, 'u' || custs.user_id AS query_id
-                               FROM (SELECT DISTINCT event_type FROM events), (SELECT DISTINCT user_id FROM events) custs)
+    f"""WITH {_EVAL.replace("AS i FROM ev)", "AS i FROM ev WHERE value >= 60)")},
+    asked AS (SELECT DISTINCT event_type AS run_id, query_id FROM ev)
     SELECT run_id, query_id, coalesce(n_results, 0) AS n_results,
            {", ".join(f"round(CAST(coalesce({m}, 0) AS DOUBLE), 6) AS {m}" for m in E.METRICS)}
     FROM asked LEFT JOIN metrics USING (run_id, query_id)""",
 )
 def eval_metrics_with_empty(spark, folder):
-    """Metrics where every run was asked every query, hits or not."""
-    asked_by = questions(spark, folder)
-    names = [r["id"] for r in runs(spark, folder).select("id").limit(1000).collect()]
-    asked = None
-    for name in names:
-        part = E.asked_queries(name, asked_by)
-        asked = part if asked is None else asked.unionByName(part)
-    return _rounded(_metrics(spark, folder, asked), E.METRICS).select("run_id", "query_id", "n_results", *E.METRICS)
+    """Metrics of an engine that finds nothing for some of the queries put to it."""
+    asked = V.table(spark, folder, "events").selectExpr(
+        "event_type as run_id", "concat('u', user_id) as query_id"
+    ).distinct()
+    metrics = E.query_metrics(
+        results(spark, folder, floor=60), judgments(spark, folder), questions(spark, folder), runs(spark, folder), asked
+    )
+    return _rounded(metrics, E.METRICS).select("run_id", "query_id", "n_results", *E.METRICS)
 
 
 _MEANS = "avg(ap) AS map, " + ", ".join(f"avg({m}) AS mean_{m}" for m in E.METRICS if m != "ap")

@@ -98,7 +98,7 @@ def mixed_rows(spark, folder):
          UNION ALL SELECT conv_id, turn, 0, 'gap', 'null', 'null' FROM conversations WHERE role <> 'user'),
        ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, name ORDER BY turn) AS n FROM cells)
        SELECT 'conv-' || conv_id AS dataset_id, name, arg_min(dtype, turn) AS dtype, bool_or(dtype = 'null') AS nullable,
-              min(turn) AS row_index, CAST(arg_min(pos, turn) AS INTEGER) AS pos,
+              CAST(min(turn) AS INTEGER) AS row_index, CAST(arg_min(pos, turn) AS INTEGER) AS pos,
               string_agg(example, ' ' ORDER BY turn) FILTER (n <= 3) AS examples
        FROM ranked GROUP BY conv_id, name""",
 )
