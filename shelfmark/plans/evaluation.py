@@ -126,25 +126,32 @@ def _total_relevant() -> Column:
     return F.when(given.isNull() | (given == 0), F.lit(1)).otherwise(given)
 
 
-def report_rows(results: DataFrame, judgments: DataFrame, queries: DataFrame) -> DataFrame:
-    """Per hit: judgment, running count of relevant hits and its terms of AP, DCG and ideal DCG.
+def _ranked(results: DataFrame, judgments: DataFrame) -> DataFrame:
+    """Judged hits with place, relevance and running count of relevant hits per run and query.
 
     A run keeps at most 50 hits per query (see run_eval), which bounds the window.
     """
-    totals = queries.select(F.col("id").alias("query_id"), "total_relevant")
-    rows = judged_results(results, judgments).join(totals, "query_id", "left")
-    rows = rows.withColumn("rel", F.coalesce(F.col("relevant").cast("int"), F.lit(0)))
     ordered = Window.partitionBy("run_id", "query_id").orderBy("result_rank")
     prefix = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("place", F.row_number().over(ordered)).withColumn("cum", F.sum("rel").over(prefix))
-    total = _total_relevant()
-    gain = F.lit(1.0) / F.log2(F.col("place") + F.lit(1.0))
-    return rows.select(
+    rows = judged_results(results, judgments).withColumn("rel", F.expr("if(coalesce(relevant, false), 1, 0)"))
+    return rows.withColumns({"place": F.row_number().over(ordered), "cum": F.sum("rel").over(prefix)})
+
+
+_TERMS = {
+    "p_at": "cum / place",
+    "ap_term": "rel * cum / place",
+    "dcg_term": "rel / log2(place + 1D)",
+}
+
+
+def report_rows(results: DataFrame, judgments: DataFrame, queries: DataFrame) -> DataFrame:
+    """Per hit: judgment, running count of relevant hits and its terms of AP, DCG and ideal DCG."""
+    totals = queries.select(F.col("id").alias("query_id"), _total_relevant().alias("total_relevant"))
+    rows = _ranked(results, judgments).join(totals, "query_id", "left")
+    return rows.selectExpr(
         "run_id", "query_id", "result_rank", "place", "dataset_id", "title", "extra", "relevant", "rel", "cum",
-        (F.col("cum") / F.col("place")).alias("p_at"),
-        (F.col("rel") * F.col("cum") / F.col("place")).alias("ap_term"),
-        (F.col("rel") * gain).alias("dcg_term"),
-        F.when(F.col("place") <= total, gain).otherwise(F.lit(0.0)).alias("idcg_term"),
+        *[f"{sql} as {name}" for name, sql in _TERMS.items()],
+        "if(place <= coalesce(total_relevant, 1), 1 / log2(place + 1D), 0D) as idcg_term",
     )
 
 
@@ -160,42 +167,41 @@ def query_metrics(
     A query without hits leaves no rows and so no metrics. With ``asked`` (see
     asked_queries) such queries count with zeros.
     """
-    rows = report_rows(results, judgments, queries)
-    sums = rows.groupBy("run_id", "query_id").agg(
+    sums = _ranked(results, judgments).groupBy("run_id", "query_id").agg(
         F.count("*").alias("n_results"),
         F.sum("rel").alias("found"),
-        F.min(F.when(F.col("rel") == 1, F.col("place"))).alias("first_rank"),
-        F.sum("ap_term").alias("ap_sum"),
-        F.sum("dcg_term").alias("dcg"),
-        F.sum("idcg_term").alias("idcg"),
+        F.expr("min(if(rel = 1, place, null))").alias("first_rank"),
+        F.expr(f"sum({_TERMS['ap_term']})").alias("ap_sum"),
+        F.expr(f"sum({_TERMS['dcg_term']})").alias("dcg"),
     )
     if asked is not None:
         sums = asked.select("run_id", "query_id").join(sums, ["run_id", "query_id"], "full_outer")
-    config = queries.select(F.col("id").alias("query_id"), "label", "query", "total_relevant")
-    joined = sums.join(config, "query_id", "left").join(
-        runs.select(F.col("id").alias("run_id"), "k"), "run_id"
+    config = queries.select(
+        F.col("id").alias("query_id"), "label", "query", _total_relevant().alias("total_relevant")
+    )
+    joined = sums.join(config, "query_id", "left").join(runs.select(F.col("id").alias("run_id"), "k"), "run_id")
+    base = joined.selectExpr(
+        "run_id", "query_id", "k", "found", "first_rank", "ap_sum", "dcg",
+        "coalesce(label, '') as label", "coalesce(query, '') as query",
+        "coalesce(total_relevant, 1) as total_relevant", "coalesce(n_results, 0) as n_results",
+    ).selectExpr(
+        "*",
+        "n_results > 0 and total_relevant > 0 as counts",
+        # The best ranking has its relevant hits on top; at most 50 places.
+        """if(n_results > 0 and total_relevant > 0,
+              aggregate(sequence(1L, least(n_results, bigint(total_relevant))), 0D, (sum, i) -> sum + 1 / log2(i + 1D)), 0D) as idcg""",
     )
-    total = F.col("total_relevant")
-    some = (F.coalesce("n_results", F.lit(0)) > 0) & (total > 0)
-    found = F.col("found")
-
-    def measured(value: Column) -> Column:
-        return F.when(some, F.coalesce(value, F.lit(0.0))).otherwise(F.lit(0.0))
-
-    base = joined.withColumn("total_relevant", _total_relevant()).select(
-        "run_id", "query_id",
-        F.coalesce("label", F.lit("")).alias("label"),
-        F.coalesce("query", F.lit("")).alias("query"),
-        "total_relevant",
-        F.coalesce("n_results", F.lit(0)).alias("n_results"),
-        measured(F.when(F.col("k") > 0, found / F.col("k"))).alias("precision"),
-        measured(found / total).alias("recall"),
-        measured(1 / F.col("first_rank")).alias("mrr"),
-        measured(F.col("ap_sum") / total).alias("ap"),
-        measured(F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg"))).alias("ndcg"),
+    measured = base.selectExpr(
+        "run_id", "query_id", "label", "query", "total_relevant", "n_results",
+        "if(counts and k > 0, found / k, 0D) as precision",
+        "if(counts, found / total_relevant, 0D) as recall",
+        "if(counts, coalesce(1 / first_rank, 0D), 0D) as mrr",
+        "if(counts, ap_sum / total_relevant, 0D) as ap",
+        "if(counts and idcg > 0, dcg / idcg, 0D) as ndcg",
+    )
+    return measured.withColumn(
+        "f1", F.expr("if(precision + recall > 0, 2 * precision * recall / (precision + recall), 0D)")
     )
-    p, r = F.col("precision"), F.col("recall")
-    return base.withColumn("f1", F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(F.lit(0.0)))
 
 
 def run_summaries(runs: DataFrame, metrics: DataFrame) -> DataFrame:
@@ -216,15 +222,16 @@ def run_detail(results: DataFrame, metrics: DataFrame, run_id: str) -> DataFrame
 
 
 def summary_with_mean(metrics: DataFrame) -> DataFrame:
-    """Metrics per run and query, and a MEAN row per run."""
-    detail = metrics.select("run_id", "query_id", "label", *METRICS)
-    mean = metrics.groupBy("run_id").agg(*[F.avg(m).alias(m) for m in METRICS]).select(
+    """Metrics per run and query, and a MEAN row per run, in one aggregation."""
+    keys = ["run_id", "query_id", "label"]
+    sets = metrics.groupingSets([[F.col(k) for k in keys], [F.col("run_id")]], *keys)
+    rows = sets.agg(F.grouping("query_id").alias("_mean"), *[F.avg(m).alias(m) for m in METRICS])
+    return rows.select(
         "run_id",
-        F.lit("MEAN").alias("query_id"),
-        F.lit("across all queries (MEAN of AP = MAP)").alias("label"),
+        F.when(F.col("_mean") == 1, "MEAN").otherwise(F.col("query_id")).alias("query_id"),
+        F.when(F.col("_mean") == 1, "across all queries (MEAN of AP = MAP)").otherwise(F.col("label")).alias("label"),
         *METRICS,
     )
-    return detail.unionByName(mean)
 
 
 def query_sheet(results: DataFrame, judgments: DataFrame, queries: DataFrame) -> DataFrame:

@@ -11,9 +11,11 @@ from shelfmark.operators.catalog import Filters, eligible_ids, fresh_artifact, s
 from shelfmark.operators.ranking import page, top_k
 from shelfmark.operators.skew import has_at_most, spread_join
 
-# A set of queries is looked up row by row up to these sizes, and joined beyond them.
+# Up to these sizes a set of queries is looked up in each text as it is scanned.
 SCAN_TOKENS = 256
 SCAN_QUERY_TOKENS = 4096
+# Of larger sets, short tokens are still looked up: they occur in most words and texts.
+SHORT_TOKEN = 3
 
 
 def best_first() -> list[Column]:
@@ -116,7 +118,25 @@ def batch_token_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     some = tokens.limit(SCAN_QUERY_TOKENS + 1).collect()
     if len(some) <= SCAN_QUERY_TOKENS and len({r["token"] for r in some}) <= SCAN_TOKENS:
         return _scan_scores(corpus, some)
-    return _joined_scores(corpus, tokens)
+    pairs = _token_pairs(corpus, tokens.select("token").distinct())
+    if has_at_most(tokens):
+        per_query = pairs.join(F.broadcast(tokens), "token")
+    else:
+        per_query = spread_join(pairs, tokens, "token", "dataset_id")
+    return per_query.groupBy("query_id", "dataset_id").agg(F.sum("times").alias("score"))
+
+
+def _found(tokens: list[str]) -> Column:
+    return F.filter(F.array(*[F.lit(t) for t in tokens]), lambda t: F.contains(F.col("content"), t))
+
+
+def _token_pairs(corpus: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(dataset_id, token) for every token that occurs in a text."""
+    short = tokens.filter(F.length("token") <= SHORT_TOKEN).orderBy(F.length("token"), "token").limit(SCAN_TOKENS)
+    looked_up = [r["token"] for r in short.collect()]
+    joined = _joined_pairs(corpus, tokens.filter(~F.col("token").isin(looked_up)))
+    scanned = corpus.select("dataset_id", F.explode_outer(_found(looked_up)).alias("token"))
+    return scanned.filter("token is not null").unionByName(joined) if looked_up else joined
 
 
 def _scan_scores(corpus: DataFrame, tokens: list) -> DataFrame:
@@ -159,7 +179,7 @@ def _holding_words(words: DataFrame, tokens: DataFrame) -> DataFrame:
     A token is looked for at each position of a word by its first (up to four)
     characters, then compared in full.
     """
-    lengths = [r[0] for r in tokens.select(F.least(F.length("token"), F.lit(4))).distinct().collect()]
+    lengths = [r[0] for r in tokens.select(F.least(F.length("token"), F.lit(4))).distinct().collect()] or [4]
     starts = F.array(*[F.substr("word", F.col("at"), F.lit(n)) for n in sorted(lengths)])
     keyed = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at")).select(
         "word", "at", F.explode(starts).alias("start")
@@ -173,17 +193,14 @@ def _holding_words(words: DataFrame, tokens: DataFrame) -> DataFrame:
     return met.filter(same).select("word", "token").distinct()
 
 
-def _joined_scores(corpus: DataFrame, tokens: DataFrame) -> DataFrame:
+def _joined_pairs(corpus: DataFrame, tokens: DataFrame) -> DataFrame:
+    # explode_outer, as explode would split every text twice: once in a filter for
+    # empty lists that the optimizer adds below it.
     words_of = F.array_distinct(X.whitespace_tokens("content"))
     postings = corpus.select("dataset_id", F.explode_outer(words_of).alias("word")).filter("word is not null")
     words = postings.groupBy("word").agg(F.count("*").alias("n"))
-    holds = _holding_words(words, tokens.select("token").distinct())
-    pairs = spread_join(postings, holds, "word", "dataset_id", words).select("dataset_id", "token").distinct()
-    if has_at_most(tokens):
-        per_query = pairs.join(F.broadcast(tokens), "token")
-    else:
-        per_query = spread_join(pairs, tokens, "token", "dataset_id")
-    return per_query.groupBy("query_id", "dataset_id").agg(F.sum("times").alias("score"))
+    holds = _holding_words(words, tokens)
+    return spread_join(postings, holds, "word", "dataset_id", words).select("dataset_id", "token").distinct()
 
 
 def search_tokens_batch(
@@ -220,8 +237,7 @@ def build_term_index(corpus: DataFrame, only: DataFrame | None = None) -> TermIn
     an index for a single batch most of its shuffle.
     """
     analysed = corpus.select("dataset_id", X.terms("content").alias("terms"))
-    # explode_outer, as explode would analyse every text twice: once in a filter for
-    # empty lists that the optimizer adds below it.
+    # explode_outer for the reason given in _joined_pairs.
     found = analysed.select("dataset_id", F.size("terms").alias("doc_len"), F.explode_outer("terms").alias("term"))
     distinct = analysed.select(F.explode_outer(F.array_distinct("terms")).alias("term"))
     if only is not None:
@@ -243,19 +259,20 @@ def build_term_index(corpus: DataFrame, only: DataFrame | None = None) -> TermIn
 def bm25_scores(index: TermIndex, queries: DataFrame) -> DataFrame:
     """(query_id, dataset_id, score): Okapi BM25, a repeated query term counting again."""
     asked = asked_terms(queries)
+    n_docs, avg_len = (index.totals.select(c).scalar() for c in ("n_docs", "avg_len"))
     idf = F.expr("ln(1 + (n_docs - df + 0.5D) / (df + 0.5D))")
+    terms = index.terms.select("term", "df", n_docs.alias("n_docs"))
+    weighted = asked.join(terms, "term").select("query_id", "term", (idf * F.col("times")).alias("weight"))
     gain = F.expr(
-        f"weight * tf * ({C.BM25_K1}D + 1) / (tf + {C.BM25_K1}D * (1 - {C.BM25_B}D + {C.BM25_B}D * doc_len / avg_len))"
-    )
-    terms = index.terms.select(
-        "term", "df", *[index.totals.select(c).scalar().alias(c) for c in ("n_docs", "avg_len")]
+        f"tf * ({C.BM25_K1}D + 1) / (tf + {C.BM25_K1}D * (1 - {C.BM25_B}D + {C.BM25_B}D * doc_len / avg_len))"
     )
-    weighted = asked.join(terms, "term").select("query_id", "term", "avg_len", (idf * F.col("times")).alias("weight"))
+    postings = index.postings.select("*", avg_len.alias("avg_len")).select("term", "dataset_id", gain.alias("gain"))
     if has_at_most(asked):
-        found = index.postings.join(F.broadcast(weighted), "term")
+        found = postings.join(F.broadcast(weighted), "term")
     else:
-        found = spread_join(index.postings, weighted, "term", "dataset_id", index.terms.withColumnRenamed("df", "n"))
-    return found.groupBy("query_id", "dataset_id").agg(F.round(F.sum(gain), 6).alias("score"))
+        found = spread_join(postings, weighted, "term", "dataset_id", index.terms.withColumnRenamed("df", "n"))
+    score = F.round(F.sum(F.col("weight") * F.col("gain")), 6)
+    return found.groupBy("query_id", "dataset_id").agg(score.alias("score"))
 
 
 def search_bm25_batch(
