@@ -3,7 +3,7 @@
 from collections.abc import Callable, Iterator
 from datetime import datetime
 from functools import lru_cache
-from zlib import crc32
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -183,7 +183,7 @@ class HashingEmbedder:
 
         @lru_cache(maxsize=1 << 18)
         def place(token: str) -> tuple[int, float]:
-            code = crc32(token.encode("utf-8"))
+            code = int(md5(token.encode("utf-8"), usedforsecurity=False).hexdigest()[:8], 16)
             return (code >> 1) % dimensions, 1.0 if code & 1 else -1.0
 
         def embed(texts: list[str]) -> np.ndarray:

@@ -10,9 +10,10 @@ from shelfmark import constants as C
 from shelfmark.functions import json as J
 from shelfmark.functions.times import moment
 from shelfmark.operators.keyed import as_event_log
-from shelfmark.operators.policy import error_class
+from shelfmark.operators.policy import PolicySettings, decide_requests, error_class
 from shelfmark.operators.ranking import top_k
 from shelfmark.schemas import conform
+from shelfmark.session import cut_lineage
 
 
 def _text(value: Column, name: str) -> Column:
@@ -239,6 +240,31 @@ def resolve_schemas(
     )
 
 
+@dataclass(frozen=True)
+class Submitted:
+    """Decisions on requests, the job rows to enqueue and the events to append."""
+
+    decisions: DataFrame
+    jobs: DataFrame
+    events: DataFrame
+
+
+def submit_requests(
+    requests: DataFrame,
+    artifacts: DataFrame,
+    datasets: DataFrame,
+    settings: PolicySettings = PolicySettings(),
+    as_of: Column | datetime | str | None = None,
+) -> Submitted:
+    """Decide on requests and make their jobs and events.
+
+    The decisions are kept in the checkpoint folder first, as jobs and events must
+    carry the same (random) job ids.
+    """
+    decisions = cut_lineage(decide_requests(requests, artifacts, datasets, settings))
+    return Submitted(decisions, queued_jobs(decisions, as_of), request_events(decisions, as_of))
+
+
 def queued_jobs(decisions: DataFrame, as_of: Column | datetime | str | None = None) -> DataFrame:
     """Job rows of the requests that policy let through (see decide_requests)."""
     return conform(

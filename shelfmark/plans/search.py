@@ -2,7 +2,7 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark import constants as C
@@ -10,6 +10,7 @@ from shelfmark.functions import text as X
 from shelfmark.operators.catalog import Filters, eligible_ids, fresh_artifact, signal_of
 from shelfmark.operators.ranking import page, top_k
 from shelfmark.operators.skew import has_at_most, spread_join
+from shelfmark.sources.tables import write_snapshot
 
 # Up to these sizes a set of queries is looked up in each text as it is scanned.
 SCAN_TOKENS = 256
@@ -256,6 +257,17 @@ def build_term_index(corpus: DataFrame, only: DataFrame | None = None) -> TermIn
     return TermIndex(postings, terms, totals)
 
 
+def store_term_index(index: TermIndex, folder: str) -> None:
+    """Write the index to a new folder; terms are kept together so that a lookup reads few row groups."""
+    write_snapshot(index.postings.sortWithinPartitions("term"), f"{folder}/postings")
+    write_snapshot(index.terms, f"{folder}/terms")
+    write_snapshot(index.totals, f"{folder}/totals")
+
+
+def load_term_index(spark: SparkSession, folder: str) -> TermIndex:
+    return TermIndex(*[spark.read.parquet(f"{folder}/{name}") for name in ("postings", "terms", "totals")])
+
+
 def bm25_scores(index: TermIndex, queries: DataFrame) -> DataFrame:
     """(query_id, dataset_id, score): Okapi BM25, a repeated query term counting again."""
     asked = asked_terms(queries)

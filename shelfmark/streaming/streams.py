@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfmark.schemas import TABLES
+from shelfmark.session import checkpoint_folder
 
 
 def stream_table(spark: SparkSession, table: str, path: str) -> DataFrame:
@@ -20,15 +21,20 @@ def stream_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.text(path)
 
 
-def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def run_available(
+    stream: DataFrame, handle: Callable[[DataFrame, int], None], name: str, checkpoint: str | None = None
+) -> StreamingQuery:
     """Hand all input not yet seen to ``handle`` in batches, then stop.
 
-    The checkpoint folder keeps the place reached, as a stored cursor would. ``handle``
-    gets the batch number, so that a batch run again can replace its first result.
+    The checkpoint folder (by default one of that name in the session's shared folder)
+    keeps the place reached, as a stored cursor would. ``handle`` gets the batch number,
+    so that a batch run again can replace its first result.
     """
+    folder = checkpoint or f"{checkpoint_folder(stream.sparkSession)}/{name}"
     return (
-        stream.writeStream.foreachBatch(handle)
-        .option("checkpointLocation", checkpoint)
+        stream.writeStream.queryName(name)
+        .foreachBatch(handle)
+        .option("checkpointLocation", folder)
         .trigger(availableNow=True)
         .start()
     )

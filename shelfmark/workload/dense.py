@@ -9,7 +9,7 @@ from shelfmark import views as V
 from shelfmark.functions import vectors as VF
 from shelfmark.operators.catalog import Filters
 from shelfmark.plans import dense as D
-from shelfmark.workload.registry import ARTIFACTS, AS_OF, DATASETS, VECTORS, query
+from shelfmark.workload.registry import ARTIFACTS, AS_OF, DATASETS, NOT_SPACE, VECTORS, query
 
 DIMENSIONS = 64
 QUERY_VECTOR = [0.125] * DIMENSIONS
@@ -203,11 +203,26 @@ def embed_digest(spark, folder):
     )
 
 
-@query("embed_hash")
+@query(
+    "embed_hash",
+    f"""WITH {DATASETS}, {_INPUTS},
+    tokens AS (SELECT dataset_id, unnest(regexp_extract_all(lower(text), '{NOT_SPACE}')) AS token FROM inputs),
+    codes AS (SELECT token, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) AS code FROM (SELECT DISTINCT token FROM tokens)),
+    places AS (SELECT dataset_id, (code // 2) % 384 AS at_dim, sum(CASE WHEN code % 2 = 1 THEN 1 ELSE -1 END) AS x
+               FROM tokens JOIN codes USING (token) GROUP BY ALL),
+    norms AS (SELECT dataset_id, sqrt(sum(x * x)) AS norm FROM places GROUP BY 1)
+    SELECT dataset_id, 'token-hash-384' AS model, CAST(at_dim AS BIGINT) AS at,
+           round(CAST(CAST(x / norm AS FLOAT) AS DOUBLE), 5) AS x
+    FROM places JOIN norms USING (dataset_id) WHERE x <> 0""",
+)
 def embed_hash(spark, folder):
-    """The embedding job with the built-in embedder, for rows without a vector."""
+    """The embedding job with the built-in embedder, over the whole catalog."""
     vectors, datasets, _ = _tables(spark, folder)
-    return D.embed_catalog(datasets, vectors, as_of=V.CATALOG_AS_OF)
+    done = D.embed_catalog(datasets, vectors, force=True, as_of=V.CATALOG_AS_OF)
+    parts = done.select("dataset_id", "model", F.posexplode("vector").alias("at", "x")).filter("x <> 0")
+    return parts.select(
+        "dataset_id", "model", F.col("at").cast("bigint").alias("at"), F.round(F.col("x").cast("double"), 5).alias("x")
+    )
 
 
 @query(

@@ -123,9 +123,10 @@ def test_bm25_equals_brute_force(spark, monkeypatch, broadcast):
         assert all(got[k] == pytest.approx(expected[k], abs=2e-6) for k in got)
 
 
-def test_bm25_page(spark):
+def test_bm25_page(spark, tmp_path):
     table = datasets(spark)
-    index = S.build_term_index(search_corpus(table))
+    S.store_term_index(S.build_term_index(search_corpus(table)), str(tmp_path / "index"))
+    index = S.load_term_index(spark, str(tmp_path / "index"))
     hits = S.search_bm25(index, table, artifacts(spark), "sentiment reviews", limit=5).collect()
     assert [h.id for h in hits] == ["acme/reviews"] and hits[0].has_schema
 

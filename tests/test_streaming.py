@@ -54,7 +54,7 @@ def test_listing_files_are_taken_in_once(spark, tmp_path):
 
     def run():
         stream = streams.stream_lines(spark, str(landing))
-        streams.run_available(stream, take_in, str(tmp_path / "cp")).awaitTermination()
+        streams.run_available(stream, take_in, "listing", str(tmp_path / "cp")).awaitTermination()
 
     (landing / "1.jsonl").write_text('{"id":"n/a","last_modified":"2024-01-01T00:00:00Z"}\n')
     run()
