@@ -42,8 +42,14 @@ def eligible_ids(datasets: DataFrame, filters: Filters | None) -> DataFrame:
 
 
 def search_corpus(datasets: DataFrame) -> DataFrame:
-    """The text that search looks at, one row per dataset: a snapshot to be written by a job."""
-    return datasets.select(F.col("id").alias("dataset_id"), X.search_text().alias("content"))
+    """The text that search looks at, one row per dataset: a snapshot to be written by a job.
+
+    The text comes out of a one-item explode, so that filters on it are not moved below
+    it, where every mention of the text would put it together again.
+    """
+    return datasets.select(
+        F.col("id").alias("dataset_id"), F.explode(F.array(X.search_text())).alias("content")
+    )
 
 
 def fresh_artifact(kind: str = "schema") -> Column:

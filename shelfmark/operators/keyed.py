@@ -162,4 +162,4 @@ def put_run_results(base: DataFrame, updates: DataFrame) -> DataFrame:
 
 def lookup(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """The rows of the wanted keys."""
-    return df.join(keys.select(*on), on, "left_semi")
+    return df.join(keys.select(*on).distinct(), on, "left_semi")

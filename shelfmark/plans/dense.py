@@ -25,6 +25,8 @@ from shelfmark.plans.search import best_first, hit_page, restrict
 BROADCAST_QUERIES = 2048
 GRID_QUERIES = 2048
 GRID_VECTORS = 100_000
+# Scores held at a time by one task.
+BLOCK_SCORES = 4_000_000
 # Scores are compared to six decimals, what float32 vectors carry; ties go by id.
 SCORE_DECIMALS = 6
 
@@ -81,9 +83,17 @@ def _best_of_block(
     return rows[kept], values[kept], names[kept]
 
 
-def _score_block(queries: np.ndarray, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.asarray(batch.column("dataset_id").to_pylist(), dtype=str)
-    return np.round(queries @ V.block(batch.column("vector")).T, SCORE_DECIMALS), ids
+def _best_of_batch(
+    queries: np.ndarray, batch: pa.RecordBatch, k: int, best: tuple[np.ndarray, ...] | None
+) -> tuple[np.ndarray, ...] | None:
+    """Score a batch piece by piece, so that a task holds few scores at a time."""
+    step = max(1, BLOCK_SCORES // len(queries))
+    for start in range(0, batch.num_rows, step):
+        part = batch.slice(start, step)
+        ids = np.asarray(part.column("dataset_id").to_pylist(), dtype=str)
+        scores = np.round(queries @ V.block(part.column("vector")).T, SCORE_DECIMALS)
+        best = _best_of_block(scores, ids, k, best)
+    return best
 
 
 def _result(query_ids: np.ndarray, best: tuple[np.ndarray, ...]) -> pa.RecordBatch:
@@ -104,8 +114,7 @@ def _scan_best(vectors: DataFrame, query_ids: list[str], matrix: np.ndarray, k:
         names, queries = shared.value
         best = None
         for batch in batches:
-            if batch.num_rows:
-                best = _best_of_block(*_score_block(queries, batch), k, best)
+            best = _best_of_batch(queries, batch, k, best)
         if best is not None:
             yield _result(names, best)
 
@@ -133,8 +142,8 @@ def _grid_best(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         names = np.asarray(asked.column("query_id").to_pylist(), dtype=str)
         matrix = V.block(asked.column("vector"))
         best = None
-        for batch in stored.combine_chunks().to_batches(max_chunksize=10_000):
-            best = _best_of_block(*_score_block(matrix, batch), k, best)
+        for batch in stored.combine_chunks().to_batches():
+            best = _best_of_batch(matrix, batch, k, best)
         return pa.Table.from_batches([_result(names, best)])
 
     return (
@@ -181,7 +190,7 @@ class HashingEmbedder:
     def load(self) -> Callable[[list[str]], np.ndarray]:
         dimensions = self.dimensions
 
-        @lru_cache(maxsize=1 << 18)
+        @lru_cache(maxsize=1 << 20)
         def place(token: str) -> tuple[int, float]:
             code = int(md5(token.encode("utf-8"), usedforsecurity=False).hexdigest()[:8], 16)
             return (code >> 1) % dimensions, 1.0 if code & 1 else -1.0
@@ -219,14 +228,13 @@ def pending_inputs(
     datasets: DataFrame, vectors: DataFrame, limit: int | None = None, force: bool = False
 ) -> DataFrame:
     """Inputs still to embed: all with ``force``, else those without a vector."""
-    # The anti join runs on ids; texts are put together for the remaining rows only.
-    todo = datasets
+    # Ids are chosen first; texts are put together for the chosen rows only.
+    ids = datasets.select("id")
     if not force:
-        done = vectors.select(F.col("dataset_id").alias("id"))
-        todo = todo.join(done, "id", "left_anti")
+        ids = ids.join(vectors.select(F.col("dataset_id").alias("id")), "id", "left_anti")
     if limit:
-        todo = todo.orderBy("id").limit(limit)
-    return embedding_inputs(todo)
+        ids = ids.orderBy("id").limit(limit)
+    return embedding_inputs(datasets if force and not limit else datasets.join(ids, "id", "left_semi"))
 
 
 def embed_catalog(

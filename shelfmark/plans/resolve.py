@@ -150,12 +150,10 @@ def resolve_payloads(
     undeclared = wanted.join(declared, "dataset_id").filter(
         F.coalesce("features", F.lit("[]")).isin("[]", "{}") & F.col("config").isNotNull() & F.col("split").isNotNull()
     )
-    own = rows.select("dataset_id", "config", "split", "row_index", "row").join(
-        undeclared.select("dataset_id", "config", "split", "cap"), ["dataset_id", "config", "split"]
-    )
-    capped = top_k(own, ["dataset_id"], [F.col("row_index").asc()], C.RESOLVE_ROW_CAP).filter(
-        F.col("rank") <= F.col("cap")
-    )
+    # Rows are cut to the largest allowed number before they are shuffled to the join.
+    own = ["dataset_id", "config", "split"]
+    first = top_k(rows.select(*own, "row_index", "row"), own, [F.col("row_index").asc()], C.RESOLVE_ROW_CAP)
+    capped = first.join(undeclared.select(*own, "cap"), own).filter(F.col("rank") <= F.col("cap"))
     inferred = schema_json(infer_schema(capped)).withColumnRenamed("features", "_inferred")
     carded = card_features(cards).withColumnRenamed("features", "_card")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from shelfmark import constants as C
 from shelfmark.functions import json as J
 from shelfmark.functions import text as X
+from shelfmark.operators.keyed import lookup
 from shelfmark.operators.ranking import page, top_k
 from shelfmark.schemas import conform
 
@@ -73,7 +74,7 @@ def sample_rows_batch(
     rows: DataFrame, ids: DataFrame | None = None, limit: int = C.SAMPLE_ROWS_DEFAULT
 ) -> DataFrame:
     """The first rows of every dataset, or of the given ones (column dataset_id)."""
-    wanted = rows if ids is None else rows.join(ids.select("dataset_id"), "dataset_id", "left_semi")
+    wanted = rows if ids is None else lookup(rows, ids, ["dataset_id"])
     order = [F.col(c).asc() for c in _ROW_ORDER]
     return top_k(wanted, ["dataset_id"], order, limit).select("dataset_id", "rank", *_ROW_ORDER, "row")
 

@@ -37,9 +37,14 @@ def matches(corpus: DataFrame, query: str) -> DataFrame:
     return corpus.filter(wanted).select("dataset_id", X.token_hits(F.col("content"), tokens).alias("score"))
 
 
-def restrict(scored: DataFrame, datasets: DataFrame, filters: Filters | None) -> DataFrame:
-    """Only datasets that exist and pass the filters; joins on narrow columns."""
-    return scored.join(eligible_ids(datasets, filters), "dataset_id", "left_semi")
+def restrict(scored: DataFrame, datasets: DataFrame, filters: Filters | None, many: bool = False) -> DataFrame:
+    """Only datasets that exist and pass the filters; joins on narrow columns.
+
+    ``many`` tells that there are far more scores than datasets: ids of checked number
+    are then broadcast, which leaves the scores where they are.
+    """
+    ids = eligible_ids(datasets, filters)
+    return scored.join(F.broadcast(ids) if many and has_at_most(ids) else ids, "dataset_id", "left_semi")
 
 
 def hit_page(
@@ -53,22 +58,25 @@ def hit_page(
 ) -> DataFrame:
     """The page of best hits with everything shown about a hit.
 
-    Ranking runs on (dataset_id, score) alone. At most 100 rows are then broadcast
-    to fetch the wide columns, so no wide table is shuffled.
+    Ranking runs on (dataset_id, score) alone and brings at most 100 rows to the driver.
+    Their ids then filter the wide tables where they are scanned, so that no wide table
+    is shuffled and the ranking is done once only.
     """
     if not 1 <= limit <= C.SEARCH_LIMIT_MAX:
         raise ValueError(f"limit must be from 1 to {C.SEARCH_LIMIT_MAX}")
-    best = F.broadcast(page(scored.select("dataset_id", "score"), best_first(), limit, offset))
+    ranked = scored.select("dataset_id", F.col("score").cast("double").alias("score"))
+    best = page(ranked, best_first(), limit, offset).collect()
+    ids = [row["dataset_id"] for row in best]
+    scores = datasets.sparkSession.createDataFrame([tuple(row) for row in best], "id string, score double")
 
     def having(rows: DataFrame, flag: str) -> DataFrame:
-        found = rows.select("dataset_id").join(best, "dataset_id").select("dataset_id").distinct()
+        found = rows.filter(F.col("dataset_id").isin(ids)).select(F.col("dataset_id").alias("id")).distinct()
         return F.broadcast(found.withColumn(flag, F.lit(True)))
 
-    hits = datasets.join(best, datasets["id"] == best["dataset_id"]).drop("dataset_id")
-    hits = hits.withColumn("dataset_id", F.col("id"))
-    hits = hits.join(having(artifacts.filter(fresh_artifact()), "has_schema"), "dataset_id", "left")
+    hits = datasets.filter(F.col("id").isin(ids)).join(F.broadcast(scores), "id")
+    hits = hits.join(having(artifacts.filter(fresh_artifact()), "has_schema"), "id", "left")
     if sample_rows is not None:
-        hits = hits.join(having(sample_rows, "has_sample_rows"), "dataset_id", "left")
+        hits = hits.join(having(sample_rows, "has_sample_rows"), "id", "left")
     else:
         hits = hits.withColumn("has_sample_rows", F.lit(None).cast("boolean"))
     empty = F.array().cast("array<string>")
@@ -82,7 +90,7 @@ def hit_page(
         signal_of("downloads").alias("downloads"),
         signal_of("likes").alias("likes"),
         F.coalesce("has_sample_rows", F.lit(False)).alias("has_sample_rows"),
-        F.col("score").cast("double").alias("score"),
+        "score",
     ).orderBy(F.col("score").desc(), F.col("id"))
 
 
@@ -212,7 +220,7 @@ def search_tokens_batch(
     filters: Filters | None = None,
 ) -> DataFrame:
     """(query_id, rank, dataset_id, score): the k best datasets of every query."""
-    scored = restrict(batch_token_scores(corpus, queries), datasets, filters)
+    scored = restrict(batch_token_scores(corpus, queries), datasets, filters, many=True)
     return top_k(scored, ["query_id"], best_first(), k).select("query_id", "rank", "dataset_id", "score")
 
 
@@ -291,7 +299,7 @@ def search_bm25_batch(
     index: TermIndex, datasets: DataFrame, queries: DataFrame, k: int, filters: Filters | None = None
 ) -> DataFrame:
     """(query_id, rank, dataset_id, score): the k best datasets of every query by BM25."""
-    scored = restrict(bm25_scores(index, queries), datasets, filters)
+    scored = restrict(bm25_scores(index, queries), datasets, filters, many=True)
     return top_k(scored, ["query_id"], best_first(), k).select("query_id", "rank", "dataset_id", "score")
 
 

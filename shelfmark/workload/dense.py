@@ -197,7 +197,7 @@ def embed_digest(spark, folder):
     """The embedding job with the deterministic stand-in, over the whole catalog."""
     vectors, datasets, _ = _tables(spark, folder)
     done = D.embed_catalog(datasets, vectors, DigestEmbedder(), force=True, as_of=V.CATALOG_AS_OF)
-    parts = done.select("dataset_id", "model", F.posexplode("vector").alias("at", "x"))
+    parts = done.select("dataset_id", "model", F.posexplode_outer("vector").alias("at", "x"))
     return parts.select(
         "dataset_id", "model", F.col("at").cast("bigint").alias("at"), F.round(F.col("x").cast("double"), 5).alias("x")
     )
@@ -219,7 +219,7 @@ def embed_hash(spark, folder):
     """The embedding job with the built-in embedder, over the whole catalog."""
     vectors, datasets, _ = _tables(spark, folder)
     done = D.embed_catalog(datasets, vectors, force=True, as_of=V.CATALOG_AS_OF)
-    parts = done.select("dataset_id", "model", F.posexplode("vector").alias("at", "x")).filter("x <> 0")
+    parts = done.select("dataset_id", "model", F.posexplode_outer("vector").alias("at", "x")).filter("x <> 0")
     return parts.select(
         "dataset_id", "model", F.col("at").cast("bigint").alias("at"), F.round(F.col("x").cast("double"), 5).alias("x")
     )
