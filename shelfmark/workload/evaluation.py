@@ -11,7 +11,7 @@ from shelfmark.plans.search import build_term_index
 from shelfmark.schemas import conform
 from shelfmark.streaming.streams import windowed_signal_counts
 from shelfmark.workload.registry import ARTIFACTS, DATASETS, SIGNALS, query
-from shelfmark.workload.search import _BATCH_TOP, _BENCH_TERMS, _POSTINGS, _bm25
+from shelfmark.workload.search import _BATCH_TOP, _BENCH_TERMS, _BENCH_TOKENS, _POSTINGS, _bm25
 
 
 def results(spark, folder, floor=None):
@@ -181,12 +181,18 @@ def run_eval(spark, folder):
     )
 
 
-@query("run_eval_tokens")
+@query("run_eval_tokens", f"""WITH {DATASETS}, {_BENCH_TOKENS}, top AS ({_BATCH_TOP})
+SELECT 'r2' AS run_id, query_id, rank AS result_rank, dataset_id, title, size_class
+FROM top JOIN datasets ON id = dataset_id""")
 def run_eval_tokens(spark, folder):
     """All benchmark queries through the token engine."""
     datasets = V.datasets(spark, folder)
     tables = E.EngineTables(datasets, V.artifacts(spark, folder), search_corpus(datasets))
-    return E.run_eval("token_hits", tables, V.eval_queries(spark, folder), run_id="r2", as_of=V.CATALOG_AS_OF)[1]
+    _, hits = E.run_eval("token_hits", tables, V.eval_queries(spark, folder), run_id="r2", as_of=V.CATALOG_AS_OF)
+    return hits.select(
+        "run_id", "query_id", "result_rank", "dataset_id", "title",
+        F.get_json_object("extra", "$.size_class").alias("size_class"),
+    )
 
 
 @query(

@@ -6,6 +6,7 @@ from shelfmark import views as V
 from shelfmark.constants import LINE_END
 from shelfmark.functions import json as J
 from shelfmark.functions import text as X
+from shelfmark.functions.times import iso_format
 from shelfmark.operators import keyed as K
 from shelfmark.plans import ingest as I
 from shelfmark.schemas import conform
@@ -374,3 +375,23 @@ _STRIP = "regexp_replace(regexp_replace({}, '^[ \\n]+', ''), '[ \\n]+$', '')"
 def readme_stats(spark, folder):
     stats = readmes(spark, folder).select("doc_id", X.readme_stats("readme").alias("stats")).select("doc_id", "stats.*")
     return stats.withColumn("score", F.round("score", 9))
+
+
+@query("fingerprints", f"""WITH {DATASETS}
+SELECT id, sha256('hf|' || ns_local_id || '|' || sha256(readme_text) || '|' || strftime(last_seen_lm, '%Y-%m-%dT%H:%M:%S')
+                  || '+00:00|' || size_class || '|' || coalesce(license_class, '')) AS fingerprint FROM datasets""")
+def fingerprints(spark, folder):
+    parts = [F.lit("hf"), "ns_local_id", "readme_sha256", iso_format("last_seen_lm"), "size_class", "license_class"]
+    return V.datasets(spark, folder).select("id", X.fingerprint(*parts).alias("fingerprint"))
+
+
+@query(
+    "modalities_from_tasks",
+    """SELECT doc_id, CASE lang WHEN 'en' THEN 'text image' WHEN 'de' THEN 'tabular text' WHEN 'es' THEN 'audio text' END AS modalities
+       FROM documents""",
+)
+def modalities_from_tasks(spark, folder):
+    tasks = F.expr("""case lang when 'en' then array('text-classification', source, 'image-to-text') when 'fr' then array(source)
+      when 'de' then array('tabular-to-text', null, 'translation') else array('text-to-speech', 'audio-classification') end""")
+    documents = V.table(spark, folder, "documents")
+    return documents.select("doc_id", F.array_join(X.modalities_of(tasks), " ").alias("modalities"))
