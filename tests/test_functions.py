@@ -44,7 +44,7 @@ def test_json_text_matches_python_rendering(spark):
     assert got == [None if x is None else json.dumps(x, ensure_ascii=False) for x in lists]
 
 
-def reference_stats(text):
+def stats_of(text):
     """The description of readme_stats, written out for one text."""
     title, description = None, None
     for line in (text or "").splitlines():
@@ -66,7 +66,7 @@ def test_readme_stats(spark):
     texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(8))) for _ in range(200)] + [None, "pre\r\n# A\r\nz"]
     got = values(spark, texts, X.readme_stats("t"))
     for text, stats in zip(texts, got):
-        assert (stats.title, stats.description) == reference_stats(text), repr(text)
+        assert (stats.title, stats.description) == stats_of(text), repr(text)
         n = len((text or "").split())
         assert stats.tokens == n
         assert stats.score == pytest.approx(min(1.0, math.log1p(n) / math.log1p(400)))
