@@ -4,30 +4,52 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfmark.llm.queries import table, tokenizer_path
+from shelfmark.llm import token_files
+from shelfmark.llm.decontamination import decontaminate
+from shelfmark.llm.mixing import mix
+from shelfmark.llm.ngram_join import ngram_groups
+from shelfmark.llm.quality import keep_good
+from shelfmark.llm.queries import TOKENIZER, table, tokenizer_path
 from shelfmark.llm.texts import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar texts stays: the one with the smallest doc_id."""
-    from shelfmark.llm.ngram_join import ngram_groups
-
     kept = ngram_groups(docs).filter("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 
-def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of all documents left; one row per document as read back from them."""
-    from shelfmark.llm.token_files import token_output
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
-    return token_output(docs, tokenizer_path("word_bpe_49k.json"))
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents come as often as the target weights of their sources ask for: never, once or twice."""
+    return mix(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mix; one row per copy as read back from them."""
+    return token_files.token_output(docs, tokenizer_path(f"{TOKENIZER}.json"))
 
 
-STAGES: list[tuple[str, Stage]] = [("near_copies", near_copies), ("token_output", token_output)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
+    ("near_copies", near_copies),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("token_output", token_output),
+]
 
-# Compression, hashing orders and the tokenizer are not expressible in SQL; tests/llm holds the brute-force version.
+# Compression scores and the tokenizer are beyond SQL; tests/llm compares with a brute-force version.
 ORACLE_SQL = None
 
 
