@@ -34,7 +34,7 @@ HOT_COUNT = 40
 HOT_SHINGLES = 200_000
 # Within a piece of a task, rarer shingles are not reported as candidates for being hot.
 HOT_IN_PIECE = 3
-CELL_TEXTS = 256
+CELL_TEXTS = 1024
 SKETCH_BITS = (64, 4096)
 
 _SET = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, sketch binary, prefix array<bigint>"
@@ -214,19 +214,32 @@ def _cells(tiles: DataFrame, sets: DataFrame, threshold: tuple[int, int], cell:
     def within(rows: list[dict]) -> Iterator[tuple[int, int]]:
         if len(rows) < 2:
             return
-        size = np.array([r["n_shingles"] for r in rows])
-        group = np.array([r["component_id"] for r in rows])
-        part = np.array([r["part"] for r in rows])
+        size, group, part, ids = (np.array([r[c] for r in rows]) for c in ("n_shingles", "component_id", "part", "doc_id"))
         split = rows[0]["low"] != rows[0]["high"]
-        for k in range(len(rows) - 1):
-            small, large = np.minimum(size[k], size[k + 1 :]), np.maximum(size[k], size[k + 1 :])
-            fits = (group[k + 1 :] != group[k]) & (below * small >= above * large)
-            if split:
-                fits &= part[k + 1 :] != part[k]
-            for j in (np.flatnonzero(fits) + k + 1).tolist():
-                x, y = rows[k], rows[j]
-                if may_reach(x["sketch"], x["n_shingles"], y["sketch"], y["n_shingles"], threshold):
-                    yield min(x["doc_id"], y["doc_id"]), max(x["doc_id"], y["doc_id"])
+        # Sketches by length; similar texts differ by one step at most, the longer one is folded.
+        lengths = np.array([len(r["sketch"]) for r in rows])
+        places = {n: np.flatnonzero(lengths == n) for n in np.unique(lengths).tolist()}
+        folded = {(n, n): np.array([np.frombuffer(rows[i]["sketch"], np.uint64) for i in at]) for n, at in places.items()}
+        folded |= {(n, n // 2): m[:, : n // 16] ^ m[:, n // 16 :] for (n, _), m in list(folded.items()) if n > 8}
+        spot = np.empty(len(rows), np.int64)
+        for at in places.values():
+            spot[at] = np.arange(len(at))
+        for k in range(len(rows)):
+            own = int(lengths[k])
+            for length, shared in ((own, own), (2 * own, own), (own // 2, own // 2)):
+                if length not in places or (own, shared) not in folded:
+                    continue
+                at = places[length]
+                fits = (group[at] != group[k]) & (below * np.minimum(size[k], size[at]) >= above * np.maximum(size[k], size[at]))
+                fits &= at > k
+                if split:
+                    fits &= part[at] != part[k]
+                fits = np.flatnonzero(fits)
+                if len(fits):
+                    apart = np.bitwise_count(folded[length, shared][fits] ^ folded[own, shared][spot[k]]).sum(axis=1).astype(np.int64)
+                    both = size[k] + size[at[fits]]
+                    for j in at[fits[below * (both - apart) >= above * (both + apart)]].tolist():
+                        yield int(min(ids[k], ids[j])), int(max(ids[k], ids[j]))
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, found = None, [], set()
