@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from shelfmark.llm import token_files
 from shelfmark.llm.decontamination import decontaminate
 from shelfmark.llm.mixing import mix
+from shelfmark.llm.id_filter import without
 from shelfmark.llm.ngram_join import ngram_groups
 from shelfmark.llm.quality import keep_good
 from shelfmark.llm.queries import TOKENIZER, table, tokenizer_path
@@ -22,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar texts stays: the one with the smallest doc_id."""
-    kept = ngram_groups(docs).filter("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    copies = written(ngram_groups(docs).filter("doc_id <> component_id").select("doc_id"), "copies")
+    return without(docs, copies)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

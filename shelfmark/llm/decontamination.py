@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def align(item: bytes, text: bytes, low: int, high: int) -> tuple[int, int, int]
         best[better], source[better] = skip[better], np.append(begin[1:], 0)[better]
         shifted = best - steps  # text bytes that the item lacks run along the row
         leader = np.maximum.accumulate(np.where(shifted == np.minimum.accumulate(shifted), steps, 0))
-        cost = np.where(inside | (at == len(y)), best[leader] + steps - leader, far)
+        cost = np.where((at >= -1) & (at < len(y)), best[leader] + steps - leader, far)
         begin = source[leader]
     end = int(np.argmin(cost))
     return int(cost[end]), int(begin[end]), int(len(x) + diagonals[end])
@@ -139,26 +140,30 @@ class Index:
         return rows
 
 
+def _indexes(benchmark: DataFrame, q: int, edits: float, block_bytes: int) -> Iterator[Broadcast]:
+    """The benchmark as broadcast indexes of bounded size, one after the other."""
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = written(items.filter("length(text) > 0"), "benchmark")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = -(-total // block_bytes)
+    for block in range(blocks):
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").toArrow()
+        kept = [(i, t) for i, t in zip(part["item_id"].to_pylist(), normalise(part["text"].combine_chunks())) if t]
+        if kept:
+            yield items.sparkSession.sparkContext.broadcast(Index(*map(list, zip(*kept)), q, edits))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per passage of a benchmark item in a document: doc_id, item_id, begin and
     length (bytes of the normalised text) and edits, at most ``edits`` of the item's bytes.
 
     ``docs`` has doc_id and text, ``benchmark`` item_id and text; other columns are not read.
     Null or empty texts and items match nothing. Items of fewer than q bytes match a text
-    that equals them. Repeated items and documents give rows each. Empty tables give no rows.
+    that equals them. Repeated items and documents give rows each, null ids are ids. Empty tables give no rows.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = written(items.filter("length(text) > 0"), "benchmark")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // block_bytes)
-    found = None
-    for block in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").toArrow()
-        ids, texts = part["item_id"].to_pylist(), normalise(part["text"].combine_chunks())
-        kept = [(i, t) for i, t in zip(ids, texts) if t]
-        index = spark.sparkContext.broadcast(Index([i for i, _ in kept], [t for _, t in kept], q, edits))
+    found = docs.sparkSession.createDataFrame([], _FOUND)
+    for index in _indexes(benchmark, q, edits, block_bytes):
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for piece in pieces(batches, "text"):
@@ -166,17 +171,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float =
                 for doc, text in zip(piece.column("doc_id").to_pylist(), normalise(piece.column("text"))):
                     rows += [(doc, *match) for match in index.value.matches(text)]
                 if rows:
-                    columns = list(zip(*rows))
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
                     names = ["doc_id", "item_id", "begin", "length", "edits"]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-        part = docs.mapInArrow(scan, _FOUND)
-        found = part if found is None else found.unionByName(part)
-    return found if found is not None else spark.createDataFrame([], _FOUND)
+        found = found.unionByName(docs.mapInArrow(scan, _FOUND))
+    return found
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without any passage of the benchmark, with their own columns."""
-    leaks = written(find_leaks(docs, benchmark, **options), "leaks")
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents without any passage of the benchmark, with their own columns; judged where they lie."""
+    for index in _indexes(benchmark, q, edits, block_bytes):
+
+        def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for piece in pieces(batches, "text"):
+                yield piece.filter(pa.array([not index.value.matches(text) for text in normalise(piece.column("text"))], pa.bool_()))
+
+        docs = docs.mapInArrow(scan, docs.schema)
+    return docs

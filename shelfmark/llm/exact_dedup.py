@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm.id_filter import may_be_in
 from shelfmark.llm.texts import pieces, text_array, written
 
 # An owner's share of the fingerprints, so that its lists fit in memory.
@@ -181,7 +182,8 @@ def exact_groups(docs: DataFrame, owner_rows: int = OWNER_ROWS) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal
-    texts the row with the largest doc_id stays (ids are unique). ``docs`` has doc_id and text; other columns are
+    texts the row with the largest doc_id stays (ids are unique; rows with a null id stay unless
+    a row with an id is equal). ``docs`` has doc_id and text; other columns are
     not read. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -192,7 +194,8 @@ def exact_groups(docs: DataFrame, owner_rows: int = OWNER_ROWS) -> DataFrame:
     suspects = written(prints.join(shared.union(own).distinct(), "print", "left_semi").select("doc_id", "text_sha256"), "suspects")
 
     # Byte verification: equal means equal as whole strings. A large group is counted before the shuffle.
-    whole = docs.join(suspects.select("doc_id"), "doc_id", "left_semi").select("doc_id", normalised().alias("whole"))
+    ids = suspects.select("doc_id")
+    whole = may_be_in(docs, ids).join(ids.distinct(), "doc_id", "left_semi").select("doc_id", normalised().alias("whole"))
     groups = whole.groupBy("whole").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = groups.filter("group_size > 1").select(F.sha2(F.col("whole").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size")
     groups = written(groups, "groups")

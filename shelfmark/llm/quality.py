@@ -89,21 +89,21 @@ def _terms(z: np.ndarray) -> np.ndarray:
     return np.hstack([z, z * z])
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of every text: 0 to 1, higher for good ones; EMPTY_SCORE without text."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+class Scorer:
+    """A model with its compressors, made once per task."""
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        sizes = Sizes(m.good, m.bad)
-        for piece in pieces(batches, "text"):
-            raw = [t.as_buffer().to_pybytes() for t in text_array(piece.column("text"))]
-            x = np.array([sizes.features(t) for t in raw])
-            scores = np.where([bool(t) for t in raw], probability(_terms((x - m.mean) / m.scale), m.weights), EMPTY_SCORE)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), pa.array(scores)], ["doc_id", "score"])
+    def __init__(self, model: Model):
+        self.model, self.sizes = model, Sizes(model.good, model.bad)
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        raw = [t.as_buffer().to_pybytes() for t in text_array(texts)]
+        x = np.array([self.sizes.features(t) for t in raw]).reshape(len(raw), N_FEATURES)
+        found = probability(_terms((x - self.model.mean) / self.model.scale), self.model.weights)
+        return np.where(np.array([bool(t) for t in raw], bool), found, EMPTY_SCORE)
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(build, "doc_id bigint, score double")
+
+def learned_model(docs: DataFrame, labels: DataFrame, divisor: int, held_out: int) -> Model:
+    return fit(*labelled_sample(docs, labels.filter(remainder("doc_id", divisor) != held_out), "quality"))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, divisor: int = 5, held_out: int = 0) -> DataFrame:
@@ -114,14 +114,27 @@ def score_quality(docs: DataFrame, labels: DataFrame, divisor: int = 5, held_out
     doc_id and quality; no other column is read. Null text counts as empty. Repeated rows are scored alike.
     An empty table gives no rows; without usable labels every text scores 0.5.
     """
-    learned = labels.filter(remainder("doc_id", divisor) != held_out)
-    model = fit(*labelled_sample(docs, learned, "quality"))
-    scored = score_documents(docs, model)
+    sent = docs.sparkSession.sparkContext.broadcast(learned_model(docs, labels, divisor, held_out))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
+        for piece in pieces(batches, "text"):
+            ids = piece.column("doc_id").cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(scorer.scores(piece.column("text")))], ["doc_id", "score"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scored = rows.mapInArrow(build, "doc_id bigint, score double")
     out = F.coalesce(remainder("doc_id", divisor) == held_out, F.lit(False))
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents not rejected, with their own columns."""
-    kept = score_quality(docs, labels).filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+def keep_good(docs: DataFrame, labels: DataFrame, divisor: int = 5, held_out: int = 0) -> DataFrame:
+    """The documents not rejected, with their own columns; they are judged where they lie, none is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(learned_model(docs, labels, divisor, held_out))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
+        for piece in pieces(batches, "text"):
+            yield piece.filter(pa.array(scorer.scores(piece.column("text")) >= THRESHOLD))
+
+    return docs.mapInArrow(build, docs.schema)

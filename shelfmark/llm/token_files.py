@@ -21,6 +21,7 @@ from shelfmark.llm.texts import pieces, shared_path, split_words, text_array
 BLOCK_IDS = 1 << 18
 # Words kept by one worker; beyond that its memory of words is emptied.
 CACHED_WORDS = 500_000
+NULL_ID = -(1 << 63)
 BLOCK_SCHEMA = (
     "shard int, block int, first_doc bigint, last_doc bigint, n_docs int, n_ids bigint, bits int, "
     "doc_ids binary, doc_lengths binary, payload binary"
@@ -104,8 +105,8 @@ class WordEncoder:
             n = len(low)
             while n and not low[n - 1].isalpha():
                 n -= 1
-            # Where an apostrophe or a special token could bind head and tail, the word stays whole.
-            plain = n and low[:n].isalpha() and "'" not in low[n:] and "<|" not in low
+            # Where a combining mark, an apostrophe or a special token could bind head and tail, the word stays whole.
+            plain = n and low[:n].isalpha() and low[n:].isascii() and "'" not in low[n:] and "<|" not in low
             heads.append(low[:n] if plain else None)
             tails.append(low[n:] if plain else word)
         self.learn_letters([w for w in dict.fromkeys(heads) if w is not None and w not in self.letters])
@@ -166,13 +167,13 @@ def write_token_files(
     """Encode whole texts, append ``end_id`` to each and write them as blocks in doc_id order.
 
     ``docs`` has doc_id and text; a null text counts as empty and gives the end id only.
-    Rows with a null doc_id are refused. Repeated doc_ids stay, next to each other; other
-    columns are not read. An empty table gives an empty folder of files.
+    Null doc_ids come first (stored as NULL_ID), repeated doc_ids stay, next to each other;
+    other columns are not read. An empty table gives an empty folder of files.
     Returns the blocks as read back.
     """
     spark, bits = docs.sparkSession, bits_for(vocabulary)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.raise_error(F.lit("a doc_id is null")).cast("bigint")))
+    rows = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
     spread = (partitions, "doc_id") if partitions else ("doc_id",)
     ordered = rows.repartitionByRange(*spread).sortWithinPartitions("doc_id")
 
@@ -236,7 +237,8 @@ def read_documents(blocks: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return with_starts(blocks).mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    rows = with_starts(blocks).mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return rows.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NULL_ID)))
 
 
 def read_ids(blocks: DataFrame, doc_ids: list[int]) -> DataFrame:
