@@ -136,43 +136,52 @@ class Resolved:
 
 
 def resolve_payloads(
-    jobs: DataFrame, info: DataFrame, rows: DataFrame, cards: DataFrame, fetched_ms: str | None = None
+    jobs: DataFrame,
+    info: DataFrame,
+    rows: DataFrame,
+    cards: DataFrame,
+    fetched_ms: str | None = None,
+    settings: PolicySettings = PolicySettings(),
 ) -> DataFrame:
     """Jobs (id, dataset_id, kind, budget_ms, row_cap, …) with features, config, split and payload.
 
-    ``info`` and ``cards`` hold one payload per dataset; ``rows`` are sample rows.
+    ``info`` and ``cards`` hold one payload per dataset; ``rows`` are sample rows, of which
+    each job sees its own first ``row_cap``, or as many as the settings say if it names none.
     ``fetched_ms`` names a column with the time a fetch took.
     """
     declared = declared_features(info)
-    wanted = jobs.select("dataset_id", "row_cap").groupBy("dataset_id").agg(
-        F.max(F.when(F.col("row_cap") > 0, F.col("row_cap")).otherwise(C.RESOLVE_ROW_CAP)).alias("cap")
-    )
-    undeclared = wanted.join(declared, "dataset_id").filter(
+    cap = F.when(F.col("row_cap") > 0, F.col("row_cap")).otherwise(settings.row_cap)
+    undeclared = jobs.select("dataset_id", cap.alias("cap")).distinct().join(declared, "dataset_id").filter(
         F.coalesce("features", F.lit("[]")).isin("[]", "{}") & F.col("config").isNotNull() & F.col("split").isNotNull()
     )
-    # Rows are cut to the largest allowed number before they are shuffled to the join.
+    # Rows are cut to the largest number that any job asks for before they are shuffled to the join.
     own = ["dataset_id", "config", "split"]
-    first = top_k(rows.select(*own, "row_index", "row"), own, [F.col("row_index").asc()], C.RESOLVE_ROW_CAP)
+    largest = undeclared.agg(F.max("cap")).first()[0] or 0
+    first = top_k(rows.select(*own, "row_index", "row"), own, [F.col("row_index").asc()], largest)
     capped = first.join(undeclared.select(*own, "cap"), own).filter(F.col("rank") <= F.col("cap"))
-    inferred = schema_json(infer_schema(capped)).withColumnRenamed("features", "_inferred")
+    # Jobs of one dataset may differ in what they see, so a schema belongs to a dataset and a cap.
+    seen = capped.withColumn("dataset_id", F.struct("dataset_id", "cap"))
+    inferred = schema_json(infer_schema(seen)).select(
+        F.col("dataset_id.dataset_id").alias("dataset_id"), F.col("dataset_id.cap").alias("_cap"), F.col("features").alias("_inferred")
+    )
     carded = card_features(cards).withColumnRenamed("features", "_card")
 
     def given(name: str) -> Column:
         return F.when(~F.col(name).isin("[]", "{}"), F.col(name))
 
-    cap = F.when(F.col("row_cap") > 0, F.col("row_cap")).otherwise(C.RESOLVE_ROW_CAP)
     budget = F.greatest(F.coalesce("budget_ms", F.lit(0)), F.lit(0))
     took = F.coalesce(F.col(fetched_ms), F.lit(0)) if fetched_ms else F.lit(0)
     joined = (
-        jobs.join(declared, "dataset_id", "left")
-        .join(inferred, "dataset_id", "left")
+        jobs.withColumn("_cap", cap)
+        .join(declared, "dataset_id", "left")
+        .join(inferred, ["dataset_id", "_cap"], "left")
         .join(carded, "dataset_id", "left")
         .withColumn("features", F.coalesce(given("features"), given("_inferred"), given("_card")))
     )
     base = [
         "dataset_id",
         "kind",
-        cap.cast("int").alias("row_cap_applied"),
+        F.col("_cap").cast("int").alias("row_cap_applied"),
         took.cast("int").alias("fetched_ms"),
         budget.cast("int").alias("budget_ms_requested"),
         ((budget > 0) & (took > budget)).alias("budget_exhausted"),
@@ -182,7 +191,7 @@ def resolve_payloads(
     with_schema = F.struct(*base, J.parse("features").alias("schema"), "config", "split")
     without = F.struct(*base, J.parse(F.lit("[]")).alias("schema"), F.lit("schema_not_available").alias("note"))
     payload = F.when(F.col("features").isNotNull(), F.to_json(with_schema, keep)).otherwise(F.to_json(without, keep))
-    return joined.withColumn("payload", payload).drop("_inferred", "_card")
+    return joined.withColumn("payload", payload).drop("_inferred", "_card", "_cap")
 
 
 def resolve_schemas(
@@ -193,6 +202,7 @@ def resolve_schemas(
     failures: DataFrame | None = None,
     as_of: Column | datetime | str | None = None,
     fetched_ms: str | None = None,
+    settings: PolicySettings = PolicySettings(),
 ) -> Resolved:
     """Work off jobs: an artifact per job that could be fetched, an error for those in ``failures``.
 
@@ -207,12 +217,10 @@ def resolve_schemas(
     ok = jobs.join(failed, "dataset_id", "left_anti")
     bad = jobs.join(failed, "dataset_id")
 
-    payloads = resolve_payloads(ok, info, rows, cards, fetched_ms)
-    latest = payloads.groupBy("dataset_id", "kind").agg(
-        F.max_by("payload", F.struct("enqueued_at", "id")).alias("payload"),
-        F.max(F.coalesce("started_at", "enqueued_at")).alias("created_at"),
-    )
-    artifacts = conform(latest.withColumn("stale", F.lit(False)), "artifacts")
+    payloads = resolve_payloads(ok, info, rows, cards, fetched_ms, settings)
+    made = F.struct("payload", F.coalesce("started_at", "enqueued_at").alias("created_at"))
+    latest = payloads.groupBy("dataset_id", "kind").agg(F.max_by(made, F.struct("enqueued_at", "id")).alias("made"))
+    artifacts = conform(latest.select("dataset_id", "kind", "made.*", F.lit(False).alias("stale")), "artifacts")
 
     done = ok.withColumn("state", F.lit("done")).withColumn("finished_at", now)
     error = (

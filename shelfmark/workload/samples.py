@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from shelfmark import views as V
 from shelfmark.functions import json as J
+from shelfmark.operators.policy import PolicySettings
 from shelfmark.plans import resolve as R
 from shelfmark.plans import samples as S
 from shelfmark.schemas import conform
@@ -202,6 +203,45 @@ def resolve_artifacts(spark, folder):
     )
 
 
+_CAPS = "(1), (150), (500), (0)"
+
+
+@query(
+    "resolve_row_caps",
+    f"""WITH ranked AS (
+      SELECT role, turn, row_number() OVER (PARTITION BY role ORDER BY conv_id * 1000 + turn) AS place FROM conversations),
+    jobs AS (SELECT role, cap, CASE WHEN cap = 0 THEN 300 ELSE cap END AS applied
+             FROM (SELECT DISTINCT role FROM conversations), (VALUES {_CAPS}) AS caps(cap)),
+    fields AS (
+      SELECT j.role, j.cap, applied, turn, min(place) AS first, count(*) AS held
+      FROM jobs j JOIN ranked r ON r.role = j.role AND place <= applied GROUP BY ALL)
+    SELECT 'job-' || role || '-' || cap AS id, applied AS row_cap_applied,
+           string_agg('t' || turn, ',' ORDER BY first) AS names
+    FROM fields GROUP BY role, cap, applied""",
+)
+def resolve_row_caps(spark, folder):
+    """Four jobs per role over the rows of all its turns: each sees its own first rows; 0 asks for the settings' number."""
+    turns = V.table(spark, folder, "conversations")
+    rows = turns.select(
+        F.col("role").alias("dataset_id"), F.lit("c").alias("config"), F.lit("train").alias("split"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_index"),
+        F.format_string('{"t%d":%d}', F.col("turn").cast("long"), F.col("turn").cast("long")).alias("row"),
+    )
+    roles = turns.select(F.col("role").alias("dataset_id")).distinct()
+    jobs = conform(roles.selectExpr(
+        "dataset_id", "explode(array(1, 150, 500, 0)) as row_cap").selectExpr(
+        "concat('job-', dataset_id, '-', row_cap) as id", "dataset_id", "'schema' as kind", "'queued' as state",
+        "0 as attempts", "row_cap", f"timestamp'{V.CATALOG_AS_OF}' as enqueued_at"), "jobs")
+    info = roles.selectExpr("dataset_id", """'{"splits":[{"config":"c","split":"train"}]}' as payload""")
+    cards = roles.filter("false").selectExpr("dataset_id", "'{}' as payload")
+    done = R.resolve_payloads(jobs, info, rows, cards, settings=PolicySettings(row_cap=300))
+    payload = J.parse("payload")
+    names = F.transform(F.try_variant_get(payload, "$.schema", "array<variant>"), lambda item: J.text_of(item, "name"))
+    return done.select(
+        "id", F.try_variant_get(payload, "$.row_cap_applied", "int").alias("row_cap_applied"), F.array_join(names, ",").alias("names")
+    )
+
+
 @query(
     "resolve_jobs",
     f"""WITH {_TALKS}
