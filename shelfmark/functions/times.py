@@ -6,9 +6,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_ZONE = r"(Z|[+-][0-9]{2}(:?[0-9]{2})?)?"
+_DASHED = rf"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}([T ][0-9]{{2}}(:[0-9]{{2}}(:[0-9]{{2}}([.,][0-9]{{1,9}})?)?)?{_ZONE})?$"
+_COMPACT = rf"^[0-9]{{8}}([T ][0-9]{{2}}([0-9]{{2}}([0-9]{{2}}([.,][0-9]{{1,9}})?)?)?{_ZONE})?$"
+
+
 def parse_iso(text: Column | str) -> Column:
-    """ISO-8601 text to a timestamp; no zone means UTC, bad text is NULL."""
-    return F.try_to_timestamp(F.col(text) if isinstance(text, str) else text)
+    """ISO-8601 text with a full date to a timestamp; no zone means UTC, all else is NULL.
+
+    Dates may be written with or without dashes, times down to the hour. A time or a year
+    alone is no date.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    dashed = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})", "$1-$2-$3")
+    dashed = F.regexp_replace(dashed, r"([T ]\d{2})(\d{2})(?=\d{2}|[.,Z+-]|$)", "$1:$2")
+    dashed = F.regexp_replace(dashed, r"([T ]\d{2}:\d{2})(\d{2})", "$1:$2")
+    dashed = F.regexp_replace(dashed, r"^(.{10}[T ]\d{2})(?=[Z+-]|$)", "$1:00")
+    dashed = F.regexp_replace(dashed, r"^(.{10}[T ]\d{2}:\d{2})(?=[Z+-]|$)", "$1:00")
+    dashed = F.regexp_replace(dashed, ",", ".")
+    return F.when(text.rlike(_DASHED) | text.rlike(_COMPACT), F.try_to_timestamp(dashed))
 
 
 def iso_format(ts: Column | str) -> Column:

@@ -95,6 +95,22 @@ def test_iso_times(spark):
     ]
 
 
+def test_iso_times_need_a_full_date(spark):
+    texts = ["20240131", "20240131T0506Z", "20240131T050607.25+0100", "2024-01-31T05", "2024-01-31 05:06", "2024-01-31T05:06:07,5",
+             "2024-01-31T05+02:00", "12:30:00", "T12:30", "2024", "2024-03", "2024-1-5", "2024-02-30", " 2024-01-31", "2024-01-31T25:00", ""]
+    got = values(spark, texts, TM.iso_format(TM.parse_iso("t")))
+    expected = []
+    for text in texts:
+        try:
+            moment = datetime.fromisoformat(text)
+        except ValueError:
+            expected.append(None)
+            continue
+        moment = moment.replace(tzinfo=timezone.utc) if moment.tzinfo is None else moment.astimezone(timezone.utc)
+        expected.append(moment.isoformat())
+    assert got == expected
+
+
 def test_truth_of_json_values(spark):
     given = ['"auto"', '""', "0", "0.0", "null", "false", "true", "[]", "[0]", "{}", '"false"', "1", '"0"']
     texts = ['{"g":%s}' % g for g in given] + ["{}"]
