@@ -35,16 +35,61 @@ def block(arrays: pa.Array) -> np.ndarray:
 
 
 def cosine_to(query: list[float]):
-    """A vectorised scorer against one query of unit length: column in, score out."""
+    """A vectorised scorer against one query of unit length: column in, score out; NULL stays NULL."""
     weights = np.asarray(query, dtype=np.float64)
 
     @F.arrow_udf(T.DoubleType())
     def score(vectors: pa.Array) -> pa.Array:
-        return pa.array(block(vectors) @ weights if len(vectors) else np.empty(0))
+        given = np.asarray(vectors.is_valid())
+        scores = np.zeros(len(vectors))
+        if given.any():
+            scores[given] = block(vectors.drop_null()) @ weights
+        return pa.array(scores, mask=~given)
 
     return score
 
 
+Best = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def best_of_block(scores: np.ndarray, ids: np.ndarray, k: int, carried: Best | None) -> Best:
+    """Per row of scores the k best (score descending, id ascending), together with those carried over.
+
+    Result: rows, scores and ids. A score of minus infinity is no hit.
+    """
+    n = scores.shape[1]
+    if n > k:
+        floor = np.partition(scores, n - k, axis=1)[:, n - k]
+        rows, cols = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
+    else:
+        rows, cols = np.nonzero(scores > -np.inf)
+    values, names = scores[rows, cols], ids[cols]
+    if carried is not None:
+        rows = np.concatenate([carried[0], rows])
+        values = np.concatenate([carried[1], values])
+        names = np.concatenate([carried[2], names])
+    order = np.lexsort((names, -values, rows))
+    rows, values, names = rows[order], values[order], names[order]
+    starts = np.searchsorted(rows, rows, side="left")
+    kept = np.arange(rows.size) - starts < k
+    return rows[kept], values[kept], names[kept]
+
+
+def hits_of(query_ids: np.ndarray, best: Best) -> pa.RecordBatch:
+    """The best of a task as rows (query_id, dataset_id, score)."""
+    rows, values, names = best
+    return pa.RecordBatch.from_pydict(
+        {
+            "query_id": pa.array(query_ids[rows].tolist(), pa.string()),
+            "dataset_id": pa.array(names.tolist(), pa.string()),
+            "score": pa.array(values, pa.float64()),
+        }
+    )
+
+
+HITS = "query_id string, dataset_id string, score double"
+
+
 @F.arrow_udf(T.ArrayType(T.FloatType()))
 def decode_float32(blobs: pa.Array) -> pa.Array:
     """Little-endian float32 bytes to an array of floats."""

@@ -41,14 +41,21 @@ def eligible_ids(datasets: DataFrame, filters: Filters | None) -> DataFrame:
     return chosen.select(F.col("id").alias("dataset_id"))
 
 
-def search_corpus(datasets: DataFrame) -> DataFrame:
+# What filters look at; a corpus may carry it.
+FILTER_COLUMNS = ["modalities", "license_class", "size_class", "languages"]
+
+
+def search_corpus(datasets: DataFrame, with_filters: bool = False) -> DataFrame:
     """The text that search looks at, one row per dataset: a snapshot to be written by a job.
 
     The text comes out of a one-item explode, so that filters on it are not moved below
-    it, where every mention of the text would put it together again.
+    it, where every mention of the text would put it together again. With the columns that
+    filters look at, a search can be filtered without a join.
     """
     return datasets.select(
-        F.col("id").alias("dataset_id"), F.explode(F.array(X.search_text())).alias("content")
+        F.col("id").alias("dataset_id"),
+        *(FILTER_COLUMNS if with_filters else []),
+        F.explode(F.array(X.search_text())).alias("content"),
     )
 
 

@@ -27,15 +27,17 @@ GRID_QUERIES = 2048
 GRID_VECTORS = 100_000
 # Scores held at a time by one task.
 BLOCK_SCORES = 4_000_000
-# Scores are compared to six decimals, what float32 vectors carry; ties go by id.
-SCORE_DECIMALS = 6
+# Scores are ranked as they are, but for the last bits, which tell the order of summation; ties go by id.
+SCORE_DECIMALS = 12
 
 
 def score_vectors(vectors: DataFrame, query: list[float]) -> DataFrame:
-    """(dataset_id, score): cosine of every stored unit vector with one unit query vector."""
-    return vectors.select(
-        "dataset_id", F.round(V.cosine_to(query)("vector"), SCORE_DECIMALS).alias("score")
-    )
+    """(dataset_id, score): cosine of every stored unit vector with one unit query vector.
+
+    Rows without a vector have no score.
+    """
+    scored = vectors.select("dataset_id", F.round(V.cosine_to(query)("vector"), SCORE_DECIMALS).alias("score"))
+    return scored.filter("score is not null")
 
 
 def search_dense(
@@ -61,52 +63,20 @@ def dense_total(vectors: DataFrame, datasets: DataFrame, filters: Filters | None
     return restrict(vectors.select("dataset_id"), datasets, filters).agg(F.count("*").alias("total"))
 
 
-def _best_of_block(
-    scores: np.ndarray, ids: np.ndarray, k: int, carried: tuple[np.ndarray, ...] | None
-) -> tuple[np.ndarray, ...]:
-    """Per row of scores the k best (score descending, id ascending), together with those carried over."""
-    n = scores.shape[1]
-    if n > k:
-        floor = np.partition(scores, n - k, axis=1)[:, n - k]
-        rows, cols = np.nonzero(scores >= floor[:, None])
-    else:
-        rows, cols = np.nonzero(np.ones(scores.shape, dtype=bool))
-    values, names = scores[rows, cols], ids[cols]
-    if carried is not None:
-        rows = np.concatenate([carried[0], rows])
-        values = np.concatenate([carried[1], values])
-        names = np.concatenate([carried[2], names])
-    order = np.lexsort((names, -values, rows))
-    rows, values, names = rows[order], values[order], names[order]
-    starts = np.searchsorted(rows, rows, side="left")
-    kept = np.arange(rows.size) - starts < k
-    return rows[kept], values[kept], names[kept]
-
-
 def _best_of_batch(
-    queries: np.ndarray, batch: pa.RecordBatch, k: int, best: tuple[np.ndarray, ...] | None
-) -> tuple[np.ndarray, ...] | None:
-    """Score a batch piece by piece, so that a task holds few scores at a time."""
+    queries: np.ndarray, batch: pa.RecordBatch, k: int, best: V.Best | None
+) -> V.Best | None:
+    """Score a batch piece by piece, so that a task holds few scores at a time; rows without a vector are passed over."""
+    batch = batch.filter(batch.column("vector").is_valid())
     step = max(1, BLOCK_SCORES // len(queries))
     for start in range(0, batch.num_rows, step):
         part = batch.slice(start, step)
         ids = np.asarray(part.column("dataset_id").to_pylist(), dtype=str)
         scores = np.round(queries @ V.block(part.column("vector")).T, SCORE_DECIMALS)
-        best = _best_of_block(scores, ids, k, best)
+        best = V.best_of_block(scores, ids, k, best)
     return best
 
 
-def _result(query_ids: np.ndarray, best: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-    rows, values, names = best
-    return pa.RecordBatch.from_pydict(
-        {
-            "query_id": pa.array(query_ids[rows].tolist(), pa.string()),
-            "dataset_id": pa.array(names.tolist(), pa.string()),
-            "score": pa.array(values, pa.float64()),
-        }
-    )
-
-
 def _scan_best(vectors: DataFrame, query_ids: list[str], matrix: np.ndarray, k: int) -> DataFrame:
     shared = vectors.sparkSession.sparkContext.broadcast((np.asarray(query_ids, dtype=str), matrix))
 
@@ -116,9 +86,9 @@ def _scan_best(vectors: DataFrame, query_ids: list[str], matrix: np.ndarray, k:
         for batch in batches:
             best = _best_of_batch(queries, batch, k, best)
         if best is not None:
-            yield _result(names, best)
+            yield V.hits_of(names, best)
 
-    return vectors.mapInArrow(best_of_partition, "query_id string, dataset_id string, score double")
+    return vectors.mapInArrow(best_of_partition, V.HITS)
 
 
 def _grid_best(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -144,12 +114,12 @@ def _grid_best(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         best = None
         for batch in stored.combine_chunks().to_batches():
             best = _best_of_batch(matrix, batch, k, best)
-        return pa.Table.from_batches([_result(names, best)])
+        return pa.Table.from_batches([V.hits_of(names, best)])
 
     return (
         left.groupBy("cut", "block")
         .cogroup(right.groupBy("cut", "block"))
-        .applyInArrow(best_of_cell, "query_id string, dataset_id string, score double")
+        .applyInArrow(best_of_cell, V.HITS)
     )
 
 
@@ -272,11 +242,24 @@ def vector_signature(vectors: DataFrame) -> DataFrame:
     return vectors.agg(F.count("*").alias("vectors"), F.max("updated_at").alias("last_update"))
 
 
-def convert_legacy_vectors(legacy: DataFrame) -> DataFrame:
-    """Vectors held as JSON text (column embedding) or as float32 bytes (column vector) to arrays."""
+def _converted(legacy: DataFrame) -> DataFrame:
     is_text = "embedding" in legacy.columns
     vector = V.parse_vector("embedding") if is_text else V.decode_float32("vector")
-    return legacy.select("dataset_id", "model", vector.alias("vector"), "updated_at")
+    whole = F.when((F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull()), vector)
+    return legacy.select("dataset_id", "model", whole.alias("vector"), "updated_at")
+
+
+def convert_legacy_vectors(legacy: DataFrame) -> DataFrame:
+    """Vectors held as JSON text (column embedding) or as float32 bytes (column vector) to arrays.
+
+    Rows that hold no vector are left out; ``legacy_rejects`` names them.
+    """
+    return _converted(legacy).filter("vector is not null")
+
+
+def legacy_rejects(legacy: DataFrame) -> DataFrame:
+    """(dataset_id, model) of legacy rows whose text or bytes are no vector."""
+    return _converted(legacy).filter("vector is null").select("dataset_id", "model")
 
 
 def migrate_vectors(legacy: DataFrame, vectors: DataFrame) -> DataFrame:

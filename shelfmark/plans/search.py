@@ -1,22 +1,32 @@
 """Keyword search: token hits (substring match) and BM25 (term match)."""
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark import constants as C
 from shelfmark.functions import text as X
+from shelfmark.functions.vectors import HITS, Best, best_of_block, hits_of
 from shelfmark.operators.catalog import Filters, eligible_ids, fresh_artifact, signal_of
 from shelfmark.operators.ranking import page, top_k
-from shelfmark.operators.skew import has_at_most, spread_join
+from shelfmark.session import materialised
 from shelfmark.sources.tables import write_snapshot
 
-# Up to these sizes a set of queries is looked up in each text as it is scanned.
-SCAN_TOKENS = 256
-SCAN_QUERY_TOKENS = 4096
-# Of larger sets, short tokens are still looked up: they occur in most words and texts.
-SHORT_TOKEN = 3
+# Queries go to the tasks in blocks of about this many bytes of query text; each block is one scan.
+QUERY_BLOCK_BYTES = 8 << 20
+# Scores held at a time by one task, and words whose tokens a task remembers.
+BLOCK_SCORES = 4_000_000
+REMEMBERED_WORDS = 200_000
+# Scores are ranked as they are, but for the last bits, which tell the order of summation.
+SCORE_DECIMALS = 10
 
 
 def best_first() -> list[Column]:
@@ -37,14 +47,15 @@ def matches(corpus: DataFrame, query: str) -> DataFrame:
     return corpus.filter(wanted).select("dataset_id", X.token_hits(F.col("content"), tokens).alias("score"))
 
 
-def restrict(scored: DataFrame, datasets: DataFrame, filters: Filters | None, many: bool = False) -> DataFrame:
-    """Only datasets that exist and pass the filters; joins on narrow columns.
+def restrict(scored: DataFrame, datasets: DataFrame | None, filters: Filters | None) -> DataFrame:
+    """Only datasets that exist and pass the filters.
 
-    ``many`` tells that there are far more scores than datasets: ids of checked number
-    are then broadcast, which leaves the scores where they are.
+    Rows that carry the columns that filters look at are filtered where they lie; without
+    ``datasets`` they are taken to exist. Other rows are joined with the ids.
     """
-    ids = eligible_ids(datasets, filters)
-    return scored.join(F.broadcast(ids) if many and has_at_most(ids) else ids, "dataset_id", "left_semi")
+    if datasets is None:
+        return scored.filter(filters.condition()) if filters and filters.active else scored
+    return scored.join(eligible_ids(datasets, filters), "dataset_id", "left_semi")
 
 
 def hit_page(
@@ -114,193 +125,251 @@ def search_total(corpus: DataFrame, datasets: DataFrame, query: str, filters: Fi
     return restrict(matches(corpus, query), datasets, filters).agg(F.count("*").alias("total"))
 
 
-def batch_token_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, dataset_id, score) for many queries (query_id, query) at once.
-
-    Few tokens are looked up in each text while it is scanned. Many tokens are joined:
-    tokens hold no white space, so a text holds a token exactly if one of its words
-    does. Tokens are matched against the distinct words of the corpus, and the words
-    found against the texts, with equality joins only.
-    """
-    tokens = queries.select("query_id", F.explode(X.whitespace_tokens(F.lower("query"))).alias("token"))
-    tokens = tokens.groupBy("query_id", "token").agg(F.count("*").cast("int").alias("times"))
-    some = tokens.limit(SCAN_QUERY_TOKENS + 1).collect()
-    if len(some) <= SCAN_QUERY_TOKENS and len({r["token"] for r in some}) <= SCAN_TOKENS:
-        return _scan_scores(corpus, some)
-    pairs = _token_pairs(corpus, tokens.select("token").distinct())
-    if has_at_most(tokens):
-        per_query = pairs.join(F.broadcast(tokens), "token")
-    else:
-        per_query = spread_join(pairs, tokens, "token", "dataset_id")
-    return per_query.groupBy("query_id", "dataset_id").agg(F.sum("times").alias("score"))
-
-
-def _found(tokens: list[str]) -> Column:
-    return F.filter(F.array(*[F.lit(t) for t in tokens]), lambda t: F.contains(F.col("content"), t))
-
-
-def _token_pairs(corpus: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(dataset_id, token) for every token that occurs in a text."""
-    short = tokens.filter(F.length("token") <= SHORT_TOKEN).orderBy(F.length("token"), "token").limit(SCAN_TOKENS)
-    looked_up = [r["token"] for r in short.collect()]
-    joined = _joined_pairs(corpus, tokens.filter(~F.col("token").isin(looked_up)))
-    scanned = corpus.select("dataset_id", F.explode_outer(_found(looked_up)).alias("token"))
-    return scanned.filter("token is not null").unionByName(joined) if looked_up else joined
-
-
-def _scan_scores(corpus: DataFrame, tokens: list) -> DataFrame:
-    if not tokens:
-        return corpus.select(
-            F.lit("").alias("query_id"), "dataset_id", F.lit(0).cast("bigint").alias("score")
-        ).filter(F.lit(False))
-    position = {token: i for i, token in enumerate(sorted({r["token"] for r in tokens}))}
-    places: dict[str, list[int]] = {}
-    for row in tokens:
-        places.setdefault(row["query_id"], []).extend([position[row["token"]]] * row["times"])
-    found = F.transform(
-        F.array(*[F.lit(t) for t in position]), lambda t: F.contains(F.col("content"), t).cast("int")
-    )
-    wanted = F.array(
-        *[
-            F.struct(F.lit(q).alias("query_id"), F.array(*[F.lit(p) for p in ps]).alias("places"))
-            for q, ps in sorted(places.items())
-        ]
-    )
-    scored = F.transform(
-        wanted,
-        lambda q: F.struct(
-            q.query_id.alias("query_id"),
-            F.aggregate(
-                q.places, F.lit(0).cast("bigint"), lambda n, p: n + F.get(F.col("_found"), p)
-            ).alias("score"),
-        ),
-    )
-    return (
-        corpus.select("dataset_id", found.alias("_found"))
-        .select("dataset_id", F.inline(F.filter(scored, lambda s: s.score > 0)))
-        .select("query_id", "dataset_id", "score")
-    )
-
-
-def _holding_words(words: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(word, token) for every token that occurs in a word.
-
-    A token is looked for at each position of a word by its first (up to four)
-    characters, then compared in full.
-    """
-    lengths = [r[0] for r in tokens.select(F.least(F.length("token"), F.lit(4))).distinct().collect()] or [4]
-    starts = F.array(*[F.substr("word", F.col("at"), F.lit(n)) for n in sorted(lengths)])
-    keyed = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("at")).select(
-        "word", "at", F.explode(starts).alias("start")
-    )
-    wanted = tokens.select(F.substring("token", 1, 4).alias("start"), "token")
-    if has_at_most(wanted):
-        met = keyed.join(F.broadcast(wanted), "start")
-    else:
-        met = spread_join(keyed, wanted, "start", "word")
-    same = F.substr("word", F.col("at"), F.length("token")) == F.col("token")
-    return met.filter(same).select("word", "token").distinct()
-
-
-def _joined_pairs(corpus: DataFrame, tokens: DataFrame) -> DataFrame:
-    # explode_outer, as explode would split every text twice: once in a filter for
-    # empty lists that the optimizer adds below it.
-    words_of = F.array_distinct(X.whitespace_tokens("content"))
-    postings = corpus.select("dataset_id", F.explode_outer(words_of).alias("word")).filter("word is not null")
-    words = postings.groupBy("word").agg(F.count("*").alias("n"))
-    holds = _holding_words(words, tokens)
-    return spread_join(postings, holds, "word", "dataset_id", words).select("dataset_id", "token").distinct()
+def query_blocks(queries: DataFrame) -> Iterator[list]:
+    """The queries (query_id, query) as lists of rows of bounded size, however many there are."""
+    asked = queries.select("query_id", "query").filter("query is not null")
+    blocks = -(-(asked.agg(F.sum(F.octet_length("query") + 16)).first()[0] or 0) // QUERY_BLOCK_BYTES)
+    for block in range(blocks):
+        yield sorted(asked.filter(F.pmod(F.xxhash64("query_id", "query"), F.lit(blocks)) == block).collect())
+
+
+class WeightedTokens:
+    """Tokens of a block of queries: which queries ask for each, and with what weight."""
+
+    def __init__(self, asked: dict[str, list[tuple[int, float]]], query_ids: list[str]):
+        self.query_ids = np.array(query_ids, dtype=object)
+        self.tokens = sorted(asked)
+        self.places = [np.array([q for q, _ in asked[t]]) for t in self.tokens]
+        self.weights = [np.array([w for _, w in asked[t]]) for t in self.tokens]
+
+    def scores(self, found: list[int], gains: list[float] | None = None) -> np.ndarray:
+        """The score of one text for every query, given the tokens found in it; no hit is minus infinity."""
+        if not found:
+            return np.full(len(self.query_ids), -np.inf)
+        places = np.concatenate([self.places[t] for t in found])
+        weights = np.concatenate([self.weights[t] * (1.0 if gains is None else gains[i]) for i, t in enumerate(found)])
+        total = np.bincount(places, weights=weights, minlength=len(self.query_ids))
+        hit = np.zeros(len(self.query_ids), bool)
+        hit[places] = True
+        return np.where(hit, np.round(total, SCORE_DECIMALS), -np.inf)
+
+
+class TokenFinder:
+    """Which tokens occur in a text as substrings. Tokens hold no white space, so a text holds
+    a token exactly if one of its words does; words that come again are remembered."""
+
+    def __init__(self, tokens: list[str]):
+        self.machine = ahocorasick.Automaton()
+        for number, token in enumerate(tokens):
+            self.machine.add_word(token, number)
+        self.machine.make_automaton()
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def __call__(self, text: str) -> list[int]:
+        found: set[int] = set()
+        for word in set(text.split()):
+            tokens = self.known.get(word)
+            if tokens is None:
+                tokens = tuple({number for _, number in self.machine.iter(word)})
+                if len(self.known) < REMEMBERED_WORDS:
+                    self.known[word] = tokens
+            found.update(tokens)
+        return sorted(found)
+
+
+def _best_of_rows(scores: Iterator[tuple[str, np.ndarray]], queries: int, k: int) -> Best | None:
+    """The k best per query out of (dataset_id, scores of all queries), a bounded block at a time."""
+    step, best, ids, rows = max(1, BLOCK_SCORES // max(1, queries)), None, [], []
+
+    def merged() -> Best:
+        return best_of_block(np.array(rows).T, np.array(ids, dtype=str), k, best)
+
+    for dataset_id, row in scores:
+        ids.append(dataset_id)
+        rows.append(row)
+        if len(rows) == step:
+            best, ids, rows = merged(), [], []
+    return merged() if rows else best
 
 
 def search_tokens_batch(
     corpus: DataFrame,
-    datasets: DataFrame,
+    datasets: DataFrame | None,
     queries: DataFrame,
     k: int,
     filters: Filters | None = None,
 ) -> DataFrame:
-    """(query_id, rank, dataset_id, score): the k best datasets of every query."""
-    scored = restrict(batch_token_scores(corpus, queries), datasets, filters, many=True)
-    return top_k(scored, ["query_id"], best_first(), k).select("query_id", "rank", "dataset_id", "score")
+    """(query_id, rank, dataset_id, score): the k best datasets of every query (query_id, query).
+
+    One scan of the corpus per block of queries: all tokens are looked for at once by an
+    automaton, and each task scores its own texts and passes on the k best per query
+    only. Queries without tokens have no hits. Leave ``datasets`` out if the corpus
+    is a snapshot of them; filters then look at the corpus' own columns.
+    """
+    texts = restrict(corpus, datasets, filters).select("dataset_id", "content")
+    best = queries.sparkSession.createDataFrame([], HITS)
+    for block in query_blocks(queries):
+        asked: dict[str, list[tuple[int, float]]] = {}
+        for place, row in enumerate(block):
+            for token, times in Counter(query_tokens(row["query"])).items():
+                asked.setdefault(token, []).append((place, float(times)))
+        if not asked:
+            continue
+        sent = texts.sparkSession.sparkContext.broadcast(WeightedTokens(asked, [r["query_id"] for r in block]))
+
+        def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            wanted = sent.value
+            find = TokenFinder(wanted.tokens)
+
+            def rows() -> Iterator[tuple[str, np.ndarray]]:
+                for batch in batches:
+                    for dataset_id, text in zip(batch.column("dataset_id").to_pylist(), batch.column("content").to_pylist()):
+                        found = find(text or "")
+                        if found:
+                            yield dataset_id, wanted.scores(found)
+
+            found = _best_of_rows(rows(), len(wanted.query_ids), k)
+            if found is not None:
+                yield hits_of(wanted.query_ids, found)
+
+        best = best.unionByName(texts.mapInArrow(score, HITS))
+    ranked = top_k(best, ["query_id"], best_first(), k)
+    return ranked.select("query_id", "rank", "dataset_id", F.col("score").cast("bigint").alias("score"))
 
 
 @dataclass(frozen=True)
 class TermIndex:
-    """Tables BM25 needs: postings (term, dataset_id, tf, doc_len), terms (term, df), totals (n_docs, avg_len)."""
+    """Tables BM25 needs, one row per text: documents (dataset_id, doc_len, terms, tfs); terms (term, df); totals (n_docs, avg_len)."""
 
-    postings: DataFrame
+    documents: DataFrame
     terms: DataFrame
     totals: DataFrame
 
 
-def asked_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term, times) of queries (query_id, query)."""
-    asked = queries.select("query_id", F.explode(X.terms("query")).alias("term"))
-    return asked.groupBy("query_id", "term").agg(F.count("*").alias("times"))
+_TERM = re.compile(r"\w+")
 
 
 def build_term_index(corpus: DataFrame, only: DataFrame | None = None) -> TermIndex:
-    """Corpus statistics. Write the three frames as tables to serve many searches.
+    """Term counts of the corpus, from one pass over its texts.
 
-    ``only`` (query_id, query) keeps the terms that these queries ask for, which spares
-    an index for a single batch most of its shuffle.
+    Texts stay in their tasks: a row holds the terms of one text, and only counts per
+    term are shuffled. The rows are kept in the shared folder. ``only`` (query_id, query)
+    keeps the terms that these queries ask for, of which there may be QUERY_BLOCK_BYTES.
+    Columns of the corpus that filters look at are kept.
     """
-    analysed = corpus.select("dataset_id", X.terms("content").alias("terms"))
-    # explode_outer for the reason given in _joined_pairs.
-    found = analysed.select("dataset_id", F.size("terms").alias("doc_len"), F.explode_outer("terms").alias("term"))
-    distinct = analysed.select(F.explode_outer(F.array_distinct("terms")).alias("term"))
+    context = corpus.sparkSession.sparkContext
+    wanted = None
     if only is not None:
-        wanted = asked_terms(only).select("term").distinct()
-        wanted = F.broadcast(wanted) if has_at_most(wanted) else wanted
-        found, distinct = found.join(wanted, "term", "left_semi"), distinct.join(wanted, "term", "left_semi")
-    else:
-        found, distinct = found.filter("term is not null"), distinct.filter("term is not null")
-    postings = (
-        found.groupBy("dataset_id", "doc_len", "term")
-        .agg(F.count("*").alias("tf"))
-        .select("term", "dataset_id", "tf", "doc_len")
-    )
-    terms = distinct.groupBy("term").agg(F.count("*").alias("df"))
-    totals = analysed.agg(F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avg_len"))
-    return TermIndex(postings, terms, totals)
+        asked = only.select(F.explode(X.terms("query")).alias("term")).distinct()
+        if (asked.agg(F.sum(F.octet_length("term"))).first()[0] or 0) <= QUERY_BLOCK_BYTES:
+            wanted = context.broadcast(pa.array([r["term"] for r in asked.collect()], pa.string()))
+    columns = [c for c in corpus.columns if c != "content"]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in corpus.select(columns).schema)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths, terms, tfs = [], [], []
+            for text in batch.column("content").to_pylist():
+                found = _TERM.findall((text or "").lower())
+                lengths.append(len(found))
+                counts = Counter(found)
+                terms.append(list(counts))
+                tfs.append(list(counts.values()))
+            terms, tfs = pa.array(terms, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int32()))
+            if wanted is not None:
+                kept = pc.is_in(terms.flatten(), value_set=wanted.value)
+                ends = np.concatenate(([0], np.cumsum(kept.to_numpy(zero_copy_only=False))))
+                offsets = pa.array(ends[terms.offsets.to_numpy()], pa.int32())
+                terms = pa.ListArray.from_arrays(offsets, terms.flatten().filter(kept))
+                tfs = pa.ListArray.from_arrays(offsets, tfs.flatten().filter(kept))
+            own = [batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(lengths, pa.int32()), terms, tfs], [*columns, "doc_len", "terms", "tfs"])
+
+    counted = corpus.select(*columns, "content").mapInArrow(count, f"{kinds}, doc_len int, terms array<string>, tfs array<int>")
+    documents = materialised(counted, "terms")
+    terms = documents.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    totals = documents.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+    return TermIndex(documents, terms, totals)
 
 
 def store_term_index(index: TermIndex, folder: str) -> None:
-    """Write the index to a new folder; terms are kept together so that a lookup reads few row groups."""
-    write_snapshot(index.postings.sortWithinPartitions("term"), f"{folder}/postings")
+    """Write the index to a new folder, to serve many searches."""
+    write_snapshot(index.documents, f"{folder}/documents")
     write_snapshot(index.terms, f"{folder}/terms")
     write_snapshot(index.totals, f"{folder}/totals")
 
 
 def load_term_index(spark: SparkSession, folder: str) -> TermIndex:
-    return TermIndex(*[spark.read.parquet(f"{folder}/{name}") for name in ("postings", "terms", "totals")])
-
-
-def bm25_scores(index: TermIndex, queries: DataFrame) -> DataFrame:
-    """(query_id, dataset_id, score): Okapi BM25, a repeated query term counting again."""
-    asked = asked_terms(queries)
-    n_docs, avg_len = (index.totals.select(c).scalar() for c in ("n_docs", "avg_len"))
-    idf = F.expr("ln(1 + (n_docs - df + 0.5D) / (df + 0.5D))")
-    terms = index.terms.select("term", "df", n_docs.alias("n_docs"))
-    weighted = asked.join(terms, "term").select("query_id", "term", (idf * F.col("times")).alias("weight"))
-    gain = F.expr(
-        f"tf * ({C.BM25_K1}D + 1) / (tf + {C.BM25_K1}D * (1 - {C.BM25_B}D + {C.BM25_B}D * doc_len / avg_len))"
-    )
-    postings = index.postings.select("*", avg_len.alias("avg_len")).select("term", "dataset_id", gain.alias("gain"))
-    if has_at_most(asked):
-        found = postings.join(F.broadcast(weighted), "term")
-    else:
-        found = spread_join(postings, weighted, "term", "dataset_id", index.terms.withColumnRenamed("df", "n"))
-    score = F.round(F.sum(F.col("weight") * F.col("gain")), 6)
-    return found.groupBy("query_id", "dataset_id").agg(score.alias("score"))
+    return TermIndex(*[spark.read.parquet(f"{folder}/{name}") for name in ("documents", "terms", "totals")])
+
+
+def _inverse_frequencies(index: TermIndex, terms: list[str]) -> tuple[dict[str, float], float]:
+    """The inverse document frequency of the terms that occur, and the average length; terms come in bounded blocks."""
+    spark = index.terms.sparkSession
+    asked = spark.createDataFrame(pa.table({"term": pa.array(terms, pa.string())}))
+    found = {r["term"]: r["df"] for r in index.terms.join(F.broadcast(asked), "term").collect()}
+    totals = index.totals.first()
+    idf = {t: float(np.log(1 + (totals["n_docs"] - df + 0.5) / (df + 0.5))) for t, df in found.items()}
+    return idf, totals["avg_len"] or 1.0
+
+
+def _gain(tf: float, doc_len: float, avg_len: float) -> float:
+    return tf * (C.BM25_K1 + 1) / (tf + C.BM25_K1 * (1 - C.BM25_B + C.BM25_B * doc_len / avg_len))
+
+
+def bm25_scores(index: TermIndex, query: str) -> DataFrame:
+    """(dataset_id, score) of every text that holds a term of one query: Okapi BM25, a repeated term counting again."""
+    asked = Counter(_TERM.findall(query.lower()))
+    idf, avg_len = _inverse_frequencies(index, sorted(asked))
+    score, hit = F.lit(0.0), F.lit(False)
+    for term in sorted(idf):
+        tf = F.get("tfs", F.array_position("terms", F.lit(term)).cast("int") - 1)
+        score = score + F.coalesce(F.lit(idf[term] * asked[term]) * _gain(tf, F.col("doc_len"), F.lit(avg_len)), F.lit(0.0))
+        hit = hit | F.array_contains("terms", F.lit(term))
+    return index.documents.filter(hit).select("*", F.round(score, SCORE_DECIMALS).alias("score"))
 
 
 def search_bm25_batch(
-    index: TermIndex, datasets: DataFrame, queries: DataFrame, k: int, filters: Filters | None = None
+    index: TermIndex, datasets: DataFrame | None, queries: DataFrame, k: int, filters: Filters | None = None
 ) -> DataFrame:
-    """(query_id, rank, dataset_id, score): the k best datasets of every query by BM25."""
-    scored = restrict(bm25_scores(index, queries), datasets, filters, many=True)
-    return top_k(scored, ["query_id"], best_first(), k).select("query_id", "rank", "dataset_id", "score")
+    """(query_id, rank, dataset_id, score): the k best datasets of every query by BM25.
+
+    One scan of the index per block of queries; each task scores its own texts and passes on
+    the k best per query only. ``datasets`` as for search_tokens_batch.
+    """
+    rows = restrict(index.documents, datasets, filters).select("dataset_id", "doc_len", "terms", "tfs")
+    best = queries.sparkSession.createDataFrame([], HITS)
+    for block in query_blocks(queries):
+        counts = [Counter(_TERM.findall(r["query"].lower())) for r in block]
+        idf, avg_len = _inverse_frequencies(index, sorted(set().union(*counts)))
+        asked: dict[str, list[tuple[int, float]]] = {}
+        for place, terms in enumerate(counts):
+            for term, times in terms.items():
+                if term in idf:
+                    asked.setdefault(term, []).append((place, times * idf[term]))
+        if not asked:
+            continue
+        sent = rows.sparkSession.sparkContext.broadcast((WeightedTokens(asked, [r["query_id"] for r in block]), avg_len))
+
+        def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            wanted, average = sent.value
+            numbers = {term: i for i, term in enumerate(wanted.tokens)}
+
+            def scored() -> Iterator[tuple[str, np.ndarray]]:
+                for batch in batches:
+                    for row in batch.to_pylist():
+                        held = [(numbers[t], tf) for t, tf in zip(row["terms"], row["tfs"]) if t in numbers]
+                        if held:
+                            held.sort()
+                            gains = [_gain(tf, row["doc_len"], average) for _, tf in held]
+                            yield row["dataset_id"], wanted.scores([t for t, _ in held], gains)
+
+            found = _best_of_rows(scored(), len(wanted.query_ids), k)
+            if found is not None:
+                yield hits_of(wanted.query_ids, found)
+
+        best = best.unionByName(rows.mapInArrow(score, HITS))
+    return top_k(best, ["query_id"], best_first(), k).select("query_id", "rank", "dataset_id", "score")
 
 
 def search_bm25(
@@ -312,8 +381,13 @@ def search_bm25(
     limit: int = C.SEARCH_LIMIT_DEFAULT,
     offset: int = 0,
     sample_rows: DataFrame | None = None,
+    fall_back: DataFrame | None = None,
 ) -> DataFrame:
-    """One page of datasets by BM25."""
-    asked = datasets.sparkSession.createDataFrame([("", query)], "query_id string, query string")
-    scored = restrict(bm25_scores(index, asked), datasets, filters)
+    """One page of datasets by BM25.
+
+    If no text holds a term of the query, the hits are token hits in the corpus given as ``fall_back``.
+    """
+    scored = restrict(bm25_scores(index, query), datasets, filters)
+    if fall_back is not None and scored.isEmpty():
+        return search_tokens(fall_back, datasets, artifacts, query, filters, limit, offset, sample_rows)
     return hit_page(scored, datasets, artifacts, query_tokens(query), limit, offset, sample_rows)

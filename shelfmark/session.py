@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,10 +53,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fill_cores(df: DataFrame) -> DataFrame:
-    """Spread a scan of fewer splits than cores, so that long texts are worked on by all of them.
-
-    A large input has more splits than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: made once, read by column, safe from lost executors."""
+    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

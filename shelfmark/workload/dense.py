@@ -15,10 +15,10 @@ DIMENSIONS = 64
 QUERY_VECTOR = [0.125] * DIMENSIONS
 FILTERS = Filters(license_class="mit", language="en")
 _FILTER_SQL = "AND license_class = 'mit' AND languages LIKE '%en%'"
-_SCORED = "scored AS (SELECT dataset_id, round(list_sum(vector) * 0.125, 6) AS score FROM vectors)"
+_SCORED = "scored AS (SELECT dataset_id, round(list_sum(vector) * 0.125, 12) AS score FROM vectors)"
 _HEAD = f"WITH {DATASETS}, {ARTIFACTS}, {VECTORS}, {_SCORED}"
 _HIT = """
-SELECT d.id, d.title, score, f.dataset_id IS NOT NULL AS has_schema, d.readme_text
+SELECT d.id, d.title, round(s.score, 6) AS score, f.dataset_id IS NOT NULL AS has_schema, d.readme_text
 FROM scored s JOIN datasets d ON d.id = s.dataset_id LEFT JOIN fresh f ON f.dataset_id = d.id WHERE true"""
 
 
@@ -42,20 +42,20 @@ def _tables(spark, folder):
 
 
 def _shown(hits):
-    return hits.select("id", "title", "score", "has_schema", "readme_text")
+    return hits.select("id", "title", F.round("score", 6).alias("score"), "has_schema", "readme_text")
 
 
-@query("dense_topk", f"{_HEAD} {_HIT} ORDER BY score DESC, d.id LIMIT 30")
+@query("dense_topk", f"{_HEAD} {_HIT} ORDER BY s.score DESC, d.id LIMIT 30")
 def dense_topk(spark, folder):
     return _shown(D.search_dense(*_tables(spark, folder), QUERY_VECTOR))
 
 
-@query("dense_topk_filtered", f"{_HEAD} {_HIT} {_FILTER_SQL} ORDER BY score DESC, d.id LIMIT 30")
+@query("dense_topk_filtered", f"{_HEAD} {_HIT} {_FILTER_SQL} ORDER BY s.score DESC, d.id LIMIT 30")
 def dense_topk_filtered(spark, folder):
     return _shown(D.search_dense(*_tables(spark, folder), QUERY_VECTOR, FILTERS))
 
 
-@query("dense_page2", f"{_HEAD} {_HIT} ORDER BY score DESC, d.id LIMIT 20 OFFSET 20")
+@query("dense_page2", f"{_HEAD} {_HIT} ORDER BY s.score DESC, d.id LIMIT 20 OFFSET 20")
 def dense_page2(spark, folder):
     return _shown(D.search_dense(*_tables(spark, folder), QUERY_VECTOR, limit=20, offset=20))
 
@@ -66,7 +66,7 @@ def dense_total(spark, folder):
     return D.dense_total(vectors, datasets, FILTERS)
 
 
-@query("dense_scores", f"{_HEAD} SELECT dataset_id, score FROM scored")
+@query("dense_scores", f"{_HEAD} SELECT dataset_id, round(score, 6) AS score FROM scored")
 def dense_scores(spark, folder):
     """Scores by built-in expressions, without Python."""
     asked = F.array(*[F.lit(x) for x in QUERY_VECTOR])
@@ -75,7 +75,7 @@ def dense_scores(spark, folder):
 
 
 _TOP = """
-SELECT query_id, rank, dataset_id, score FROM (
+SELECT query_id, rank, dataset_id, round(score, 6) AS score FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dataset_id) AS INTEGER) AS rank
   FROM pairs)
 WHERE rank <= {k}"""
@@ -86,6 +86,10 @@ centres AS (SELECT CAST(label AS VARCHAR) AS query_id, list(x / norm ORDER BY po
             FROM means JOIN (SELECT label, sqrt(sum(x * x)) AS norm FROM means GROUP BY 1) USING (label) GROUP BY 1)"""
 
 
+def _rounded(hits):
+    return hits.withColumn("score", F.round("score", 6))
+
+
 def centres(spark, folder):
     """One query per label: the mean of its vectors, scaled to unit length."""
     parts = V.table(spark, folder, "embeddings").select("label", F.posexplode("embedding").alias("at", "x"))
@@ -99,29 +103,29 @@ def centres(spark, folder):
 @query(
     "dense_topk_batch",
     f"""WITH {DATASETS}, {VECTORS}, {_CENTRES},
-    pairs AS (SELECT query_id, dataset_id, round(list_dot_product(vector, q), 6) AS score
+    pairs AS (SELECT query_id, dataset_id, round(list_dot_product(vector, q), 12) AS score
               FROM vectors JOIN datasets ON id = dataset_id, centres)
     {_TOP.format(k=10)}""",
 )
 def dense_topk_batch(spark, folder):
     vectors, datasets, _ = _tables(spark, folder)
-    return D.search_dense_batch(vectors, datasets, centres(spark, folder), 10)
+    return _rounded(D.search_dense_batch(vectors, datasets, centres(spark, folder), 10))
 
 
 @query(
     "dense_topk_batch_filtered",
     f"""WITH {DATASETS}, {VECTORS}, {_CENTRES},
-    pairs AS (SELECT query_id, dataset_id, round(list_dot_product(vector, q), 6) AS score
+    pairs AS (SELECT query_id, dataset_id, round(list_dot_product(vector, q), 12) AS score
               FROM vectors JOIN datasets ON id = dataset_id, centres WHERE true {_FILTER_SQL})
     {_TOP.format(k=10)}""",
 )
 def dense_topk_batch_filtered(spark, folder):
     vectors, datasets, _ = _tables(spark, folder)
-    return D.search_dense_batch(vectors, datasets, centres(spark, folder), 10, FILTERS)
+    return _rounded(D.search_dense_batch(vectors, datasets, centres(spark, folder), 10, FILTERS))
 
 
 _NEIGHBOURS = f"""WITH {VECTORS},
-pairs AS (SELECT q.dataset_id AS query_id, v.dataset_id, round(list_dot_product(v.vector, q.vector), 6) AS score
+pairs AS (SELECT q.dataset_id AS query_id, v.dataset_id, round(list_dot_product(v.vector, q.vector), 12) AS score
           FROM vectors v, vectors q)
 {_TOP.format(k=5)}"""
 
@@ -131,7 +135,7 @@ def dense_neighbours(spark, folder):
     """The five nearest vectors of every vector."""
     vectors = V.vectors(spark, folder)
     asked = vectors.select(F.col("dataset_id").alias("query_id"), "vector")
-    return D.search_dense_batch(vectors, None, asked, 5)
+    return _rounded(D.search_dense_batch(vectors, None, asked, 5))
 
 
 @query("dense_neighbours_grid", _NEIGHBOURS)
@@ -139,7 +143,7 @@ def dense_neighbours_grid(spark, folder):
     """The same by the grid that large query sets go through."""
     vectors = V.vectors(spark, folder)
     asked = vectors.select(F.col("dataset_id").alias("query_id"), "vector")
-    return D.search_dense_batch(vectors, None, asked, 5, broadcast_queries=0)
+    return _rounded(D.search_dense_batch(vectors, None, asked, 5, broadcast_queries=0))
 
 
 @query(
@@ -244,16 +248,26 @@ def vectors_replaced(spark, folder):
     )
 
 
+_KINDS = "CAST(dataset_id AS BIGINT) % 50"
+_WHOLE = f"({_KINDS} > 3)"
+
+
 def _legacy(spark, folder):
-    return V.vectors(spark, folder).select(
-        "dataset_id", "model", F.to_json("vector").alias("embedding"), "updated_at"
+    """Vectors as JSON text; some rows hold no vector: cut text, a word in it, an empty list, nothing."""
+    kind = F.col("dataset_id").cast("bigint") % 50
+    text = F.to_json("vector")
+    broken = (
+        F.when(kind == 0, F.substring(text, 1, 20)).when(kind == 1, F.lit('["a", 1.0]'))
+        .when(kind == 2, F.lit("[]")).when(kind == 3, F.lit(None)).otherwise(text)
     )
+    return V.vectors(spark, folder).select("dataset_id", "model", broken.alias("embedding"), "updated_at")
 
 
 @query("vector_migration", f"""WITH {VECTORS}
-SELECT dataset_id, CAST(len(vector) AS INTEGER) AS dimensions, round(list_sum(vector), 5) AS total FROM vectors""")
+SELECT dataset_id, CAST(len(vector) AS INTEGER) AS dimensions, round(list_sum(vector), 5) AS total FROM vectors
+WHERE {_WHOLE}""")
 def vector_migration(spark, folder):
-    """Vectors held as JSON text moved into an empty vector table."""
+    """Vectors held as JSON text moved into an empty vector table; what is no vector stays out."""
     vectors = V.vectors(spark, folder)
     moved = D.migrate_vectors(_legacy(spark, folder), vectors.filter(F.lit(False)))
     ones = F.array_repeat(F.lit(1.0), DIMENSIONS)
@@ -262,8 +276,14 @@ def vector_migration(spark, folder):
     )
 
 
-@query("vector_migration_check", """SELECT count(*) AS legacy_count, count(*) AS new_count, true AS may_drop
-FROM embeddings""")
+@query("vector_migration_rejects", f"WITH {VECTORS} SELECT dataset_id, 'given-64' AS model FROM vectors WHERE NOT {_WHOLE}")
+def vector_migration_rejects(spark, folder):
+    return D.legacy_rejects(_legacy(spark, folder))
+
+
+@query("vector_migration_check", f"""WITH {VECTORS},
+counts AS (SELECT count(*) AS legacy_count, count(*) FILTER (WHERE {_WHOLE}) AS new_count FROM vectors)
+SELECT legacy_count, new_count, new_count >= legacy_count AS may_drop FROM counts""")
 def vector_migration_check(spark, folder):
     legacy = _legacy(spark, folder)
     moved = D.migrate_vectors(legacy, V.vectors(spark, folder).filter(F.lit(False)))

@@ -10,7 +10,6 @@ from shelfmark.functions.times import iso_format
 from shelfmark.operators import keyed as K
 from shelfmark.plans import ingest as I
 from shelfmark.schemas import conform
-from shelfmark.session import fill_cores
 from shelfmark.workload.registry import ARTIFACTS, AS_OF, DATASETS, JOBS, NOT_SPACE, query
 
 _LICENSE = "case lang when 'en' then 'mit' when 'fr' then 'apache-2.0' when 'de' then 'cc-by-nc-4.0' end"
@@ -19,7 +18,7 @@ _TOKENS = f"len(regexp_extract_all(text, '{NOT_SPACE}'))"
 
 def jsonl_lines(spark, folder):
     """Documents as catalog lines: four sources give rows that must be rejected."""
-    documents = fill_cores(V.table(spark, folder, "documents")).selectExpr(
+    documents = V.table(spark, folder, "documents").selectExpr(
         "doc_id", "source",
         """to_json(named_struct(
           'id', concat('org/doc-', doc_id), 'name', case when lang <> 'fr' then concat(source, '-set') end,
@@ -95,7 +94,7 @@ def canonical_projection(spark, folder):
 
 
 def parquet_rows(spark, folder):
-    documents = fill_cores(V.table(spark, folder, "documents"))
+    documents = V.table(spark, folder, "documents")
     rows = documents.selectExpr(
         "named_struct('doc_id', doc_id) as seq", "concat(' org/doc-', doc_id) as id",
         "case when lang <> 'fr' then concat('my_', source, '-set') else 'nan' end as name",
@@ -339,7 +338,7 @@ def cursor_merge(spark, folder):
 
 def readmes(spark, folder):
     """Documents with headings put before, after or between."""
-    documents = fill_cores(V.table(spark, folder, "documents"))
+    documents = V.table(spark, folder, "documents")
     return documents.selectExpr(
         "doc_id",
         """case lang when 'en' then concat('# ', source, ' #\\n\\n', text, '\\n## late')

@@ -66,15 +66,6 @@ def search_total(spark, folder):
     return S.search_total(corpus, datasets, QUERY)
 
 
-@query(
-    "search_empty_query",
-    f"WITH {DATASETS} SELECT count(*) AS total FROM corpus WHERE false",
-)
-def search_empty_query(spark, folder):
-    corpus, datasets, _ = _tables(spark, folder)
-    return S.search_total(corpus, datasets, "  ")
-
-
 @query("search_why", f"WITH {DATASETS}, {_SCORED} SELECT id, why FROM scored WHERE score > 0")
 def search_why(spark, folder):
     corpus, _, _ = _tables(spark, folder)
@@ -111,6 +102,18 @@ def search_tokens_batch(spark, folder):
     return S.search_tokens_batch(corpus, datasets, _questions(spark, folder), 10)
 
 
+@query(
+    "search_blank_batch",
+    f"""WITH {DATASETS}, {_BENCH_TOKENS.replace("FROM benchmark", "FROM benchmark WHERE item_id % 2 = 1")}
+    {_BATCH_TOP}""",
+)
+def search_blank_batch(spark, folder):
+    """A batch in which every other query is white space: those have no hits."""
+    corpus, datasets, _ = _tables(spark, folder)
+    blank = F.when(F.substring("query_id", 2, 9).cast("int") % 2 == 1, F.col("query")).otherwise(" \n ")
+    return S.search_tokens_batch(corpus, datasets, _questions(spark, folder).withColumn("query", blank), 10)
+
+
 @query(
     "search_sources_batch",
     f"""WITH {DATASETS},
@@ -121,7 +124,7 @@ def search_tokens_batch(spark, folder):
     {_BATCH_TOP}""",
 )
 def search_sources_batch(spark, folder):
-    """One query per source, out of its name and its languages: few tokens, looked up in the scan."""
+    """One query per source, out of its name and its languages."""
     corpus, datasets, _ = _tables(spark, folder)
     asked = V.table(spark, folder, "documents").groupBy(F.col("source").alias("query_id")).agg(
         F.concat_ws(" ", F.col("source"), F.array_join(F.collect_set("lang"), " ")).alias("query")
@@ -143,7 +146,7 @@ def _bm25(asked: str) -> str:
 scored AS (
   SELECT query_id, id,
          round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * times * tf * (1.2 + 1)
-               / (tf + 1.2 * (1 - 0.75 + 0.75 * doc_len / avg_len))), 6) AS score
+               / (tf + 1.2 * (1 - 0.75 + 0.75 * doc_len / avg_len))), 10) AS score
   FROM asked JOIN dfs USING (term) JOIN postings USING (term) JOIN lens USING (id), totals
   GROUP BY query_id, id)"""
 
@@ -152,6 +155,7 @@ _BENCH_TERMS = f"""asked AS (
   SELECT query_id, term, count(*) AS times FROM (
     SELECT 'B' || item_id AS query_id, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM benchmark)
   GROUP BY ALL)"""
+_BATCH_SHOWN = f"SELECT query_id, rank, dataset_id, round(score, 6) AS score FROM ({_BATCH_TOP})"
 _ONE_ASKED = "asked AS (SELECT '' AS query_id, unnest(['ention', 'das', 'tion']) AS term, 1 AS times)"
 
 
@@ -166,32 +170,61 @@ def bm25_corpus_stats(spark, folder):
 
 
 @query("search_bm25", f"""WITH {DATASETS}, {ARTIFACTS}, {_POSTINGS}, {_bm25(_ONE_ASKED)}
-SELECT s.id, score, f.dataset_id IS NOT NULL AS has_schema, title FROM scored s JOIN datasets d ON d.id = s.id
-LEFT JOIN fresh f ON f.dataset_id = s.id ORDER BY score DESC, s.id LIMIT 30""")
+SELECT s.id, round(score, 6) AS score, f.dataset_id IS NOT NULL AS has_schema, title
+FROM scored s JOIN datasets d ON d.id = s.id
+LEFT JOIN fresh f ON f.dataset_id = s.id ORDER BY s.score DESC, s.id LIMIT 30""")
 def search_bm25(spark, folder):
     corpus, datasets, artifacts = _tables(spark, folder)
     asked = spark.createDataFrame([("", RARE_QUERY)], "query_id string, query string")
     hits = S.search_bm25(S.build_term_index(corpus, asked), datasets, artifacts, RARE_QUERY)
-    return hits.select("id", "score", "has_schema", "title")
+    return hits.select("id", F.round("score", 6).alias("score"), "has_schema", "title")
 
 
-@query("search_bm25_batch", f"WITH {DATASETS}, {_POSTINGS}, {_bm25(_BENCH_TERMS)} {_BATCH_TOP}")
+# Beginnings of words of every text, which are no words of their own.
+_PARTS = "ourc fro"
+
+
+@query(
+    "search_bm25_fallback",
+    f"""WITH {DATASETS}, {ARTIFACTS}, {_POSTINGS},
+    {_bm25("asked AS (SELECT '' AS query_id, unnest(['ourc', 'fro']) AS term, 1 AS times)").replace("scored AS", "by_term AS")},
+    by_token AS (SELECT id, CAST(contains(content, 'ourc') AS INTEGER) + CAST(contains(content, 'fro') AS INTEGER) AS score FROM corpus),
+    scored AS (SELECT id, score FROM by_term UNION ALL
+               SELECT id, score FROM by_token WHERE score > 0 AND (SELECT count(*) FROM by_term) = 0)
+    SELECT s.id, round(CAST(score AS DOUBLE), 6) AS score, f.dataset_id IS NOT NULL AS has_schema, title
+    FROM scored s JOIN datasets d ON d.id = s.id LEFT JOIN fresh f ON f.dataset_id = s.id
+    ORDER BY s.score DESC, s.id LIMIT 30""",
+)
+def search_bm25_fallback(spark, folder):
+    """Token hits, as no text holds a term of the query."""
+    corpus, datasets, artifacts = _tables(spark, folder)
+    asked = spark.createDataFrame([("", _PARTS)], "query_id string, query string")
+    hits = S.search_bm25(S.build_term_index(corpus, asked), datasets, artifacts, _PARTS, fall_back=corpus)
+    return hits.select("id", F.round("score", 6).alias("score"), "has_schema", "title")
+
+
+def _shown(hits):
+    return hits.withColumn("score", F.round("score", 6))
+
+
+@query("search_bm25_batch", f"WITH {DATASETS}, {_POSTINGS}, {_bm25(_BENCH_TERMS)} {_BATCH_SHOWN}")
 def search_bm25_batch(spark, folder):
     corpus, datasets, _ = _tables(spark, folder)
     asked = _questions(spark, folder)
-    return S.search_bm25_batch(S.build_term_index(corpus, asked), datasets, asked, 10)
+    return _shown(S.search_bm25_batch(S.build_term_index(corpus, asked), datasets, asked, 10))
 
 
 @query(
     "search_bm25_filtered",
     f"""WITH {DATASETS}, {_POSTINGS}, {_bm25(_BENCH_TERMS).replace("scored AS", "unfiltered AS")},
     scored AS (SELECT u.* FROM unfiltered u JOIN datasets d ON d.id = u.id WHERE true {_FILTER_SQL})
-    {_BATCH_TOP}""",
+    {_BATCH_SHOWN}""",
 )
 def search_bm25_filtered(spark, folder):
-    corpus, datasets, _ = _tables(spark, folder)
+    """The index carries what filters look at, so that nothing is joined."""
+    corpus = search_corpus(V.datasets(spark, folder), with_filters=True)
     asked = _questions(spark, folder)
-    return S.search_bm25_batch(S.build_term_index(corpus, asked), datasets, asked, 10, FILTERS)
+    return _shown(S.search_bm25_batch(S.build_term_index(corpus, asked), None, asked, 10, FILTERS))
 
 
 @query("lookup_datasets", f"""WITH {DATASETS}, {SIGNALS}

@@ -70,31 +70,24 @@ def random_corpus(spark, n, seed):
     return texts, queries, corpus, asked
 
 
-@pytest.mark.parametrize("limits", [(256, 4096, 3), (2, 1, 0), (3, 1, 3)])
-def test_batch_scores_equal_brute_force(spark, monkeypatch, limits):
-    monkeypatch.setattr(S, "SCAN_TOKENS", limits[0])
-    monkeypatch.setattr(S, "SCAN_QUERY_TOKENS", limits[1])
-    monkeypatch.setattr(S, "SHORT_TOKEN", limits[2])
+def best(scores, k):
+    """The k best (score descending, id ascending) per query out of {(query, id): score}."""
+    found = {}
+    for (q, d), score in sorted(scores.items(), key=lambda item: (item[0][0], -item[1], item[0][1])):
+        found.setdefault(q, []).append((d, score))
+    return {(q, rank): hit for q, hits in found.items() for rank, hit in enumerate(hits[:k], 1)}
+
+
+@pytest.mark.parametrize("block_bytes,block_scores", [(8 << 20, 4_000_000), (60, 30)])
+def test_batch_search_equals_brute_force(spark, monkeypatch, block_bytes, block_scores):
+    monkeypatch.setattr(S, "QUERY_BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(S, "BLOCK_SCORES", block_scores)
     texts, queries, corpus, asked = random_corpus(spark, 80, 4)
-    expected = {}
-    for q, query in queries.items():
-        for d, text in texts.items():
-            score = sum(t in text for t in query.lower().split())
-            if score:
-                expected[q, d] = score
-    got = {(r.query_id, r.dataset_id): r.score for r in S.batch_token_scores(corpus, asked).collect()}
-    assert got == expected
-
-
-def test_batch_scores_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(S, "SCAN_QUERY_TOKENS", 1)
-    monkeypatch.setattr(S, "SCAN_TOKENS", 1)
-    monkeypatch.setattr(S, "has_at_most", lambda df, rows=0: False)
-    texts, queries, corpus, asked = random_corpus(spark, 40, 9)
-    got = {(r.query_id, r.dataset_id): r.score for r in S.batch_token_scores(corpus, asked).collect()}
-    for (q, d), score in got.items():
-        assert score == sum(t in texts[d] for t in queries[q].lower().split())
-    assert len(got) == sum(any(t in x for t in q.split()) for q in queries.values() for x in texts.values())
+    scores = {(q, d): sum(t in text for t in query.lower().split()) for q, query in queries.items() for d, text in texts.items()}
+    expected = best({pair: score for pair, score in scores.items() if score}, 7)
+    blank = spark.createDataFrame([("blank", " \n"), ("none", None)], "query_id string, query string")
+    got = S.search_tokens_batch(corpus.repartition(3), None, asked.union(blank), 7).collect()
+    assert {(r.query_id, r.rank): (r.dataset_id, r.score) for r in got} == expected
 
 
 def bm25(texts, query):
@@ -111,16 +104,32 @@ def bm25(texts, query):
     return scores
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_bm25_equals_brute_force(spark, monkeypatch, broadcast):
-    if not broadcast:
-        monkeypatch.setattr(S, "has_at_most", lambda df, rows=0: False)
+@pytest.mark.parametrize("block_bytes", [8 << 20, 60])
+def test_bm25_equals_brute_force(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(S, "QUERY_BLOCK_BYTES", block_bytes)
     texts, queries, corpus, asked = random_corpus(spark, 60, 11)
+    expected = {(q, d): s for q, query in queries.items() for d, s in bm25(texts, query).items()}
     for index in (S.build_term_index(corpus), S.build_term_index(corpus, asked)):
-        got = {(r.query_id, r.dataset_id): r.score for r in S.bm25_scores(index, asked).collect()}
-        expected = {(q, d): s for q, query in queries.items() for d, s in bm25(texts, query).items()}
-        assert got.keys() == expected.keys()
-        assert all(got[k] == pytest.approx(expected[k], abs=2e-6) for k in got)
+        assert index.documents.count() == 60
+        for q, query in list(queries.items())[:3]:
+            got = {r.dataset_id: r.score for r in S.bm25_scores(index, query).collect()}
+            assert got == pytest.approx({d: s for (name, d), s in expected.items() if name == q})
+        ranked = S.search_bm25_batch(index, None, asked, 5).collect()
+        tops = best(expected, 5)
+        assert {(r.query_id, r.rank) for r in ranked} == tops.keys()
+        assert all(r.score == pytest.approx(tops[r.query_id, r.rank][1]) for r in ranked)
+        assert all(r.score == pytest.approx(expected[r.query_id, r.dataset_id]) for r in ranked)
+
+
+def test_bm25_falls_back_to_token_hits(spark):
+    table = datasets(spark)
+    corpus = search_corpus(table)
+    index = S.build_term_index(corpus)
+    assert S.search_bm25(index, table, artifacts(spark), "sentimen review").count() == 0
+    hits = S.search_bm25(index, table, artifacts(spark), "sentimen review", fall_back=corpus)
+    assert column(hits, "id")[0] == "acme/reviews"
+    by_term = S.search_bm25(index, table, artifacts(spark), "sentiment", fall_back=corpus)
+    assert column(by_term, "id") == column(S.search_bm25(index, table, artifacts(spark), "sentiment"), "id")
 
 
 def test_bm25_page(spark, tmp_path):
@@ -136,6 +145,8 @@ def test_batch_top_k_is_restricted(spark):
     asked = spark.createDataFrame([("q", "classification with")], "query_id string, query string")
     got = S.search_tokens_batch(search_corpus(table), table, asked, 2, Filters(language="en"))
     assert [(r.rank, r.dataset_id) for r in got.orderBy("rank").collect()] == [(1, "acme/reviews"), (2, "acme/captions")]
+    own = S.search_tokens_batch(search_corpus(table, with_filters=True), None, asked, 2, Filters(language="en"))
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, got.collect()))
     none = S.search_tokens_batch(search_corpus(table), table, asked.filter(F.lit(False)), 2)
     assert none.count() == 0
     assert column(got, "query_id") == ["q", "q"]

@@ -30,9 +30,7 @@ def test_cluster_must_name_a_checkpoint_folder():
         S.checkpoint_folder(Session(None))
 
 
-def test_small_scans_are_spread_and_large_ones_left(spark):
-    few = spark.range(10).coalesce(1)
-    assert S.fill_cores(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(0, 100, 1, 64)
-    assert S.fill_cores(many) is many
-    assert many.select(F.sum("id")).first()[0] == 4950
+def test_rows_are_kept_in_the_named_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "checkpoint_folder", lambda _: str(tmp_path / "shared"))
+    kept = S.materialised(spark.range(5).withColumn("x", F.rand()), "rows")
+    assert kept.collect() == kept.collect() and len(list((tmp_path / "shared").iterdir())) == 1
