@@ -8,25 +8,43 @@ from pyspark.sql import functions as F
 from shelfmark.functions.times import before, micros_between, moment
 from shelfmark.operators.catalog import fresh_artifact, fresh_schema_ids, thin_readme
 from shelfmark.operators.ranking import nth_smallest
+from shelfmark.session import materialised
+
+
+def _counted(jobs: DataFrame) -> DataFrame:
+    """Job rows, or a histogram of them, with the number of jobs a row stands for."""
+    return jobs if "jobs" in jobs.columns else jobs.withColumn("jobs", F.lit(1).cast("bigint"))
 
 
 def job_states(jobs: DataFrame) -> DataFrame:
-    return jobs.groupBy("state").agg(F.count("*").alias("jobs"))
+    return _counted(jobs).groupBy("state").agg(F.sum("jobs").alias("jobs"))
 
 
 def error_taxonomy(jobs: DataFrame) -> DataFrame:
-    return jobs.filter(F.col("error_class").isNotNull()).groupBy("error_class").agg(F.count("*").alias("jobs"))
+    return _counted(jobs).filter(F.col("error_class").isNotNull()).groupBy("error_class").agg(F.sum("jobs").alias("jobs"))
 
 
 def queue_depth(jobs: DataFrame) -> DataFrame:
-    return jobs.filter(F.col("state") == "queued").agg(F.count("*").alias("queue_depth"))
+    queued = _counted(jobs).filter(F.col("state") == "queued")
+    return queued.agg(F.coalesce(F.sum("jobs"), F.lit(0).cast("bigint")).alias("queue_depth"))
+
+
+def job_histogram(jobs: DataFrame) -> DataFrame:
+    """(state, error_class, us, jobs): the log counted in one pass, with the durations of jobs that are done.
+
+    All figures of the log follow from it. It is kept in the shared folder.
+    """
+    us = F.when(F.col("state") == "done", micros_between("started_at", "finished_at"))
+    return materialised(jobs.groupBy("state", "error_class", us.alias("us")).agg(F.count("*").alias("jobs")), "jobs")
 
 
 def resolve_p95(jobs: DataFrame) -> DataFrame:
     """One row: the element at position max(floor(0.95 n), 1) of the sorted durations, in ms; 0 if none."""
-    done = jobs.filter((F.col("state") == "done") & F.col("finished_at").isNotNull() & F.col("started_at").isNotNull())
-    durations = done.select(micros_between("started_at", "finished_at").alias("us"))
-    picked = nth_smallest(durations, "us", "greatest(floor(n * 0.95D), 1)")
+    return p95_of(job_histogram(jobs))
+
+
+def p95_of(histogram: DataFrame) -> DataFrame:
+    picked = nth_smallest(histogram, "us", "greatest(floor(n * 0.95D), 1)", "jobs")
     return picked.select(F.coalesce(F.col("us") / 1000, F.lit(0.0)).alias("resolve_p95_ms"))
 
 

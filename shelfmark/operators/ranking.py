@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfmark.session import materialised
+
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     if offset < 0 or limit < 0:
@@ -21,15 +23,17 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
-def nth_smallest(df: DataFrame, value: str, position: str) -> DataFrame:
+def nth_smallest(df: DataFrame, value: str, position: str, times: str | None = None) -> DataFrame:
     """The exact n-th smallest (from 1) of a bigint column, as one row; NULL if there are no values.
 
-    ``position`` is SQL over ``n``, the number of values. Rows are counted per distinct
-    value first. The value is then found 22 bits at a time: each step sorts the counts of
+    ``position`` is SQL over ``n``, the number of values; ``times`` names a column that
+    tells how often a row's value occurs. Rows are counted per distinct value first, which
+    is kept in the shared folder, so that the input is read once. The value is then found 22 bits at a time: each step sorts the counts of
     at most 2^22 value ranges in one task, however many rows there are, and the next step
     reads only the range that was hit.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    each = F.sum(times) if times else F.count("*")
+    counts = materialised(df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(each.alias("c")), "counts")
     ordered, whole = Window.orderBy("p"), Window.partitionBy()
     state = None
     for shift in (44, 22, 0):

@@ -93,7 +93,7 @@ def run_eval(
 ) -> tuple[DataFrame, DataFrame]:
     """(run row, result rows) of every active query through one engine."""
     if engine not in ENGINES:
-        raise ValueError(f"Unknown engine '{engine}'. Available: {sorted(ENGINES)}")
+        raise ValueError(f"no engine {engine!r}; there are {', '.join(sorted(ENGINES))}")
     if not 1 <= k <= C.EVAL_K_MAX:
         raise ValueError(f"k must be from 1 to {C.EVAL_K_MAX}")
     run_id = run_id or str(uuid4())
@@ -229,7 +229,7 @@ def summary_with_mean(metrics: DataFrame) -> DataFrame:
     return rows.select(
         "run_id",
         F.when(F.col("_mean") == 1, "MEAN").otherwise(F.col("query_id")).alias("query_id"),
-        F.when(F.col("_mean") == 1, "across all queries (MEAN of AP = MAP)").otherwise(F.col("label")).alias("label"),
+        F.when(F.col("_mean") == 1, "mean of all queries").otherwise(F.col("label")).alias("label"),
         *METRICS,
     )
 

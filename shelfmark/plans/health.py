@@ -14,10 +14,19 @@ from shelfmark.operators.ranking import page
 from shelfmark.schemas import conform
 
 
+# Labels that the one-row report names; the jobs of all others are one sum.
+REPORTED_LABELS = 200
+OTHER_LABELS = "(other)"
+
+
 def _as_text(counts: DataFrame, name: str) -> Column:
-    """Counts per label as one JSON object, for label sets that are a fixed vocabulary."""
+    """Counts per label as one JSON object, of the labels with most jobs; the full counts are M.error_taxonomy."""
+    named = counts.filter(F.col(name).isNotNull())
+    most = named.orderBy(F.col("jobs").desc(), name).limit(REPORTED_LABELS)
+    rest = named.agg(F.sum("jobs")).scalar() - F.sum("jobs")
     pairs = F.array_sort(F.collect_list(F.struct(F.col(name), F.col("jobs"))))
-    return F.to_json(F.map_from_entries(pairs))
+    other = F.when(rest > 0, F.array(F.struct(F.lit(OTHER_LABELS).alias(name), rest.alias("jobs")))).otherwise(F.array().cast(f"array<struct<{name}:string,jobs:bigint>>"))
+    return most.agg(F.to_json(F.map_from_entries(F.concat(pairs, other)))).scalar()
 
 
 def admin_metrics(
@@ -28,13 +37,13 @@ def admin_metrics(
     settings: PolicySettings = PolicySettings(),
 ) -> DataFrame:
     """One row with all health figures and whether prefetching is paused."""
-    shares = M.catalog_shares(datasets, artifacts, as_of)
+    shares, log = M.catalog_shares(datasets, artifacts, as_of), M.job_histogram(jobs)
     row = shares.select(
         "*",
-        M.resolve_p95(jobs).scalar().alias("resolve_p95_ms"),
-        M.queue_depth(jobs).scalar().alias("queue_depth"),
-        M.error_taxonomy(jobs).agg(_as_text(jobs, "error_class")).scalar().alias("error_taxonomy"),
-        M.job_states(jobs).agg(_as_text(jobs, "state")).scalar().alias("jobs_by_state"),
+        M.p95_of(log).scalar().alias("resolve_p95_ms"),
+        M.queue_depth(log).scalar().alias("queue_depth"),
+        _as_text(M.error_taxonomy(log), "error_class").alias("error_taxonomy"),
+        _as_text(M.job_states(log), "state").alias("jobs_by_state"),
     )
     row = row.withColumn("prefetch_reason", pause_reason(settings))
     return row.withColumn("prefetch_paused", F.col("prefetch_reason").isNotNull())
@@ -42,7 +51,8 @@ def admin_metrics(
 
 def should_pause(jobs: DataFrame, settings: PolicySettings = PolicySettings()) -> DataFrame:
     """One row: resolve_p95_ms, queue_depth, prefetch_paused, prefetch_reason."""
-    row = M.resolve_p95(jobs).select("resolve_p95_ms", M.queue_depth(jobs).scalar().alias("queue_depth"))
+    log = M.job_histogram(jobs)
+    row = M.p95_of(log).select("resolve_p95_ms", M.queue_depth(log).scalar().alias("queue_depth"))
     row = row.withColumn("prefetch_reason", pause_reason(settings))
     return row.withColumn("prefetch_paused", F.col("prefetch_reason").isNotNull())
 

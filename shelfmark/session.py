@@ -53,8 +53,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that all executors share."""
+    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid4().hex}"
+
+
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: made once, read by column, safe from lost executors."""
-    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/{name}-{uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.operators.keyed import keep_last
+from shelfmark.session import materialised
 
 
 def write_snapshot(df: DataFrame, path: str, partitions: int | None = None) -> None:
@@ -17,23 +18,38 @@ def append_log(df: DataFrame, path: str) -> None:
     dated.write.mode("append").partitionBy("day").parquet(path)
 
 
-def write_sample_rows(rows: DataFrame, path: str, buckets: int = 64, order: list[str] | None = None) -> None:
-    """Write sample rows so that a dataset's rows lie in few folders; the last of a repeated row_id stays.
+# Rows of one file of the sample-row store, and files that a folder of it is meant to hold.
+FILE_ROWS = 1_000_000
+FOLDER_FILES = 8
 
-    Rows are spread by row_id, so that a dataset with very many rows fills many files.
+
+def write_sample_rows(rows: DataFrame, path: str, buckets: int | None = None, order: list[str] | None = None) -> int:
+    """Write sample rows so that a dataset's rows lie in one folder; the last of a repeated row_id stays.
+
+    The number of folders (returned, see read_dataset_rows) and of files in each follows from
+    the number of rows. Rows of a folder are spread by row_id, so that a dataset with very
+    many rows fills many files: its folder is cut by its own number of rows.
     """
-    unique = keep_last(rows, ["row_id"], order or ["sampled_at"])
+    unique = materialised(keep_last(rows, ["row_id"], order or ["sampled_at"]), "sample-rows")
+    buckets = buckets or max(1, -(-unique.count() // (FILE_ROWS * FOLDER_FILES)))
     bucket = F.pmod(F.xxhash64("dataset_id"), F.lit(buckets)).cast("int")
-    spread = unique.withColumn("bucket", bucket)
+    placed = unique.withColumn("bucket", bucket)
+    sizes = placed.groupBy("bucket").agg(F.ceil(F.count("*") / FILE_ROWS).alias("_files"))
+    part = F.pmod(F.xxhash64("row_id"), F.col("_files"))
     (
-        spread.repartition("bucket", F.pmod(F.xxhash64("row_id"), F.lit(8)))
+        placed.join(F.broadcast(sizes), "bucket")
+        .withColumn("_part", part)
+        .drop("_files")
+        .repartition("bucket", "_part")
+        .drop("_part")
         .write.mode("errorifexists")
         .partitionBy("bucket")
         .parquet(path)
     )
+    return buckets
 
 
-def read_dataset_rows(rows: DataFrame, dataset_id: str, buckets: int = 64) -> DataFrame:
+def read_dataset_rows(rows: DataFrame, dataset_id: str, buckets: int) -> DataFrame:
     """Rows of one dataset out of the sample-row store; reads one folder only."""
     bucket = F.pmod(F.xxhash64(F.lit(dataset_id)), F.lit(buckets)).cast("int")
     return rows.filter((F.col("bucket") == bucket) & (F.col("dataset_id") == dataset_id))

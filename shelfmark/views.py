@@ -131,18 +131,19 @@ def eval_queries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sample_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Conversation turns as sample lines, one row per line."""
+    """Conversation turns as sample lines: one line per conversation and role, with its turns as rows."""
     row = F.struct("role", "text", "turn", (F.col("role") == "user").alias("asked"))
+    turns = table(spark, folder, "conversations").groupBy("conv_id", "role").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("turn", row.alias("row")))), lambda t: t.row).alias("rows")
+    )
     line = F.struct(
         F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("id"),
         F.col("role").alias("config"),
         F.lit("train").alias("split"),
         F.lit("2024-01-31").alias("sampled_at"),
-        F.array(row).alias("rows"),
-    )
-    return table(spark, folder, "conversations").select(
-        F.struct("conv_id", "turn").alias("seq"), F.to_json(line).alias("value")
+        "rows",
     )
+    return turns.select(F.struct("conv_id", "role").alias("seq"), F.to_json(line).alias("value"))
 
 
 def sample_rows(spark: SparkSession, folder: str) -> DataFrame:

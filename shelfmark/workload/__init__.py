@@ -4,7 +4,7 @@ from importlib import import_module
 
 from shelfmark.workload.registry import ORACLE, QUERIES
 
-for _part in ("search", "dense", "health", "ingest", "samples", "evaluation"):
+for _part in ("search", "dense", "health", "ingest", "samples", "evaluation", "storage"):
     import_module(f"shelfmark.workload.{_part}")
 
 

@@ -14,19 +14,24 @@ from shelfmark.workload.registry import ARTIFACTS, DATASETS, SIGNALS, query
 from shelfmark.workload.search import _BATCH_TOP, _BENCH_TERMS, _BENCH_TOKENS, _POSTINGS, _bm25
 
 
+# A query stands for a user in a stretch of events, so that lists stay short however many events there are.
+_ASKED = "concat('u', user_id, '.', event_id div 5000)"
+
+
 def results(spark, folder, floor=None):
-    """Events as run results: a run per event type, a query per user, ten hits each.
+    """Events as run results: a run per event type, and every event a hit of its query.
 
     An engine with a floor returns nothing below that value.
     """
     events = V.table(spark, folder, "events")
     if floor is not None:
         events = events.filter(F.col("value") >= floor)
-    order = Window.partitionBy("event_type", "user_id").orderBy(F.col("value").desc(), "event_id")
-    ranked = events.withColumn("result_rank", F.row_number().over(order)).filter("result_rank <= 10")
+    events = events.withColumn("query_id", F.expr(_ASKED))
+    order = Window.partitionBy("event_type", "query_id").orderBy(F.col("value").desc(), "event_id")
+    ranked = events.withColumn("result_rank", F.row_number().over(order))
     return conform(
         ranked.selectExpr(
-            "event_type as run_id", "concat('u', user_id) as query_id", "result_rank",
+            "event_type as run_id", "query_id", "result_rank",
             "get_json_object(props, '$.k') as dataset_id", "event_type as title",
             """concat('{"size_class":"n<1K","modalities":["text","image"],"downloads":', event_id, '}') as extra""",
         ),
@@ -37,17 +42,17 @@ def results(spark, folder, floor=None):
 def judgments(spark, folder):
     """What was viewed or clicked counts as judged, and as relevant if its value was high."""
     seen = V.table(spark, folder, "events").filter("event_type in ('view', 'click')")
-    marks = seen.selectExpr("concat('u', user_id) as query_id", "get_json_object(props, '$.k') as dataset_id", "value")
+    marks = seen.selectExpr(f"{_ASKED} as query_id", "get_json_object(props, '$.k') as dataset_id", "value")
     return conform(
         marks.groupBy("query_id", "dataset_id").agg((F.max("value") > 20).alias("relevant")), "eval_judgments"
     )
 
 
 def questions(spark, folder):
-    users = V.table(spark, folder, "events").select("user_id").distinct()
+    users = V.table(spark, folder, "events").select("user_id", F.expr(_ASKED).alias("query_id")).distinct()
     return conform(
         users.selectExpr(
-            "concat('u', user_id) as id", "'user' as label", "concat('about ', user_id) as query",
+            "query_id as id", "'user' as label", "concat('about ', user_id) as query",
             "cast(user_id % 5 as int) as total_relevant", "true as active",
         ),
         "eval_queries",
@@ -63,11 +68,10 @@ def runs(spark, folder):
 
 
 _EVAL = """
-ev AS (SELECT *, 'u' || user_id AS query_id, json_extract_string(props, '$.k') AS dataset_id FROM events),
+ev AS (SELECT *, 'u' || user_id || '.' || (event_id // 5000) AS query_id, json_extract_string(props, '$.k') AS dataset_id FROM events),
 results AS (
-  SELECT * FROM (SELECT event_type AS run_id, query_id, user_id, event_id, dataset_id,
-                        row_number() OVER (PARTITION BY event_type, user_id ORDER BY value DESC, event_id) AS i FROM ev)
-  WHERE i <= 10),
+  SELECT event_type AS run_id, query_id, user_id, event_id, dataset_id,
+         row_number() OVER (PARTITION BY event_type, query_id ORDER BY value DESC, event_id) AS i FROM ev),
 judgments AS (SELECT query_id, dataset_id, max(value) > 20 AS relevant FROM ev WHERE event_type IN ('view', 'click') GROUP BY ALL),
 terms AS (
   SELECT r.*, j.relevant, CASE WHEN coalesce(relevant, false) THEN 1 ELSE 0 END AS rel,
@@ -116,7 +120,7 @@ def eval_metrics(spark, folder):
 def eval_metrics_with_empty(spark, folder):
     """Metrics of an engine that finds nothing for some of the queries put to it."""
     asked = V.table(spark, folder, "events").selectExpr(
-        "event_type as run_id", "concat('u', user_id) as query_id"
+        "event_type as run_id", f"{_ASKED} as query_id"
     ).distinct()
     metrics = E.query_metrics(
         results(spark, folder, floor=60), judgments(spark, folder), questions(spark, folder), runs(spark, folder), asked
@@ -152,7 +156,7 @@ def eval_report_rows(spark, folder):
 
 @query("eval_summary_with_mean", f"""WITH {_EVAL}
 SELECT run_id, query_id, label, {_ROUNDED} FROM metrics
-UNION ALL SELECT run_id, 'MEAN', 'across all queries (MEAN of AP = MAP)',
+UNION ALL SELECT run_id, 'MEAN', 'mean of all queries',
   {", ".join(f"round(avg({m}), 6)" for m in E.METRICS)} FROM metrics GROUP BY 1""")
 def eval_summary_with_mean(spark, folder):
     return _rounded(E.summary_with_mean(_metrics(spark, folder)), E.METRICS)
@@ -222,7 +226,7 @@ SELECT query_id, dataset_id, relevant FROM judgments j WHERE NOT EXISTS (
 def judgments_put(spark, folder):
     """What was purchased becomes relevant."""
     bought = V.table(spark, folder, "events").filter("event_type = 'purchase'").selectExpr(
-        "concat('u', user_id) as query_id", "get_json_object(props, '$.k') as dataset_id"
+        f"{_ASKED} as query_id", "get_json_object(props, '$.k') as dataset_id"
     ).distinct()
     new = conform(bought.withColumn("relevant", F.lit(True)), "eval_judgments")
     return K.put_judgments(judgments(spark, folder), new).select("query_id", "dataset_id", "relevant")

@@ -19,6 +19,10 @@ p95 AS (
 depth AS (SELECT count(*) AS queue_depth FROM jobs WHERE state = 'queued')"""
 
 
+def _reason(p95_max: str, depth_max: str) -> str:
+    return f"CASE WHEN resolve_p95_ms > {p95_max} THEN 'resolve_slow' WHEN queue_depth > {depth_max} THEN 'queue_depth' END"
+
+
 @query(
     "state_view",
     f"""WITH {DATASETS}, {ARTIFACTS}, {JOBS}
@@ -53,18 +57,28 @@ def resolve_p95(spark, folder):
 
 
 @query("pause_decision", f"""WITH {JOBS}, {_P95}
-SELECT resolve_p95_ms, queue_depth, true AS prefetch_paused, 'resolve_slow' AS prefetch_reason FROM p95, depth""")
+SELECT resolve_p95_ms, queue_depth, {_reason("3000", "500")} IS NOT NULL AS prefetch_paused,
+       {_reason("3000", "500")} AS prefetch_reason FROM p95, depth""")
 def pause_decision(spark, folder):
     return H.should_pause(V.jobs(spark, folder))
 
 
 @query("pause_decision_depth", f"""WITH {JOBS}, {_P95}
-SELECT resolve_p95_ms, queue_depth, true AS prefetch_paused, 'queue_depth' AS prefetch_reason FROM p95, depth""")
+SELECT resolve_p95_ms, queue_depth, {_reason("1e15", "1")} IS NOT NULL AS prefetch_paused,
+       {_reason("1e15", "1")} AS prefetch_reason FROM p95, depth""")
 def pause_decision_depth(spark, folder):
     settings = P.PolicySettings(p95_max_ms=1e15, queue_depth_max=1)
     return H.should_pause(V.jobs(spark, folder), settings)
 
 
+@query("pause_decision_none", f"""WITH {JOBS}, {_P95}
+SELECT resolve_p95_ms, queue_depth, {_reason("1e15", "1e15")} IS NOT NULL AS prefetch_paused,
+       {_reason("1e15", "1e15")} AS prefetch_reason FROM p95, depth""")
+def pause_decision_none(spark, folder):
+    settings = P.PolicySettings(p95_max_ms=1e15, queue_depth_max=10**15)
+    return H.should_pause(V.jobs(spark, folder), settings)
+
+
 @query(
     "admin_metrics",
     f"""WITH {DATASETS}, {ARTIFACTS}, {JOBS}, {_P95},
@@ -82,7 +96,7 @@ def pause_decision_depth(spark, folder):
             FROM (SELECT error_class, count(*) AS n FROM jobs WHERE error_class IS NOT NULL GROUP BY 1)) AS error_taxonomy,
            (SELECT '{{' || string_agg('"' || state || '":' || n, ',' ORDER BY state) || '}}'
             FROM (SELECT state, count(*) AS n FROM jobs GROUP BY 1)) AS jobs_by_state,
-           'resolve_slow' AS prefetch_reason, true AS prefetch_paused
+           {_reason("3000", "500")} AS prefetch_reason, {_reason("3000", "500")} IS NOT NULL AS prefetch_paused
     FROM counts, p95, depth""",
 )
 def admin_metrics(spark, folder):

@@ -16,9 +16,10 @@ _ROW_TEXT = f"role || ' ' || text || ' ' || turn || ' ' || {_ASKED}"
 
 @query(
     "flatten_samples",
-    f"""SELECT 'conv-' || conv_id || '::' || role || '::train::0' AS row_id, 'conv-' || conv_id AS dataset_id,
-               role AS config, 'train' AS split, '2024-01-31' AS sampled_at, 0 AS row_index, {_ROW_TEXT} AS row_text
-        FROM conversations""",
+    f"""SELECT 'conv-' || conv_id || '::' || role || '::train::' || place AS row_id, 'conv-' || conv_id AS dataset_id,
+               role AS config, 'train' AS split, '2024-01-31' AS sampled_at, CAST(place AS INTEGER) AS row_index, row_text
+        FROM (SELECT *, {_ROW_TEXT} AS row_text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS place
+              FROM conversations)""",
 )
 def flatten_samples(spark, folder):
     return S.flatten_samples(V.sample_lines(spark, folder)).drop("row")
