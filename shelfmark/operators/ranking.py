@@ -6,11 +6,30 @@ from pyspark.sql import functions as F
 from shelfmark.session import materialised
 
 
+# A page that ends within this many rows is cut by a merge of each task's first rows.
+DRIVER_ROWS = 10_000
+
+
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` in the given order.
+
+    For pages further down the rows are sorted by range and kept in the shared folder; the
+    numbers of rows per part tell which parts hold the page, and only those are read.
+    """
     if offset < 0 or limit < 0:
         raise ValueError("limit and offset must not be negative")
     ordered = df.orderBy(*order)
-    return (ordered.offset(offset) if offset else ordered).limit(limit)
+    if offset + limit <= DRIVER_ROWS:
+        return (ordered.offset(offset) if offset else ordered).limit(limit)
+    placed = ordered.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id())
+    rows = materialised(placed, "sorted").withColumn("_place", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)))
+    wanted, before = F.lit(False), 0
+    for part, count in sorted(map(tuple, rows.groupBy("_part").count().collect())):
+        low, high = offset - before, offset + limit - before
+        if low < count and high > 0:
+            wanted = wanted | ((F.col("_part") == part) & (F.col("_place") >= low) & (F.col("_place") < high))
+        before += count
+    return rows.filter(wanted).drop("_part", "_place")
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

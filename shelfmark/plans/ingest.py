@@ -12,7 +12,7 @@ from shelfmark.functions import text as X
 from shelfmark.functions.times import before, iso_format, moment, parse_iso
 from shelfmark.operators.keyed import as_event_log, change_events, keep_last, mark_stale, upsert
 from shelfmark.schemas import conform
-from shelfmark.session import cut_lineage
+from shelfmark.session import materialised
 
 
 @dataclass(frozen=True)
@@ -375,16 +375,13 @@ def apply_records(
     artifacts: DataFrame,
     records: DataFrame,
     as_of: Column | datetime | str | None = None,
-    checkpoint: bool = False,
 ) -> Applied:
     """Put records into the catalog: the last of a repeated id stays, one event per id.
 
-    With ``checkpoint`` the records are worked out once and kept in the checkpoint
-    folder; else each of the three results reads the input again.
+    The records are worked out once and kept in the shared folder, so that the three
+    results agree.
     """
-    updates = keep_last(records, ["id"], ["seq"]).drop("seq")
-    if checkpoint:
-        updates = cut_lineage(updates)
+    updates = materialised(keep_last(records, ["id"], ["seq"]).drop("seq"), "updates")
     changes = change_events(datasets, updates, as_of)
     changed = changes.filter(F.col("type") == "dataset.changed")
     return Applied(

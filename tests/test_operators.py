@@ -7,7 +7,7 @@ from catalogs import AS_OF, artifacts, column, datasets, frame
 from shelfmark.operators import keyed as K
 from shelfmark.operators import metrics as M
 from shelfmark.operators import policy as P
-from shelfmark.operators import skew
+from shelfmark.operators import ranking
 from shelfmark.operators.catalog import Filters
 from shelfmark.operators.ranking import nth_smallest, page, top_k
 from shelfmark.plans import health as H
@@ -99,21 +99,14 @@ def test_page(spark):
         page(df, [F.col("id")], 3, -1)
 
 
-def test_spread_join_equals_plain_join(spark):
-    rng = random.Random(2)
-    large = spark.createDataFrame(
-        [(rng.choice(["hot", "hot", f"k{rng.randrange(40)}"]), f"r{i}") for i in range(900)], "k string, r string")
-    small = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3), ("none", 4)], "k string, n int")
-    plain = sorted(map(tuple, large.join(small, "k").collect()))
-    spread = skew.spread_join(large, small, "k", "r")
-    assert sorted(map(tuple, spread.select("k", "r", "n").collect())) == plain
-
-
-def test_spread_join_cuts_hot_keys(spark, monkeypatch):
-    monkeypatch.setattr(skew, "HOT_SHARE", 0.5)
-    large = spark.createDataFrame([("hot", f"r{i}") for i in range(200)] + [("c", "x")], "k string, r string")
-    small = spark.createDataFrame([("hot", 1), ("c", 2)], "k string, n int")
-    assert skew.spread_join(large, small, "k", "r").count() == 201
+def test_deep_pages_equal_sorting(spark, monkeypatch):
+    df = spark.createDataFrame([(i * 7919 % 1000, f"r{i}") for i in range(1000)], "v int, r string").repartition(5)
+    expected = [(r.v, r.r) for r in df.orderBy(F.col("v").desc()).collect()]
+    monkeypatch.setattr(ranking, "DRIVER_ROWS", 20)
+    for limit, offset in ((10, 0), (10, 5), (10, 500), (300, 650), (50, 990), (5, 2000)):
+        got = page(df, [F.col("v").desc()], limit, offset).collect()
+        assert sorted((r.v, r.r) for r in got) == sorted(expected[offset : offset + limit])
+        assert got and set(got[0].asDict()) == {"v", "r"} or offset == 2000
 
 
 def test_policy_first_reason_wins(spark):
