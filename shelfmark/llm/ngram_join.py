@@ -8,7 +8,8 @@ Texts whose word-shingle sets reach a Jaccard similarity are linked; linked text
    order is by hash, with shingles that many texts share put last.
 2. Texts with equal sets are one text from here on.
 3. Texts sharing a prefix shingle form a tile. Each text is first compared with one
-   pivot of each of its tiles; links found there are joined to components.
+   pivot of each of its tiles, and in large tiles with the text whose sketch is nearest;
+   links found are joined to components.
 4. Tiles that still hold texts of several components are cut into bounded cells, and all
    pairs of different components and fitting sizes (the size bands) are bounded from above
    by the bits in which their sketches differ: that many shingles differ at least.
@@ -26,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.components import components
-from shelfmark.llm.texts import pieces, shingle_sets, text_array, written
+from shelfmark.llm.id_filter import may_be_in
+from shelfmark.llm.texts import give_back_memory, pieces, shingle_sets, text_array, written
 
 # A shingle seen this often among prefixes goes to the end of the order. At most HOT_SHINGLES
 # of them are sent to the tasks (16 bytes each); the others keep their place. Any order is exact.
@@ -35,10 +37,12 @@ HOT_SHINGLES = 200_000
 # Within a piece of a task, rarer shingles are not reported as candidates for being hot.
 HOT_IN_PIECE = 3
 CELL_TEXTS = 1024
-SKETCH_BITS = (64, 4096)
+LARGE_TILE = 16
+# Bits of a sketch per shingle, and the least and most bits: fewer collisions, tighter bounds.
+SKETCH_SPREAD = 2
+SKETCH_BITS = (64, 16_384)
 
 _SET = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, sketch binary, prefix array<bigint>"
-_HINTS = ", hint_keys array<bigint>, hint_counts array<int>"
 
 
 def prefix_length(n: int, threshold: tuple[int, int]) -> int:
@@ -48,9 +52,9 @@ def prefix_length(n: int, threshold: tuple[int, int]) -> int:
 
 
 def odd_sketch(hashes: np.ndarray) -> bytes:
-    """A bitmap of at least as many bits as shingles (within limits); each shingle flips one bit."""
+    """A bitmap of some bits per shingle (within limits); each shingle flips one bit."""
     bits = SKETCH_BITS[0]
-    while bits < len(hashes) and bits < SKETCH_BITS[1]:
+    while bits < SKETCH_SPREAD * len(hashes) and bits < SKETCH_BITS[1]:
         bits *= 2
     flips = np.bincount((hashes >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
@@ -85,77 +89,56 @@ def _prefix(hashes: np.ndarray, hot: np.ndarray, hot_counts: np.ndarray, thresho
     return hashes[np.lexsort((hashes, counts))[:length]]
 
 
-def _sets(docs: DataFrame, width: int, threshold: tuple[int, int], hot=None) -> DataFrame:
-    """Sets of all texts. Without ``hot``, frequent prefix shingles are reported in hint columns."""
+def _hints(docs: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
+    """(key, n): prefix shingles in hash order that are frequent within a piece of a task."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, numbers = hot.value if hot is not None else (np.empty(0, np.uint64), np.empty(0, np.int64))
         for piece in pieces(batches, "text"):
             offsets, hashes = shingle_sets(text_array(piece.column("text")), width)
-            sizes = np.diff(offsets)
-            sets = [hashes[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-            prefixes = [_prefix(s, keys, numbers, threshold).view(np.int64) for s in sets]
-            seed = np.uint64(0x9FB21C651E98DF25)
-            columns = [
-                piece.column("doc_id").cast(pa.int64()),
-                pa.array(sizes),
-                pa.array([int(np.add.reduce(s).view(np.int64)) if len(s) else 0 for s in sets], pa.int64()),
-                pa.array([int(np.bitwise_xor.reduce(s * seed).view(np.int64)) if len(s) else 0 for s in sets], pa.int64()),
-                pa.array([odd_sketch(s) for s in sets], pa.binary()),
-                pa.array(prefixes, pa.list_(pa.int64())),
-            ]
-            names = ["doc_id", "n_shingles", "set_a", "set_b", "sketch", "prefix"]
-            if hot is None:
-                seen, often = np.unique(np.concatenate(prefixes), return_counts=True)
-                seen, often = seen[often >= HOT_IN_PIECE], often[often >= HOT_IN_PIECE]
-                none = [None] * (len(sets) - 1)
-                columns += [pa.array([seen, *none], pa.list_(pa.int64())), pa.array([often, *none], pa.list_(pa.int32()))]
-                names += ["hint_keys", "hint_counts"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            prefixes = [hashes[a : a + prefix_length(b - a, threshold)] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            seen, often = np.unique(np.concatenate(prefixes), return_counts=True)
+            keep = often >= HOT_IN_PIECE
+            yield pa.RecordBatch.from_arrays([pa.array(seen[keep].view(np.int64)), pa.array(often[keep], pa.int64())], ["key", "n"])
 
-    return docs.mapInArrow(build, _SET if hot is not None else _SET + _HINTS)
+    return docs.select("text").mapInArrow(build, "key bigint, n bigint")
 
 
-def _prefix_of_rare(docs: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
+def _sets(docs: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
     """One row per text: its set and its prefix, in the order with frequent shingles last."""
-    spark = docs.sparkSession
-    first = written(_sets(docs, width, threshold), "sets")
-    hints = first.filter("hint_keys is not null").select(
-        F.explode(F.arrays_zip(F.col("hint_keys").alias("key"), F.col("hint_counts").alias("n"))).alias("h")
-    )
-    hints = hints.groupBy("h.key").agg(F.sum("h.n").alias("n")).filter(F.col("n") >= HOT_COUNT)
+    hints = _hints(docs, width, threshold).groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_COUNT)
     table = hints.orderBy(F.desc("n"), "key").limit(HOT_SHINGLES).toArrow()
     keys = table["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    plain = first.drop("hint_keys", "hint_counts")
-    if not len(keys):
-        return plain
-    hot = spark.sparkContext.broadcast((keys[order], table["n"].to_numpy()[order]))
+    hot = docs.sparkSession.sparkContext.broadcast((keys[order], table["n"].to_numpy()[order]))
 
-    def holds_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("prefix")
-            found = np.isin(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), hot.value[0])
-            offsets = lists.offsets.to_numpy()
-            upto = np.concatenate(([0], np.cumsum(found)))[offsets - offsets[0]]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(upto) > 0)], ["doc_id", "hot"])
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seed = np.uint64(0x9FB21C651E98DF25)
+        for piece in pieces(batches, "text"):
+            offsets, hashes = shingle_sets(text_array(piece.column("text")), width)
+            sets = [hashes[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            columns = [
+                piece.column("doc_id").cast(pa.int64()),
+                pa.array(np.diff(offsets)),
+                pa.array([int(np.add.reduce(s).view(np.int64)) if len(s) else 0 for s in sets], pa.int64()),
+                pa.array([int(np.bitwise_xor.reduce(s * seed).view(np.int64)) if len(s) else 0 for s in sets], pa.int64()),
+                pa.array([odd_sketch(s) for s in sets], pa.binary()),
+                pa.array([_prefix(s, *hot.value, threshold).view(np.int64) for s in sets], pa.list_(pa.int64())),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", "sketch", "prefix"])
 
-    marks = first.select("doc_id", "prefix").mapInArrow(holds_hot, "doc_id bigint, hot boolean").filter("hot").select("doc_id")
-    marks = written(marks, "reordered")
-    again = _sets(docs.join(marks, "doc_id", "left_semi"), width, threshold, hot)
-    return written(plain.join(marks, "doc_id", "left_anti").unionByName(again), "sets")
+    return written(docs.mapInArrow(build, _SET), "sets")
 
 
 def _arrays(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """The sorted hashes of the named texts."""
+    """The sorted hashes of the named texts, and of a few others that the filter lets pass."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "text"):
             offsets, hashes = shingle_sets(text_array(piece.column("text")), width)
-            blobs = [hashes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
+            blobs = [hashes[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "hashes"])
 
-    return docs.join(ids, "doc_id", "left_semi").mapInArrow(build, "doc_id bigint, hashes binary")
+    return may_be_in(docs, ids).mapInArrow(build, "doc_id bigint, hashes binary")
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -183,8 +166,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, threshold: tuple[in
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shared, keep = [], []
-            for x, y in zip(batch.column("hashes_a").to_pylist(), batch.column("hashes_b").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("hashes_a"), batch.column("hashes_b")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
@@ -193,15 +176,21 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, threshold: tuple[in
                 keep.append(below * both >= above * (len(x) + len(y) - both))
             columns = [batch.column("a"), batch.column("b"), pa.array(shared, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["a", "b", "shared"]).filter(pa.array(keep, pa.bool_()))
+        give_back_memory()
 
     joined = pairs.join(arrays.toDF("a", "hashes_a"), "a").join(arrays.toDF("b", "hashes_b"), "b")
     return written(joined.mapInArrow(compare, "a bigint, b bigint, shared bigint"), "verified")
 
 
-def _cells(tiles: DataFrame, sets: DataFrame, threshold: tuple[int, int], cell: int = CELL_TEXTS) -> DataFrame:
-    """Pairs of different components within a tile that size bands and sketches let pass."""
+def _cells(
+    tiles: DataFrame, sets: DataFrame, threshold: tuple[int, int], cell: int = CELL_TEXTS, nearest: bool = False
+) -> DataFrame:
+    """Pairs of different components within a tile that size bands and sketches let pass.
+
+    With ``nearest``, of these only one per text and cell: the one whose sketch differs least.
+    """
     above, below = threshold
-    rows = tiles.join(sets.select("doc_id", "sketch"), "doc_id")
+    rows = tiles.join(sets.select("doc_id", "n_shingles", "sketch"), "doc_id")
     rows = rows.withColumn("_parts", F.ceil(F.col("texts") / cell).cast("int"))
     rows = rows.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.col("_parts")).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
@@ -225,21 +214,31 @@ def _cells(tiles: DataFrame, sets: DataFrame, threshold: tuple[int, int], cell:
         for at in places.values():
             spot[at] = np.arange(len(at))
         for k in range(len(rows)):
-            own = int(lengths[k])
+            own, best = int(lengths[k]), None
             for length, shared in ((own, own), (2 * own, own), (own // 2, own // 2)):
                 if length not in places or (own, shared) not in folded:
                     continue
                 at = places[length]
                 fits = (group[at] != group[k]) & (below * np.minimum(size[k], size[at]) >= above * np.maximum(size[k], size[at]))
-                fits &= at > k
+                if not nearest:
+                    fits &= at > k
                 if split:
                     fits &= part[at] != part[k]
                 fits = np.flatnonzero(fits)
                 if len(fits):
                     apart = np.bitwise_count(folded[length, shared][fits] ^ folded[own, shared][spot[k]]).sum(axis=1).astype(np.int64)
                     both = size[k] + size[at[fits]]
-                    for j in at[fits[below * (both - apart) >= above * (both + apart)]].tolist():
+                    passed = below * (both - apart) >= above * (both + apart)
+                    if nearest:
+                        share = np.where(passed, apart / both, 2.0)
+                        least = int(np.argmin(share))
+                        if passed[least] and (best is None or share[least] < best[0]):
+                            best = (share[least], int(at[fits[least]]))
+                        continue
+                    for j in at[fits[passed]].tolist():
                         yield int(min(ids[k], ids[j])), int(max(ids[k], ids[j]))
+            if best is not None:
+                yield int(min(ids[k], ids[best[1]])), int(max(ids[k], ids[best[1]]))
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, found = None, [], set()
@@ -260,21 +259,41 @@ def _cells(tiles: DataFrame, sets: DataFrame, threshold: tuple[int, int], cell:
     return rows.mapInArrow(pair, "a bigint, b bigint").distinct()
 
 
+def _open_tiles(tiles: DataFrame, groups: DataFrame) -> DataFrame:
+    """The tiles that hold texts of several components; tiles of two texts are compared already."""
+    rows = tiles.filter("texts > 2").join(groups, "doc_id", "left")
+    rows = rows.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    several = rows.groupBy("shingle").agg(F.min("component_id").alias("l"), F.max("component_id").alias("h")).filter("l <> h")
+    return rows.join(several.select("shingle"), "shingle", "left_semi")
+
+
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: components that these connect become one."""
+    ends = links.select("a", "b")
+    for side in ("a", "b"):
+        own = groups.select(F.col("doc_id").alias(side), "component_id")
+        ends = ends.join(own, side, "left").withColumn(side, F.coalesce("component_id", side)).drop("component_id")
+    merged = written(components(ends), "components").select(F.col("id").alias("component_id"), F.col("component_id").alias("_low"))
+    single = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(groups, "doc_id", "left_anti")
+    rows = groups.unionByName(single.withColumn("component_id", F.col("doc_id"))).join(merged, "component_id", "left")
+    return written(rows.select("doc_id", F.coalesce("_low", "component_id").alias("component_id")), "components")
+
+
 def ngram_groups(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """One row per text: doc_id, n_shingles, n_links, component_id.
 
-    ``docs`` has doc_id (unique, not null) and text; other columns are not read.
+    ``docs`` has doc_id (unique; a row with a null one is linked with nothing) and text; other columns are not read.
     n_links counts the links proven on the way to the groups, among texts of different
     sets, and the texts of the same set beyond the first. A null or empty text, or one of
     white space only, has no shingles and is its own group. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = _prefix_of_rare(docs, width, threshold)
+    sets = _sets(docs, width, threshold)
     # n_shingles in the key keeps texts without shingles apart from all others.
     classes = sets.filter("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
     classes = written(classes, "classes")
     kept = sets.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
-    members = kept.select("doc_id", "n_shingles", F.explode("prefix").alias("shingle"))
+    members = kept.select("doc_id", F.explode("prefix").alias("shingle"))
     # doc_id xor shingle orders the texts of each tile in another way, so pivots differ.
     tiles = members.groupBy("shingle").agg(F.count("*").alias("texts"), F.min(F.expr("doc_id ^ shingle")).alias("_pivot"))
     tiles = tiles.filter("texts > 1").withColumn("pivot", F.expr("_pivot ^ shingle")).drop("_pivot")
@@ -285,15 +304,18 @@ def ngram_groups(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (
     links = _verified(docs, pairs, width, threshold)
     groups = written(components(links).withColumnRenamed("id", "doc_id"), "components")
 
-    # Tiles of two texts are compared already.
-    open_tiles = tiles.filter("texts > 2").join(groups, "doc_id", "left")
-    open_tiles = open_tiles.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    several = open_tiles.groupBy("shingle").agg(F.min("component_id").alias("l"), F.max("component_id").alias("h")).filter("l <> h")
-    left = _cells(open_tiles.join(several.select("shingle"), "shingle", "left_semi"), kept, threshold)
-    left = written(left.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    # In large tiles each text first meets its nearest one of another component only.
+    large = _open_tiles(tiles.filter(F.col("texts") > LARGE_TILE), groups)
+    more = written(_cells(large, kept, threshold, nearest=True), "pairs")
+    more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    found = _verified(docs, more, width, threshold)
+    links, groups = links.unionByName(found), _joined(groups, found)
+
+    left = written(_cells(_open_tiles(tiles, groups), kept, threshold), "pairs")
+    left = written(left.join(pairs.union(more), ["a", "b"], "left_anti"), "pairs")
     if not left.isEmpty():
-        links = links.unionByName(_verified(docs, left, width, threshold))
-        groups = written(components(links).withColumnRenamed("id", "doc_id"), "components")
+        found = _verified(docs, left, width, threshold)
+        links, groups = links.unionByName(found), _joined(groups, found)
 
     counted = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
     of_class = classes.join(groups.withColumnRenamed("doc_id", "class_id"), "class_id", "left").join(counted, "class_id", "left")

@@ -1,5 +1,7 @@
 """Helpers for work on Arrow batches of texts inside tasks, and tables in the shared folder."""
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame
 from shelfmark.session import checkpoint_folder
 
 # Texts are worked on in pieces of about this many bytes; one longer text is a piece of its own.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHINGLE = np.uint64(0xD6E8FEB86659FD93)
@@ -31,8 +33,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back_memory() -> None:
+    """Return what a worker no longer uses: it stays alive between tasks, beside its executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the texts of a piece stay near the limit."""
+    """Cut batches so that the texts of a piece stay near the limit; memory goes back at the end."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes)
@@ -42,6 +51,7 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int = PIECE_BY
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back_memory()
 
 
 def text_array(column: pa.Array) -> pa.Array:

@@ -106,14 +106,15 @@ def test_cells_find_what_the_pairwise_bound_lets_pass(spark, cell):
     for doc in range(60):
         x = np.unique(np.concatenate([base[: int(rng.integers(1, 400))], rng.integers(0, 1 << 62, 9).astype(np.uint64)]))
         rows.append((7, doc, len(x), int(rng.integers(0, 40)), 60))
-        sketches.append((doc, N.odd_sketch(x)))
+        sketches.append((doc, N.odd_sketch(x), len(x)))
     expected = {
         (a[1], b[1]) for i, a in enumerate(rows) for b in rows[i + 1 :]
         if a[3] != b[3] and 100 * min(a[2], b[2]) >= 80 * max(a[2], b[2])
         and N.may_reach(sketches[a[1]][1], a[2], sketches[b[1]][1], b[2], (80, 100))
     }
     tiles = spark.createDataFrame(rows, "shingle long, doc_id long, n_shingles long, component_id long, texts long")
-    got = N._cells(tiles, spark.createDataFrame(sketches, "doc_id long, sketch binary"), (80, 100), cell)
+    sets = spark.createDataFrame(sketches, "doc_id long, sketch binary, n_shingles long")
+    got = N._cells(tiles.drop("n_shingles"), sets, (80, 100), cell)
     assert {tuple(r) for r in got.collect()} == expected and expected
 
 
