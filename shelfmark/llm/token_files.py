@@ -7,12 +7,14 @@ ascending doc_id order, their id counts, and the packed ids as bytes, least bit
 its block. A block closes at ``block_ids`` ids, so a longer document is a block of its own.
 """
 
+import itertools
 import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from shelfmark.llm.texts import pieces, shared_path, split_words, text_array
 
 BLOCK_IDS = 1 << 18
 # Words kept by one worker; beyond that its memory of words is emptied.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 800_000
 NULL_ID = -(1 << 63)
 BLOCK_SCHEMA = (
     "shard int, block int, first_doc bigint, last_doc bigint, n_docs int, n_ids bigint, bits int, "
@@ -64,12 +66,19 @@ def unpack(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
     return (windows[at >> 3] >> (at & 7).astype(np.uint64) & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
+# A letter and the ASCII mark behind it, apostrophe left out: the pre-tokenizer always cuts between them.
+_CUT = r"(\pL)([!-&(-/:-@\[-`{-~])"
+# How a special token may begin in a text.
+_SPECIAL = "<|"
+
+
 class WordEncoder:
     """A tokenizer of words, with each distinct word encoded once per worker.
 
-    Valid for tokenizers whose pre-tokenizer never joins text over white space and cuts
-    runs of letters from punctuation, as word_bpe_49k does: a text's ids are then those of
-    its words, one after the other.
+    Valid for tokenizers that lower-case, whose pre-tokenizer never joins text over white
+    space and cuts runs of letters from punctuation, as word_bpe_49k does: a text's ids are
+    then those of its words, one after the other. Texts that may hold special tokens
+    are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -84,61 +93,70 @@ class WordEncoder:
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.parts: list[np.ndarray] = []
-        self.letters: dict[str, np.ndarray] = {}
+        self.ends = np.zeros(1, np.int64)  # where the ids of each word end in the pool
+        self.pool = np.empty(0, np.uint32)
 
-    def learn_letters(self, words: list[str]) -> None:
-        """Words of letters only: one pre-token each, so the last id of each is a word end."""
-        for at in range(0, len(words), 256):
-            some = words[at : at + 256]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
-            cut = np.split(ids, np.flatnonzero(self.word_end[ids]) + 1)[:-1]
-            if len(cut) != len(some):
-                cut = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
-            self.letters.update(zip(some, cut))
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
+        found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(found), np.uint32), [len(f) for f in found]
 
     def learn(self, words: list[str]) -> None:
-        """Encode new words: letters, and a tail of other characters, each once."""
-        heads, tails = [], []
-        for word in words:
-            low = word.lower() if word.isascii() else word
-            n = len(low)
-            while n and not low[n - 1].isalpha():
-                n -= 1
-            # Where a combining mark, an apostrophe or a special token could bind head and tail, the word stays whole.
-            plain = n and low[:n].isalpha() and low[n:].isascii() and "'" not in low[n:] and "<|" not in low
-            heads.append(low[:n] if plain else None)
-            tails.append(low[n:] if plain else word)
-        self.learn_letters([w for w in dict.fromkeys(heads) if w is not None and w not in self.letters])
-        rest = [w for w in dict.fromkeys(tails) if w and (None, w) not in self.letters]
-        if rest:
-            found = self.tokenizer.encode_batch(rest, add_special_tokens=False)
-            self.letters.update(((None, w), np.array(e.ids, np.uint32)) for w, e in zip(rest, found))
-        empty = np.empty(0, np.uint32)
-        for word, head, tail in zip(words, heads, tails):
-            end = self.letters[(None, tail)] if tail else empty
-            self.index[word] = len(self.parts)
-            self.parts.append(end if head is None else np.concatenate((self.letters[head], end)) if tail else self.letters[head])
+        letters = [w for w in words if w.isalpha()]
+        others = [w for w in words if not w.isalpha()]
+        pools, lengths = [self.pool], []
+        for at in range(0, len(letters), 1024):
+            some = letters[at : at + 1024]
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.word_end[ids]) + 1
+            # A word of letters is one pre-token, so its last id is a word end; else they go one by one.
+            sizes = np.diff(ends, prepend=0) if len(ends) == len(some) else None
+            if sizes is None:
+                ids, sizes = self._one_by_one(some)
+            pools.append(ids)
+            lengths.append(sizes)
+        if others:
+            ids, sizes = self._one_by_one(others)
+            pools.append(ids)
+            lengths.append(sizes)
+        self.index.update(zip(letters + others, range(len(self.index), len(self.index) + len(words))))
+        self.pool = np.concatenate(pools)
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(np.concatenate(lengths))))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids per text, ids of all texts)."""
-        counts, codes, distinct = split_words(texts)
+        special = pc.match_substring(texts, _SPECIAL)
+        if pc.any(special).as_py():
+            return self._encode_some_whole(texts, special.to_numpy(zero_copy_only=False))
+        cut = pc.replace_substring_regex(pc.ascii_lower(texts), _CUT, r"\1 \2")
+        counts, codes, distinct = split_words(cut)
         words = distinct.to_pylist()
         if len(self.index) + len(words) > CACHED_WORDS:
             self.forget()
         new = [w for w in words if w not in self.index]
         if new:
             self.learn(new)
-        parts = [self.parts[self.index[w]] for w in words]
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-        pool = np.concatenate(parts) if parts else np.empty(0, np.uint32)
-        starts = np.cumsum(lengths) - lengths
-        each = lengths[codes] if len(codes) else np.empty(0, np.int64)
-        ends = np.cumsum(each)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.arange(total) + np.repeat(starts[codes] - (ends - each), each) if total else np.empty(0, np.int64)
-        upto = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
-        return np.diff(upto), pool[at] if total else np.empty(0, np.uint32)
+        if not len(codes):
+            return counts, np.empty(0, np.uint32)
+        places = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))[codes]
+        starts, ends = self.ends[places], self.ends[places + 1]
+        lengths = ends - starts
+        upto = np.cumsum(lengths)
+        ids = self.pool[np.arange(int(upto[-1])) + np.repeat(starts - (upto - lengths), lengths)]
+        return np.diff(np.concatenate(([0], upto))[np.concatenate(([0], np.cumsum(counts)))]), ids
+
+    def _encode_some_whole(self, texts: pa.Array, special: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        counts, parts = [], []
+        plain = self.encode(texts.filter(pa.array(~special)))
+        plain_parts = iter(np.split(plain[1], np.cumsum(plain[0])[:-1]) if len(plain[0]) else [])
+        for row, whole in enumerate(special):
+            if whole:
+                ids = self.tokenizer.encode(texts[row].as_py(), add_special_tokens=False).ids
+                part = np.array(ids, np.uint32)
+            else:
+                part = next(plain_parts)
+            parts.append(part)
+            counts.append(len(part))
+        return np.array(counts, np.int64), np.concatenate(parts)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
