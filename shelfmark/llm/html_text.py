@@ -2,10 +2,11 @@
 
 Every page is parsed once. Element subtrees are hashed (tag, attribute names, class, text
 and children), the hashes are counted per host in Spark, and subtrees that recur on many
-pages of their host are deleted. What says of itself that it is no text (navigation,
-footers, adverts and so on, by tag, role, class or id) is deleted on any page, so that
-hosts with few pages are served as well. Where a page marks its article (article, main),
-only that is taken; paragraphs inside it are text even if they recur, since sites repeat passages.
+pages of their host are deleted, inside a marked article too. What says of itself that it is
+no text (navigation, footers, adverts and so on, by tag, role, class or id) is deleted on any
+page, so that hosts with few pages are served as well. Where a page marks its article (article,
+main), only that is taken; paragraphs, headings, list items and cells without a class are text
+inside it even if they recur, since sites repeat passages.
 """
 
 import html
@@ -19,9 +20,11 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.texts import pieces, written
 
-# A subtree is a template if at least this many pages of the host, and this share of them, hold it.
+# A subtree is a template if at least this many different pages (inside an article: articles) of the host hold it.
 TEMPLATE_PAGES = 4
+# A passage without a class outside an article must also be on this share of the host's pages, or on so many pages.
 TEMPLATE_SHARE = 0.005
+PASSAGE_PAGES = 100
 
 # HTML element names by kind ---------------------------------------
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -38,6 +41,8 @@ NO_TEXT_NAMES = frozenset(
     "disqus newsletter subscribe subscription share sharing social related popup modal widget toolbar pagination pager skip login "
     "signup search".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PASSAGES = HEADINGS | frozenset("p li dt dd tr td th".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 "
     "h5 h6 header hgroup hr main menu nav ol p pre section summary table ul li".split()
@@ -80,21 +85,39 @@ def _no_text(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
 
 
 class _Element:
-    __slots__ = ("tag", "dropped", "main", "hasher", "row")
+    __slots__ = ("tag", "dropped", "main", "passage", "hasher", "row", "inner")
 
     def __init__(self, tag: str, attrs: dict[str, str], dropped: bool, main: bool):
         self.tag, self.dropped, self.main = tag, dropped, main
+        self.passage = tag in PASSAGES and "class" not in attrs
         self.hasher = xxhash.xxh3_64(f"{tag} {sorted(attrs)} {attrs.get('class', '')}")
         self.row: list[int] = []  # blocks that lie inside
+        self.inner: list[int] = []  # candidates of which this is the innermost article
+
+
+def _digest(texts: list[str]) -> int:
+    return xxhash.xxh3_64("\n".join(texts)).intdigest() - (1 << 63)
 
 
 def parse(page: str) -> tuple[list[str], list[list[int]]]:
     """The text blocks of a page that may be main text, and for each the hashes of the
-    subtrees around it that count as candidates for a template (none inside an article)."""
+    subtrees around it that count as candidates for a template."""
+    return parse_held(page)[:2]
+
+
+def parse_held(page: str) -> tuple[list[str], list[list[int]], list[tuple[int, int]]]:
+    """Blocks and candidates as of ``parse``, and each candidate with a hash of the text that holds it.
+
+    Inside an article that is the article's text, so that one article on several pages (its own,
+    archives, copies) counts once; elsewhere it is the page's text. The last bit of a candidate
+    tells a passage without a class.
+    """
     blocks: list[str] = []
     around: list[list[int]] = []
     in_main: list[bool] = []
     stack: list[_Element] = []
+    held: set[tuple[int, int]] = set()
+    outer: list[int] = []
     pending: list[str] = []
 
     def flush() -> None:
@@ -119,10 +142,23 @@ def parse(page: str) -> tuple[list[str], list[list[int]]]:
         digest = element.hasher.intdigest()
         if stack:
             stack[-1].hasher.update(digest.to_bytes(8, "little"))
-        if element.row and not element.main and element.tag not in ("html", "body"):
-            for block in element.row:
-                if not in_main[block]:
-                    around[block].append(digest - (1 << 63))
+        if not element.row or element.tag in ("html", "body"):
+            return
+        if element.tag in ("article", "main"):
+            if element.inner:
+                holder = _digest([blocks[b] for b in element.row])
+                held.update((inner, holder) for inner in element.inner)
+            return
+        if element.main and element.passage:
+            return
+        candidate = (digest >> 1 << 1 | element.passage) - (1 << 63)
+        own = [b for b in element.row if element.main or not in_main[b]]
+        for block in own:
+            around[block].append(candidate)
+        if element.main:
+            next(e for e in reversed(stack) if e.tag in ("article", "main")).inner.append(candidate)
+        elif own:
+            outer.append(candidate)
 
     at = 0
     for token in _TOKEN.finditer(page):
@@ -179,11 +215,19 @@ def parse(page: str) -> tuple[list[str], list[list[int]]]:
     while stack:
         close()
     if any(in_main):
-        return [b for b, m in zip(blocks, in_main) if m], [a for a, m in zip(around, in_main) if m]
-    return blocks, around
+        blocks, around = [b for b, m in zip(blocks, in_main) if m], [a for a, m in zip(around, in_main) if m]
+    if outer:
+        holder = _digest(blocks)
+        held.update((candidate, holder) for candidate in outer)
+    kept = {candidate for row in around for candidate in row}
+    return blocks, around, sorted(pair for pair in held if pair[0] in kept)
 
 
-_PARSED = "page_id bigint, url string, host string, blocks array<string>, around array<array<bigint>>"
+_PARSED = (
+    "page_id bigint, url string, host string, blocks array<string>, around array<array<bigint>>, "
+    "held array<struct<subtree: bigint, holder: bigint>>"
+)
+_HELD = pa.list_(pa.struct([("subtree", pa.int64()), ("holder", pa.int64())]))
 
 
 def _host(url: str | None) -> str:
@@ -196,19 +240,21 @@ def extract_main_text(pages: DataFrame, least_pages: int = TEMPLATE_PAGES, share
 
     ``pages`` has page_id, url and html; other columns are not read. Null or empty html
     gives an empty text. A null url, or one without a host, belongs to the nameless host.
-    Repeated rows stay rows of their own and count as pages. An empty table gives no rows.
+    Repeated rows stay rows of their own; pages, or articles, of the same text count once for
+    what they hold. An empty table gives no rows.
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "html"):
             urls = piece.column("url").to_pylist()
-            parsed = [parse(page or "") for page in piece.column("html").to_pylist()]
+            parsed = [parse_held(page or "") for page in piece.column("html").to_pylist()]
             columns = [
                 piece.column("page_id").cast(pa.int64()), pa.array(urls, pa.string()), pa.array(map(_host, urls), pa.string()),
-                pa.array([b for b, _ in parsed], pa.list_(pa.string())),
-                pa.array([a for _, a in parsed], pa.list_(pa.list_(pa.int64()))),
+                pa.array([b for b, _, _ in parsed], pa.list_(pa.string())),
+                pa.array([a for _, a, _ in parsed], pa.list_(pa.list_(pa.int64()))),
+                pa.array([[dict(zip(("subtree", "holder"), pair)) for pair in h] for _, _, h in parsed], _HELD),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "blocks", "around"])
+            yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "blocks", "around", "held"])
 
     rows = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
@@ -217,13 +263,15 @@ def extract_main_text(pages: DataFrame, least_pages: int = TEMPLATE_PAGES, share
     parsed = written(parsed, "pages")
     is_open = F.exists("around", lambda a: F.size(a) > 0)
 
-    subtrees = parsed.filter(is_open).select("row_key", "host", F.explode(F.array_distinct(F.flatten("around"))).alias("subtree"))
-    counts = subtrees.groupBy("host", "subtree").agg(F.count("*").alias("holding")).filter(F.col("holding") >= least_pages)
+    subtrees = parsed.filter(is_open).select("row_key", "host", F.explode("held").alias("h")).select("row_key", "host", "h.*")
+    counts = subtrees.groupBy("host", "subtree").agg(F.count_distinct("holder").alias("holding")).filter(F.col("holding") >= least_pages)
     hosts = parsed.groupBy("host").agg(F.count("*").alias("pages"))
-    templates = counts.join(hosts, "host").filter(F.col("holding") >= share * F.col("pages")).select("host", "subtree")
+    is_box = F.col("subtree").bitwiseAND(1) == 0
+    often = F.col("holding") >= F.least(share * F.col("pages"), F.lit(float(PASSAGE_PAGES)))
+    templates = counts.join(hosts, "host").filter(is_box | often).select("host", "subtree")
     hits = subtrees.join(templates, ["host", "subtree"]).groupBy("row_key").agg(F.collect_set("subtree").alias("hits"))
 
-    # Pages whose text all lies in a marked article are done; only the others wait for the counts.
+    # Pages without a candidate are done; only the others wait for the counts.
     left = parsed.filter(is_open).join(hits, "row_key", "left")
     none = F.array().cast("array<bigint>")
     pairs = F.filter(F.arrays_zip("blocks", "around"), lambda b: ~F.arrays_overlap(b["around"], F.coalesce("hits", none)))

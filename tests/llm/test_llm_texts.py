@@ -171,6 +171,31 @@ def test_subtrees_that_recur_on_a_host_go(spark):
     assert H.extract_main_text(frame.limit(0)).count() == 0
 
 
+def test_boxes_that_recur_inside_articles_go(spark):
+    box = '<div class="x7"><p>Read more of our stories</p><ul><li>one<li>two</ul></div>'
+    post = lambda i: f"<article><h2>Summary</h2><div><p>own {i}</p></div><p>A passage.</p>{box}</article>"
+    pages = [(i, f"https://h.example/{i}", f"<body>{post(i)}<footer>f</footer></body>") for i in range(6)]
+    # Archives show the same articles again, and copies whole pages: their text is no template.
+    pages += [(10 + i, f"https://h.example/all/{i}", f"<body><main><h1>All {i}</h1>{post(0)}{post(i + 1)}</main></body>") for i in range(5)]
+    pages += [(20 + i, "https://h.example/copy", "<body><article><div>copied text</div></article></body>") for i in range(6)]
+    pages += [(30 + i, "https://few.example/", f"<body><article><p>p {i}</p>{box}</article></body>") for i in range(3)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in H.extract_main_text(frame).collect()}
+    own = lambda i: f"Summary own {i} A passage."
+    assert all(got[i] == own(i) for i in range(6))
+    assert all(got[10 + i] == f"All {i} {own(0)} {own(i + 1)}" for i in range(5))
+    assert all(got[20 + i] == "copied text" for i in range(6))
+    assert all(got[30 + i] == f"p {i} Read more of our stories one two" for i in range(3))
+
+
+def test_bar_of_boxes_stays_on_large_hosts(spark):
+    strip = "<div><p>Call us</p></div>"
+    pages = [(i, f"https://h.example/{i}", f"<body>{strip if i < 6 else ''}<p>own {i}</p>{'<p>Thanks.</p>' if i < 6 else ''}</body>") for i in range(3000)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in H.extract_main_text(frame).collect()}
+    assert all(got[i] == (f"own {i} Thanks." if i < 6 else f"own {i}") for i in range(3000))
+
+
 def edits_within(item, text):
     """Fewest edits between the item and any stretch of the text, by the plain recurrence."""
     before = [0] * (len(text) + 1)
