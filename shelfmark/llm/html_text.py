@@ -40,7 +40,13 @@ NO_TEXT_NAMES = frozenset(
     "notice notices notification sidebar menu navbar navigation nav breadcrumb breadcrumbs footer header masthead comment comments "
     "disqus newsletter subscribe subscription share sharing social related popup modal widget toolbar pagination pager skip login "
     "signup search".split()
+) | frozenset(
+    "cookie-notice cookie-banner cookie-bar cookie-consent site-header site-footer page-footer site-nav main-nav main-menu nav-bar side-bar "
+    "related-posts related-articles share-buttons social-share social-links ad-banner ad-container ad-slot advert-box newsletter-signup "
+    "subscribe-box skip-link comment-form comment-list comments-area".split()
 )
+# Inside an article an id is most often the anchor of a section; only these are names of a part of the page.
+NO_TEXT_IDS_IN_ARTICLE = frozenset("comments disqus-thread respond".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PASSAGES = HEADINGS | frozenset("p li dt dd tr td th".split())
 CLOSES_P = frozenset(
@@ -62,7 +68,8 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-_NAME = re.compile(r"[A-Za-z]+")
+# How an element is no text: by its name, which an article below it overrules, or for good.
+BY_NAME, FOR_GOOD = 1, 2
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -71,24 +78,33 @@ def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(source)}
 
 
-def _no_text(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+def _tokens(source: str) -> set[str]:
+    return set(source.lower().replace("_", "-").split())
+
+
+def _no_text(tag: str, attrs: dict[str, str], in_article: bool) -> int:
+    if tag == "form":
+        return BY_NAME  # some sites have one around all of a page
     if tag in NO_TEXT or (tag == "header" and not in_article):
-        return True
+        return FOR_GOOD
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
+        return 0
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", ""):
-        return True
+        return FOR_GOOD
     if attrs.get("role", "").lower() in NO_TEXT_ROLES:
-        return True
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    return any(n.lower() in NO_TEXT_NAMES for n in _NAME.findall(names))
+        return FOR_GOOD
+    if in_article and tag in HEADINGS:
+        return 0
+    ids = NO_TEXT_IDS_IN_ARTICLE if in_article else NO_TEXT_NAMES
+    named = not NO_TEXT_NAMES.isdisjoint(_tokens(attrs.get("class", ""))) or not ids.isdisjoint(_tokens(attrs.get("id", "")))
+    return BY_NAME if named else 0
 
 
 class _Element:
-    __slots__ = ("tag", "dropped", "main", "passage", "hasher", "row", "inner")
+    __slots__ = ("tag", "dropped", "main", "rescued", "passage", "hasher", "row", "inner")
 
-    def __init__(self, tag: str, attrs: dict[str, str], dropped: bool, main: bool):
-        self.tag, self.dropped, self.main = tag, dropped, main
+    def __init__(self, tag: str, attrs: dict[str, str], dropped: int, main: bool, rescued: bool):
+        self.tag, self.dropped, self.main, self.rescued = tag, dropped, main, rescued
         self.passage = tag in PASSAGES and "class" not in attrs
         self.hasher = xxhash.xxh3_64(f"{tag} {sorted(attrs)} {attrs.get('class', '')}")
         self.row: list[int] = []  # blocks that lie inside
@@ -115,12 +131,15 @@ def parse_held(page: str) -> tuple[list[str], list[list[int]], list[tuple[int, i
     blocks: list[str] = []
     around: list[list[int]] = []
     in_main: list[bool] = []
+    rescued: list[bool] = []  # in an article that lies in an element dropped by name
+    plain = False  # whether an article elsewhere has text
     stack: list[_Element] = []
     held: set[tuple[int, int]] = set()
     outer: list[int] = []
     pending: list[str] = []
 
     def flush() -> None:
+        nonlocal plain
         if not pending:
             return
         text = " ".join("".join(pending).split())
@@ -136,6 +155,8 @@ def parse_held(page: str) -> tuple[list[str], list[list[int]], list[tuple[int, i
         blocks.append(text)
         around.append([])
         in_main.append(bool(stack) and stack[-1].main)
+        rescued.append(bool(stack) and stack[-1].rescued)
+        plain = plain or (not rescued[-1] and any(e.tag == "article" for e in stack))
 
     def close() -> None:
         element = stack.pop()
@@ -205,17 +226,23 @@ def parse_held(page: str) -> tuple[list[str], list[list[int]], list[tuple[int, i
                     break
         attrs = _attributes(token["attrs"])
         main = bool(stack) and stack[-1].main
-        dropped = bool(stack) and stack[-1].dropped or _no_text(tag, attrs, main)
+        save = bool(stack) and stack[-1].rescued
+        dropped = max(stack[-1].dropped if stack else 0, _no_text(tag, attrs, main))
+        if tag in ("article", "main") and dropped == BY_NAME and not any(e.tag == "article" for e in stack):
+            dropped, save = 0, True
         main = main or (not dropped and tag in ("article", "main"))
         if not token["attrs"].endswith("/") or tag not in ("svg",):
-            stack.append(_Element(tag, attrs, dropped, main))
+            stack.append(_Element(tag, attrs, dropped, main, save))
     if at < len(page):
         pending.append(html.unescape(page[at:]))
     flush()
     while stack:
         close()
-    if any(in_main):
-        blocks, around = [b for b, m in zip(blocks, in_main) if m], [a for a, m in zip(around, in_main) if m]
+    # Articles in elements dropped by name may be those of a list beside the text: they count where no other article has
+    # text, and then push out nothing else.
+    main_only = any(m and not r for m, r in zip(in_main, rescued))
+    stays = [(m or not main_only) and not (r and plain) for m, r in zip(in_main, rescued)]
+    blocks, around = [b for b, s in zip(blocks, stays) if s], [a for a, s in zip(around, stays) if s]
     if outer:
         holder = _digest(blocks)
         held.update((candidate, holder) for candidate in outer)

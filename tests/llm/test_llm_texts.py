@@ -196,6 +196,21 @@ def test_bar_of_boxes_stays_on_large_hosts(spark):
     assert all(got[i] == (f"own {i} Thanks." if i < 6 else f"own {i}") for i in range(3000))
 
 
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "layout has-sidebar", "no-sidebar", "sidebar", "comments"])
+def test_article_in_a_named_element_stays(name):
+    for wrap in (f'<div class="{name}">%s</div>', f'<main><div id="{name}">%s</div></main>', "<form>%s</form>"):
+        assert H.parse(PAGE % wrap % "<article><p>one</p></article>")[0] == ["one"]
+
+
+def test_names_inside_an_article():
+    body = '<h2 id="related-work">Related</h2><section id="search-methods"><p>a</p></section><div class="social-history">b</div><h2 class="share">c</h2>'
+    body += '<section id="notice">d</section><div class="share">no</div><div class="comments"><article>no</article></div>'
+    assert H.parse(PAGE % f"<article>{body}</article>")[0] == ["Related", "a", "b", "c", "d"]
+    beside = '<article><p>text</p></article><div class="related"><article>teaser</article></div><aside><article>no</article></aside>'
+    assert H.parse(PAGE % beside)[0] == ["text"]
+    assert H.parse(PAGE % '<p>text</p><ol class="comments"><li><article>reply</article></ol>')[0] == ["text", "reply"]
+
+
 def edits_within(item, text):
     """Fewest edits between the item and any stretch of the text, by the plain recurrence."""
     before = [0] * (len(text) + 1)
