@@ -1,20 +1,22 @@
-"""Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
+"""Licence scan: a trained classifier of notices, confirmed by comparison with templates.
 
 A multinomial logistic regression over word n-grams is trained on licence templates, on
 variants of them, and on paragraphs of the corpus as the unknown class. Its probabilities
 are sharpened or softened by one temperature fitted on variants it has not seen. A predicted
-family counts if its template's word pairs are found in the paragraph.
+family counts if its template's word pairs are found in the notice.
 
-The model's n-grams all hold an anchor, a template word that the corpus sample lacks. A
-paragraph without anchors has no features and is unknown, so an automaton of the anchors
-finds the paragraphs to classify without loss.
+Which passages are classified does not depend on the corpus: an automaton of the templates' words
+(but for plain English ones) finds where a notice can be, and stretches that hold enough
+of a template's word pairs are classified, however their lines are broken.
 """
 
 import random
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -32,6 +34,10 @@ SAMPLE_PARAGRAPHS = 3_000
 VARIANTS = 12
 LEAST_PROBABILITY = 0.5
 LEAST_MATCH = 0.6
+# A notice may be this many times as long as its template, and so many words longer.
+SPREAD, SLACK = 2, 10
+# Characters before and after a template word that are read for a notice around it.
+REACH = 4_000
 
 # Wording by which public licences are named or quoted ----------------
 TEMPLATES = {
@@ -94,6 +100,8 @@ TEMPLATES = {
     "unlicense": ["This is free and unencumbered software released into the public domain."],
     "proprietary": ["All rights reserved.", "Unauthorized copying of this file, via any medium, is strictly prohibited."],
 }
+# Words that do not make a place worth reading. Too few pairs of any template hold these only.
+PLAIN = frozenset("a an and any are as at be by following for in is it not of on or other that the this to use with you".split())
 # ---------------------------------------------------------------------------------
 
 _WORD = re.compile(r"[^\W_]+")
@@ -111,21 +119,104 @@ def _pairs(tokens: list[str]) -> set[tuple[str, str]]:
     return set(zip(tokens, tokens[1:]))
 
 
+def anchors() -> list[str]:
+    """The words of which every notice that holds enough pairs of a template has one."""
+    return sorted({w for ts in TEMPLATES.values() for t in ts for w in words(t) if len(w) >= 2 and not w.isdigit()} - PLAIN)
+
+
+@cache
+def _machine() -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for anchor in anchors():
+        found.add_word(anchor, anchor)
+    found.make_automaton()
+    return found
+
+
+@cache
+def _holders() -> tuple[dict[tuple[str, str], list[int]], list[int]]:
+    """The templates (by number) that hold a word pair, and how many pairs each has."""
+    holders: dict[tuple[str, str], list[int]] = {}
+    sizes = []
+    for pairs in (_pairs(words(t)) for ts in TEMPLATES.values() for t in ts):
+        for pair in pairs:
+            holders.setdefault(pair, []).append(len(sizes))
+        sizes.append(len(pairs))
+    return holders, sizes
+
+
+def _places(low: str) -> Iterator[tuple[int, int]]:
+    """The stretches of a lowered text around its anchors."""
+    begin, stop = 0, 0
+    for end, anchor in _machine().iter(low):
+        start = end - len(anchor) + 1
+        if low[start - 1 : start].isalnum() or low[end + 1 : end + 2].isalnum():
+            continue  # within a word
+        if start - REACH > stop:
+            if stop:
+                yield begin, stop
+            begin = start - REACH
+        stop = end + 1 + REACH
+    if stop:
+        yield max(begin, 0), stop
+
+
+def _stretches(low: str) -> list[tuple[float, int, int]]:
+    """(match, start, end) of the stretches that hold LEAST_MATCH of a template's pairs, line ends or not."""
+    holders, sizes = _holders()
+    out = []
+    for begin, stop in _places(low):
+        recent: dict[int, deque] = {}
+        counts: dict[int, Counter] = {}
+        before, start = "", begin
+        for at, word in enumerate(_WORD.finditer(low, begin, stop)):
+            pair = (before, word[0])
+            for t in holders.get(pair, ()):
+                window, count = recent.setdefault(t, deque()), counts.setdefault(t, Counter())
+                window.append((at, pair, start))
+                count[pair] += 1
+                while at - window[0][0] > SPREAD * sizes[t] + SLACK or count[window[0][1]] > 1:
+                    gone = window.popleft()[1]
+                    count[gone] -= 1
+                    if not count[gone]:
+                        del count[gone]
+                if len(count) >= LEAST_MATCH * sizes[t]:
+                    out.append((len(count) / sizes[t], window[0][2], word.end()))
+            before, start = word[0], word.start()
+    return out
+
+
+def notices(low: str) -> list[tuple[int, int]]:
+    """(start, end) of the places in a lowered text that may be a licence notice, in order, none over another."""
+    stretches = sorted(_stretches(low), key=lambda s: (-s[0], s[2] - s[1], s[1]))
+    starts: list[int] = []
+    cores: list[tuple[int, int]] = []
+    over = []
+    for _, start, end in stretches:
+        at = bisect_left(starts, end)
+        if at and cores[at - 1][1] > start:
+            over.append((start, end))
+        else:
+            starts.insert(at, start)
+            cores.insert(at, (start, end))
+    # What also matches around a notice belongs to it, but not what reaches into the next one.
+    found = [[*core] for core in cores]
+    for start, end in over:
+        at = bisect_left(starts, end) - 1
+        if at == 0 or cores[at - 1][1] <= start:
+            found[at] = [min(start, found[at][0]), max(end, found[at][1])]
+    for left, right in zip(found, found[1:]):
+        left[1] = min(left[1], right[0])
+    return [(start, end) for start, end in found]
+
+
 @dataclass
 class Model:
     families: list[str]
-    anchors: list[str]
     vocabulary: dict[str, int]
     weights: np.ndarray
     temperature: float
 
-    def machine(self) -> ahocorasick.Automaton:
-        found = ahocorasick.Automaton()
-        for anchor in self.anchors:
-            found.add_word(anchor, anchor)
-        found.make_automaton()
-        return found
-
     def probabilities(self, tokens: list[str]) -> np.ndarray:
         hit = [self.vocabulary[g] for g in ngrams(tokens) if g in self.vocabulary]
         return _softmax((self.weights[hit].sum(axis=0) + self.weights[-1])[None] / self.temperature)[0]
@@ -165,15 +256,13 @@ def train(paragraphs: list[str]) -> Model:
     rng = random.Random(8)
     families = [UNKNOWN, *sorted(TEMPLATES)]
     named = [" ".join(words(t)) for ts in TEMPLATES.values() for t in ts]
-    plain = [p for p in paragraphs if not any(t in " ".join(words(p)) for t in named)]
+    plain = [p for p in paragraphs if not notices(p.lower())]
     filler = [w for p in plain for w in p.split()][:20_000]
-    common = Counter(w for p in plain for w in set(words(p)))
     wording = {w for t in named for w in t.split()}
-    anchors = sorted(w for w in wording if len(w) >= 2 and not w.isdigit() and common[w] == 0)
-    anchored = set(anchors)
+    vocabulary = {g: i for i, g in enumerate(sorted({g for t in named for g in ngrams(t.split())}))}
 
     def grams(text: str) -> set[str]:
-        return {g for g in ngrams(words(text)) if anchored & set(g.split())}
+        return {g for g in ngrams(words(text)) if g in vocabulary}
 
     rows = [(p, 0) for p in plain]
     # Sentences that use licence words for something else speak for the unknown class.
@@ -184,10 +273,9 @@ def train(paragraphs: list[str]) -> Model:
     rows = [(grams(text), y) for text, y in rows]
     empty = [r for r in rows if not r[0]]
     rows = [r for r in rows if r[0]] + empty[:200]
-    vocabulary = {g: i for i, g in enumerate(sorted({g for t in named for g in grams(t)}))}
     x = np.zeros((len(rows), len(vocabulary) + 1))
     for i, (found, _) in enumerate(rows):
-        x[i, [vocabulary[g] for g in found if g in vocabulary]] = 1.0
+        x[i, [vocabulary[g] for g in found]] = 1.0
     x[:, -1] = 1.0
     y = np.eye(len(families))[[label for _, label in rows]]
     held = np.arange(len(rows)) % 4 == 3
@@ -204,48 +292,39 @@ def train(paragraphs: list[str]) -> Model:
     logits = x[held] @ part
     heats = np.geomspace(0.2, 5, 25)
     losses = [-np.log(np.maximum((_softmax(logits / t) * y[held]).sum(axis=1), 1e-12)).mean() for t in heats]
-    return Model(families, anchors, vocabulary, solve(x, y), float(heats[int(np.argmin(losses))]))
+    return Model(families, vocabulary, solve(x, y), float(heats[int(np.argmin(losses))]))
 
 
 def sample_paragraphs(docs: DataFrame) -> list[str]:
-    """A bounded sample of the corpus' paragraphs, of the texts that come first by a hash of their id."""
+    """A bounded sample of the corpus' lines, of the texts that come first by a hash of their id; lines of what may be a notice are left out."""
     short = docs.filter(F.length("text").between(1, SAMPLE_CHARS)).select("doc_id")
     ids = short.orderBy(F.xxhash64("doc_id", F.lit(8)), "doc_id").limit(SAMPLE_TEXTS)
     rows = docs.select("doc_id", "text").filter(F.length("text").between(1, SAMPLE_CHARS)).join(F.broadcast(ids.distinct()), "doc_id").collect()
     rows.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"]))
-    return [p for r in rows for p in r["text"].split("\n") if p.strip()][:SAMPLE_PARAGRAPHS]
+    return [p for r in rows for p in _lines_without_notices(r["text"]) if p.strip()][:SAMPLE_PARAGRAPHS]
 
 
-def scan_text(text: str, model: Model, machine: ahocorasick.Automaton) -> list[tuple[int, str, float, float]]:
-    """(paragraph number, family, probability, template match) of the paragraphs that name a licence.
+def _lines_without_notices(text: str) -> list[str]:
+    low = text.lower()
+    taken = {n for start, end in notices(low) for n in range(low.count("\n", 0, start), low.count("\n", 0, end) + 1)}
+    return [line for n, line in enumerate(text.split("\n")) if n not in taken]
 
-    Paragraphs are lines; a line with a licence is one row.
-    """
+
+def scan_text(text: str, model: Model) -> list[tuple[int, str, float, float]]:
+    """(number of its first line, family, probability, template match) of the notices that name a licence."""
     low = text.lower()
-    if len(low) != len(text):  # a character changed its length: take the lines of the lowered text
-        text = low
-    lines: dict[int, tuple[int, int]] = {}
-    number, line_start, seen = 0, 0, -1
-    for end, anchor in machine.iter(low):
-        start = end - len(anchor)
-        if end <= seen or (start >= 0 and low[start].isalnum()) or low[end + 1 : end + 2].isalnum():
-            continue  # in a line found already, or within a word
-        number += low.count("\n", line_start, end)
-        line_start = low.rfind("\n", 0, end) + 1
-        stop = low.find("\n", end)
-        stop = len(low) if stop < 0 else stop
-        lines[number] = (line_start, stop)
-        seen = stop
-    found = []
-    for number, (start, stop) in lines.items():
-        family, probability, match = model.classify(text[start:stop])
+    found, number, at = [], 0, 0
+    for start, end in notices(low):
+        number += low.count("\n", at, start)
+        at = start
+        family, probability, match = model.classify(low[start:end])
         if family != UNKNOWN:
             found.append((number, family, probability, match))
     return found
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
-    """One row per paragraph that names a licence: doc_id, paragraph (from 0), family, probability, template_match.
+    """One row per notice that names a licence: doc_id, paragraph (its first line, from 0), family, probability, template_match.
 
     ``docs`` has doc_id and text; other columns are not read. Null or empty texts give no
     rows, repeated rows give theirs each, an empty table gives none.
@@ -254,11 +333,10 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(train(sample_paragraphs(docs)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = sent.value.machine()
         for piece in pieces(batches, "text"):
             rows = []
             for doc, text in zip(piece.column("doc_id").to_pylist(), text_array(piece.column("text")).to_pylist()):
-                rows += [(doc, *found) for found in scan_text(text, sent.value, machine)]
+                rows += [(doc, *found) for found in scan_text(text, sent.value)]
             if rows:
                 kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64())
                 names = ["doc_id", "paragraph", "family", "probability", "template_match"]

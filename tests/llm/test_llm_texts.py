@@ -260,6 +260,25 @@ def test_leaks_are_found_up_to_the_edit_budget(spark):
     assert D.find_leaks(frame, benchmark.limit(0)).count() == 0 and D.decontaminate(frame, benchmark.limit(0)).count() == len(docs)
 
 
+def test_licences_are_found_whatever_the_sample_holds():
+    line = "Distributed under the MIT license."
+    prose = ["All of these rights are reserved to the public by law.", "The software was free to use under a work permit.", "Version 2 of the story."]
+    for sample in ([], prose * 50, [*prose, line, "all rights of the MIT, reserved under any license"] * 50):
+        model = L.train(sample)
+        for family, templates in L.TEMPLATES.items():
+            for template in templates:
+                assert [r[:2] for r in L.scan_text(f"so it was\nsaid: {template} and so on", model)] == [(1, family)]
+        assert [r[:2] for r in L.scan_text(f"a\n{line}\n\nAll rights reserved.", model)] == [(1, "mit"), (3, "proprietary")]
+        assert not any(L.scan_text(p, model) for p in prose)
+
+
+def test_every_match_holds_an_anchor():
+    anchors = set(L.anchors())
+    for template in (t for ts in L.TEMPLATES.values() for t in ts):
+        pairs = L._pairs(L.words(template))
+        assert sum(anchors.isdisjoint(p) for p in pairs) < L.LEAST_MATCH * len(pairs)
+
+
 def test_licence_paragraphs(spark):
     rng = np.random.default_rng(9)
     prose = lambda n: " ".join(rng.choice(["lorem", "ipsum", "dolor", "sit", "amet", "elit", "sed"], n))
