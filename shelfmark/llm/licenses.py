@@ -64,13 +64,22 @@ TEMPLATES = {
     "gpl-2.0": [
         "This work is licensed under the GNU General Public License, version 2.",
         "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+        "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: GPL-2.0-only",
     ],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+        "License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
     ],
-    "agpl-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-only"],
+    "agpl-3.0": [
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License "
+        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+    ],
     "mpl-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
@@ -161,8 +170,8 @@ def _places(low: str) -> Iterator[tuple[int, int]]:
         yield max(begin, 0), stop
 
 
-def _stretches(low: str) -> list[tuple[float, int, int]]:
-    """(match, start, end) of the stretches that hold LEAST_MATCH of a template's pairs, line ends or not."""
+def _stretches(low: str) -> list[tuple[int, float, int, int]]:
+    """(pairs, match, start, end) of the stretches that hold LEAST_MATCH of a template's pairs, line ends or not."""
     holders, sizes = _holders()
     out = []
     for begin, stop in _places(low):
@@ -181,18 +190,21 @@ def _stretches(low: str) -> list[tuple[float, int, int]]:
                     if not count[gone]:
                         del count[gone]
                 if len(count) >= LEAST_MATCH * sizes[t]:
-                    out.append((len(count) / sizes[t], window[0][2], word.end()))
+                    out.append((len(count), len(count) / sizes[t], window[0][2], word.end()))
             before, start = word[0], word.start()
     return out
 
 
-def notices(low: str) -> list[tuple[int, int]]:
-    """(start, end) of the places in a lowered text that may be a licence notice, in order, none over another."""
-    stretches = sorted(_stretches(low), key=lambda s: (-s[0], s[2] - s[1], s[1]))
+def notices(low: str) -> list[tuple[int, int, int]]:
+    """(start of its best match, start, end) of the places in a lowered text that may be a licence notice.
+
+    They are in order, and none lies over another.
+    """
+    stretches = sorted(_stretches(low), key=lambda s: (-s[0], -s[1], s[3] - s[2], s[2]))
     starts: list[int] = []
     cores: list[tuple[int, int]] = []
     over = []
-    for _, start, end in stretches:
+    for _, _, start, end in stretches:
         at = bisect_left(starts, end)
         if at and cores[at - 1][1] > start:
             over.append((start, end))
@@ -207,7 +219,7 @@ def notices(low: str) -> list[tuple[int, int]]:
             found[at] = [min(start, found[at][0]), max(end, found[at][1])]
     for left, right in zip(found, found[1:]):
         left[1] = min(left[1], right[0])
-    return [(start, end) for start, end in found]
+    return [(first, start, end) for (first, _), (start, end) in zip(cores, found)]
 
 
 @dataclass
@@ -306,7 +318,7 @@ def sample_paragraphs(docs: DataFrame) -> list[str]:
 
 def _lines_without_notices(text: str) -> list[str]:
     low = text.lower()
-    taken = {n for start, end in notices(low) for n in range(low.count("\n", 0, start), low.count("\n", 0, end) + 1)}
+    taken = {n for _, start, end in notices(low) for n in range(low.count("\n", 0, start), low.count("\n", 0, end) + 1)}
     return [line for n, line in enumerate(text.split("\n")) if n not in taken]
 
 
@@ -314,9 +326,9 @@ def scan_text(text: str, model: Model) -> list[tuple[int, str, float, float]]:
     """(number of its first line, family, probability, template match) of the notices that name a licence."""
     low = text.lower()
     found, number, at = [], 0, 0
-    for start, end in notices(low):
-        number += low.count("\n", at, start)
-        at = start
+    for first, start, end in notices(low):
+        number += low.count("\n", at, first)
+        at = first
         family, probability, match = model.classify(low[start:end])
         if family != UNKNOWN:
             found.append((number, family, probability, match))

@@ -1,5 +1,6 @@
 """Token files, counts, mixing, extraction and scans against brute force and round trips."""
 
+import textwrap
 import zlib
 
 import duckdb
@@ -272,6 +273,17 @@ def test_licences_are_found_whatever_the_sample_holds():
         assert not any(L.scan_text(p, model) for p in prose)
 
 
+@pytest.mark.parametrize("width", [40, 70, 80])
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_wrapped_notices(width, mark):
+    model = L.train(["Some words of the text.", "Work is to be done under any version of it."] * 20)
+    for family, templates in L.TEMPLATES.items():
+        for template in templates:
+            lines = textwrap.wrap(template, width)
+            text = "\n".join(["Name of the program", "", *(mark + line for line in lines), mark.rstrip(), mark + "This file holds the rest."])
+            assert [r[:2] for r in L.scan_text(text, model)] == [(2, family)], template
+
+
 def test_every_match_holds_an_anchor():
     anchors = set(L.anchors())
     for template in (t for ts in L.TEMPLATES.values() for t in ts):
