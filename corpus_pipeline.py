@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar texts stays: the one with the smallest doc_id."""
-    copies = written(ngram_groups(docs).filter("doc_id <> component_id").select("doc_id"), "copies")
+    copies = written(ngram_groups(docs, with_links=False).filter("doc_id <> component_id").select("doc_id"), "copies")
     return without(docs, copies)
 
 

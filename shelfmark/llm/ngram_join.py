@@ -14,11 +14,14 @@ Texts whose word-shingle sets reach a Jaccard similarity are linked; linked text
    pairs of different components and fitting sizes (the size bands) are bounded from above
    by the bits in which their sketches differ: that many shingles differ at least.
 5. Pairs that pass are compared exactly on their sorted arrays.
+6. For the number of links, all pairs of each component whose sizes fit are compared
+   exactly, each in one bounded cell; only counts per text leave a cell.
 
 No pair that reaches the threshold is lost: it shares a tile, and is then either
 compared or found in one component already.
 """
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +41,9 @@ HOT_SHINGLES = 200_000
 HOT_IN_PIECE = 3
 CELL_TEXTS = 1024
 LARGE_TILE = 16
+# Links are counted in cells of two parts of about this many texts and bytes of hashes, so many shingles at a time.
+LINK_TEXTS, LINK_BYTES = 512, 16 << 20
+LINK_COLUMNS = 4096
 # Bits of a sketch per shingle, and the least and most bits: fewer collisions, tighter bounds.
 SKETCH_SPREAD = 2
 SKETCH_BITS = (64, 16_384)
@@ -279,18 +285,113 @@ def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
     return written(rows.select("doc_id", F.coalesce("_low", "component_id").alias("component_id")), "components")
 
 
-def ngram_groups(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+def _linked(sets: list[np.ndarray], side: np.ndarray | None, copies: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+    """For each set the copies of all sets (with sides, of those of the other side) that it reaches the threshold with."""
+    above, below = threshold
+    sizes = np.array([len(s) for s in sets])
+    _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = often > 1
+    keep = several[code]
+    row, column = np.repeat(np.arange(len(sets)), sizes)[keep], (np.cumsum(several) - 1)[code[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(sets), len(sets)), np.int64)
+    columns = int(several.sum())
+    for begin in range(0, columns, LINK_COLUMNS):
+        a, b = np.searchsorted(column, [begin, begin + LINK_COLUMNS])
+        holds = np.zeros((len(sets), min(LINK_COLUMNS, columns - begin)), np.float32)
+        holds[row[a:b], column[a:b] - begin] = 1
+        both += (holds @ holds.T).astype(np.int64)
+    link = below * both >= above * (sizes[:, None] + sizes - both)
+    np.fill_diagonal(link, False)
+    if side is not None:
+        link &= side[:, None] != side
+    return link.astype(np.int64) @ copies
+
+
+def _link_counts(docs: DataFrame, members: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
+    """(class_id, n_links): the texts of other classes that a class is linked with.
+
+    ``members`` has class_id, component_id, n_shingles and copies. Linked texts lie in one component, so
+    its classes are compared there: in bands of sizes, of which a link joins at most neighbours.
+    """
+    above, below = threshold
+    weight = F.sum("n_shingles") * 8
+    whole = members.groupBy("component_id").agg(F.count("*").alias("_m"), weight.alias("_bytes")).filter("_m > 1")
+    whole = whole.select("component_id", ((F.col("_m") <= LINK_TEXTS) & (F.col("_bytes") <= LINK_BYTES)).alias("_small"))
+    # A little wider than the threshold, so that rounding puts no link beyond the next band.
+    step = math.log(below / above) * (1 + 1e-9) if above < below else 1.0
+    band = F.floor(F.log("n_shingles") / step) if above < below else F.col("n_shingles")
+    rows = members.join(whole, "component_id").withColumn("band", F.when(F.col("_small"), F.lit(0)).otherwise(band).cast("bigint"))
+    rows = written(rows.drop("_small"), "members")
+    parts = rows.groupBy("component_id", "band").agg(
+        F.ceil(F.greatest(F.count("*") / LINK_TEXTS, weight / LINK_BYTES)).cast("int").alias("parts")
+    )
+    key = ["component_id", "band"]
+    up = parts.select("component_id", (F.col("band") - 1).alias("band"), F.col("parts").alias("up"))
+    down = parts.select("component_id", (F.col("band") + 1).alias("band"), F.col("parts").alias("down"))
+    rows = rows.join(parts, key).join(up, key, "left").join(down, key, "left")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int"))
+
+    def cells(count: str, name) -> F.Column:
+        none = F.array().cast("array<struct<first: bigint, across: boolean, low: int, high: int, side: int>>")
+        return F.when(F.col(count).isNull(), none).otherwise(F.transform(F.sequence(F.lit(0), F.col(count) - 1), name))
+
+    def cell(first, across, low, high, side):
+        return F.struct(
+            first.alias("first"), F.lit(across).alias("across"), low.cast("int").alias("low"), high.cast("int").alias("high"),
+            side.cast("int").alias("side"),
+        )
+
+    own, part = F.col("band"), F.col("part")
+    in_cells = F.concat(
+        cells("parts", lambda q: cell(own, False, F.least(part, q), F.greatest(part, q), part)),
+        cells("up", lambda q: cell(own, True, part, q, F.lit(0))),
+        cells("down", lambda q: cell(own - 1, True, q, part, F.lit(1))),
+    )
+    arrays = _arrays(docs, rows.select(F.col("class_id").alias("doc_id")), width).withColumnRenamed("doc_id", "class_id")
+    rows = rows.select("class_id", "component_id", "copies", in_cells.alias("_cells")).join(arrays, "class_id")
+    rows = rows.select("class_id", "component_id", "copies", "hashes", F.explode("_cells").alias("_cell")).select(
+        "component_id", "_cell.*", "class_id", "copies", "hashes"
+    )
+    place = ["component_id", "first", "across", "low", "high"]
+    rows = rows.repartition(*place).sortWithinPartitions(*place)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settled() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                ids, sides, copies, sets = zip(*held)
+                side = np.array(sides) if key[2] or key[3] != key[4] else None
+                counted = _linked(list(sets), side, np.array(copies, np.int64), threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counted)], ["class_id", "links"])
+
+        key, held = None, []
+        for batch in batches:
+            hashes = batch.column("hashes")
+            for at, row in enumerate(batch.drop_columns(["hashes"]).to_pylist()):
+                now = tuple(row[p] for p in place)
+                if now != key:
+                    yield from settled()
+                    key, held = now, []
+                held.append((row["class_id"], row["side"], row["copies"], np.frombuffer(hashes[at].as_buffer(), np.uint64)))
+        yield from settled()
+        give_back_memory()
+
+    return rows.mapInArrow(count, "class_id bigint, links bigint").groupBy("class_id").agg(F.sum("links").alias("n_links"))
+
+
+def ngram_groups(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), with_links: bool = True) -> DataFrame:
     """One row per text: doc_id, n_shingles, n_links, component_id.
 
     ``docs`` has doc_id (unique; a row with a null one is linked with nothing) and text; other columns are not read.
-    n_links counts the links proven on the way to the groups, among texts of different
-    sets, and the texts of the same set beyond the first. A null or empty text, or one of
-    white space only, has no shingles and is its own group. An empty table gives no rows.
+    n_links counts the other texts that reach the threshold with the text, texts of the same set
+    too; without ``with_links`` the column is left out, and links are not counted. A null or empty
+    text, or one of white space only, has no shingles and is its own group. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = _sets(docs, width, threshold)
     # n_shingles in the key keeps texts without shingles apart from all others.
-    classes = sets.filter("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"))
+    classes = sets.filter("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("class_id"), F.count("doc_id").alias("copies"))
     classes = written(classes, "classes")
     kept = sets.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
     members = kept.select("doc_id", F.explode("prefix").alias("shingle"))
@@ -309,20 +410,27 @@ def ngram_groups(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (
     more = written(_cells(large, kept, threshold, nearest=True), "pairs")
     more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     found = _verified(docs, more, width, threshold)
-    links, groups = links.unionByName(found), _joined(groups, found)
+    groups = _joined(groups, found)
 
     left = written(_cells(_open_tiles(tiles, groups), kept, threshold), "pairs")
     left = written(left.join(pairs.union(more), ["a", "b"], "left_anti"), "pairs")
     if not left.isEmpty():
         found = _verified(docs, left, width, threshold)
-        links, groups = links.unionByName(found), _joined(groups, found)
-
-    counted = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
-    of_class = classes.join(groups.withColumnRenamed("doc_id", "class_id"), "class_id", "left").join(counted, "class_id", "left")
+        groups = _joined(groups, found)
+
+    groups = groups.withColumnRenamed("doc_id", "class_id")
+    of_class = classes.join(groups, "class_id", "left")
+    if with_links:
+        members = classes.join(groups, "class_id").select("class_id", "component_id", "n_shingles", "copies")
+        of_class = of_class.join(_link_counts(docs, members, width, threshold), "class_id", "left")
+    else:
+        of_class = of_class.withColumn("n_links", F.lit(0))
     of_class = of_class.select(
         "n_shingles", "set_a", "set_b", F.coalesce("component_id", "class_id").alias("_component"),
         (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("_links"),
     )
-    return sets.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["n_shingles", "set_a", "set_b"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("_links", F.lit(0)).alias("n_links"), F.coalesce("_component", "doc_id").alias("component_id")
+    n_links = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.coalesce("_links", F.lit(0))).cast("bigint").alias("n_links")
+    out = sets.select("doc_id", "n_shingles", "set_a", "set_b").join(of_class, ["n_shingles", "set_a", "set_b"], "left").select(
+        "doc_id", "n_shingles", n_links, F.coalesce("_component", "doc_id").alias("component_id")
     )
+    return out if with_links else out.drop("n_links")

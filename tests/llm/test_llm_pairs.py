@@ -71,6 +71,24 @@ def test_groups_equal_brute_force(spark, seed, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == grouped(rows)
 
 
+@pytest.mark.parametrize("cell", [3, 512])
+def test_links_equal_brute_force(spark, cell, monkeypatch):
+    monkeypatch.setattr(N, "LINK_TEXTS", cell)
+    monkeypatch.setattr(N, "LINK_COLUMNS", 7 * cell)
+    rng = random.Random(6)
+    base = [f"v{i}" for i in range(90)]
+    rows = texts(3, 40)
+    for k in range(40):  # one group: near copies, exact ones, and longer ones
+        own = base + [f"t{i}" for i in range(rng.randint(0, 25))]
+        own[rng.randrange(90)] = f"z{k % 30}"
+        rows += [(1000 + 2 * k, " ".join(own)), (1001 + 2 * k, " ".join(own if k % 3 else base))]
+    sets = {d: shingles(t) for d, t in rows}
+    want = {d: sum(100 * len(x & y) >= 80 * len(x | y) for e, y in sets.items() if e != d and x and y) for d, x in sets.items()}
+    got = N.ngram_groups(frame(spark, [*rows, (None, " ".join(base))]))
+    assert {r.doc_id: r.n_links for r in got.collect()} == {**want, None: 0}
+    assert N.ngram_groups(frame(spark, rows), with_links=False).columns == ["doc_id", "n_shingles", "component_id"]
+
+
 def test_chain_of_links_and_long_text(spark):
     words = [f"x{i}" for i in range(3000)]
     rows = [(k + 1, " ".join(words[k * 60 : k * 60 + 800])) for k in range(8)] + [(50, " ".join(words * 20))]
