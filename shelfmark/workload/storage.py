@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,18 +40,49 @@ def scan_parquet(spark, folder):
     return W._flat_records(I.ingest_parquet(scans.read_parquet_rows(spark, path), cards, as_of=V.CATALOG_AS_OF).records)
 
 
+# A catalog document takes entries up to about so many characters; one longer entry is a document of its own.
+DOCUMENT_CHARS = 8 << 20
+
+
+def catalog_documents(entries, limit=None):
+    """(source, part, value): the entries (source, position, entry as text) of each source as documents of bounded size.
+
+    Parts follow the positions within a source, and sort as text.
+    """
+    limit = limit or DOCUMENT_CHARS
+
+    def cut(batches):
+        task, number = TaskContext.get().partitionId(), 0
+        source, held, size = None, [], 0
+
+        def document():
+            columns = [pa.array([source], pa.string()), pa.array([f"{task:06d}-{number:06d}"]), pa.array(['{"datasets":[' + ",".join(held) + "]}"])]
+            return pa.RecordBatch.from_arrays(columns, ["source", "part", "value"])
+
+        for batch in batches:
+            for now, entry in zip(batch.column("source").to_pylist(), batch.column("entry").to_pylist()):
+                if held and (now != source or size + len(entry) > limit):
+                    yield document()
+                    number, held, size = number + 1, [], 0
+                source = now
+                held.append(entry)
+                size += len(entry)
+        if held:
+            yield document()
+
+    ordered = entries.select("source", "position", "entry").repartitionByRange("source", "position").sortWithinPartitions("source", "position")
+    return ordered.mapInArrow(cut, "source string, part string, value string")
+
+
 @query("scan_catalog", ORACLE["catalog_records"])
 def scan_catalog(spark, folder):
-    """The entries of catalog_records as catalog documents, one per source, written and scanned."""
+    """The entries of catalog_records as catalog documents, of bounded size and one source each, written and scanned."""
     path = shared_path(spark, "catalog")
     entries = W.entries(spark, folder).join(
         V.table(spark, folder, "documents").select(F.col("doc_id").alias("position"), "source"), "position"
     )
-    listed = F.array_sort(F.collect_list(F.struct("position", F.to_json("entry").alias("entry"))))
-    documents = entries.groupBy("source").agg(
-        F.concat(F.lit('{"datasets":['), F.array_join(F.transform(listed, lambda e: e.entry), ","), F.lit("]}")).alias("value")
-    )
-    documents.write.option("maxRecordsPerFile", 1).partitionBy("source").text(path)
+    documents = catalog_documents(entries.select("source", "position", F.to_json("entry").alias("entry")))
+    documents.write.partitionBy("source", "part").text(path)
     records = W._flat_records(I.ingest_catalog(scans.read_catalog_entries(spark, path), V.CATALOG_AS_OF).records)
     return records.select(
         "id", "ns_local_id", "title", "readme_text", "access_class", "fingerprint", "readme_tokens", "downloads"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from catalogs import AS_OF, artifacts, column, datasets
 from shelfmark.plans import ingest as I
 from shelfmark.sources import scans
+from shelfmark.workload import storage
 
 LINES = [
     json.dumps({"id": "org/full", "name": "full", "pretty_name": "Full One", "description": "one two  three",
@@ -186,3 +187,16 @@ def test_listing_records(spark):
 
     blob = "hf|a||2024-01-03T00:00:00+00:00||"
     assert rows["n/a"].fingerprint == hashlib.sha256(blob.encode()).hexdigest()
+
+
+def test_catalog_documents_of_a_source_are_bounded(spark, monkeypatch):
+    rows = [(f"s{i % 5 // 4}", i, f'{{"id":{i}}}') for i in range(200)] + [(None, 900, '{"id":900}'), ("s1", 901, "x" * 500)]
+    found = storage.catalog_documents(spark.createDataFrame(rows, "source string, position long, entry string"), limit=100).collect()
+    assert max(len(d.value) for d in found if "x" not in d.value) < 150 and len(found) > 20
+    for source in ("s0", "s1", None):
+        own = [d.value[len('{"datasets":[') : -2] for d in sorted(found, key=lambda d: d.part) if d.source == source]
+        assert ",".join(own) == ",".join(e for s, _, e in rows if s == source)
+    folder = "/root/testdata/sf0.001"
+    whole = sorted(map(repr, storage.scan_catalog(spark, folder).collect()))
+    monkeypatch.setattr(storage, "DOCUMENT_CHARS", 5_000)
+    assert sorted(map(repr, storage.scan_catalog(spark, folder).collect())) == whole
