@@ -17,6 +17,7 @@ from shelfmark.llm.quality import score_quality
 from shelfmark.llm.texts import shared_path, written
 from shelfmark.llm.token_files import token_output
 from shelfmark.llm.toxicity import score_toxicity
+from shelfmark.llm.url_filter import URL_SQL, judge_urls, query_rules
 
 QueryFunction = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFunction] = {}
@@ -108,3 +109,8 @@ def mixing(spark, folder):
 @query("op10_html_text")
 def html_text(spark, folder):
     return extract_main_text(table(spark, folder, "pages"))
+
+
+@query("op13_url_filter", URL_SQL)
+def url_filter(spark, folder):
+    return judge_urls(table(spark, folder, "pages"), query_rules(spark))
