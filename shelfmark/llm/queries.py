@@ -14,6 +14,7 @@ from shelfmark.llm.licenses import scan_licenses
 from shelfmark.llm.mixing import MIX_SQL, mix_report
 from shelfmark.llm.ngram_join import ngram_groups
 from shelfmark.llm.quality import score_quality
+from shelfmark.llm.ranked_search import SEARCH_SQL, ranked_search
 from shelfmark.llm.texts import shared_path, written
 from shelfmark.llm.token_files import token_output
 from shelfmark.llm.toxicity import score_toxicity
@@ -111,6 +112,11 @@ def html_text(spark, folder):
     return extract_main_text(table(spark, folder, "pages"))
 
 
+@query("op12_ranked_search", SEARCH_SQL)
+def lexical_search(spark, folder):
+    return ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query("op13_url_filter", URL_SQL)
 def url_filter(spark, folder):
     return judge_urls(table(spark, folder, "pages"), query_rules(spark))

@@ -50,7 +50,7 @@ def _labels(host):
 
 
 def prepare_rules(rules: DataFrame) -> DataFrame:
-    """(key, depth_of_host, rule, size, host_size, verdict): one row for each text of a rule.
+    """(key, domain, labels, rule, size, host_size, verdict): one row for each text of a rule.
 
     A rule without a host (null or empty) fits all hosts, one without a path fits all paths.
     """
@@ -92,9 +92,9 @@ def _events(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def sweep(events: DataFrame) -> DataFrame:
     """(host, path, opened): for each url key below an open rule, the innermost one.
 
-    Keys are unique but for their kind, so a range of keys holds no more than its share of rows.
+    Equal keys, of one path on many hosts below a domain, are dealt by their hosts; no row comes twice.
     """
-    dealt = written(events.repartitionByRange("key", "kind").withColumn("slice", F.spark_partition_id()), "url-events")
+    dealt = written(events.repartitionByRange("key", "kind", "host").withColumn("slice", F.spark_partition_id()), "url-events")
     # What is summed below has one row per slice, or per slice and depth.
     steps = dealt.groupBy("slice").agg(F.sum("step").alias("net"))
     before = steps.select("slice", (F.sum("net").over(Window.orderBy("slice")) - F.col("net")).alias("depth_before"))
