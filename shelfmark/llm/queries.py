@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.llm import token_counts as T
+from shelfmark.llm.conversation_repair import repair_conversations
 from shelfmark.llm.decontamination import find_leaks
 from shelfmark.llm.exact_dedup import DEDUP_SQL, exact_groups
 from shelfmark.llm.html_text import extract_main_text
@@ -112,6 +113,11 @@ def html_text(spark, folder):
     return extract_main_text(table(spark, folder, "pages"))
 
 
+@query("op11_conversation_repair")
+def conversation_repair(spark, folder):
+    return repair_conversations(table(spark, folder, "conversations"))
+
+
 @query("op12_ranked_search", SEARCH_SQL)
 def lexical_search(spark, folder):
     return ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
