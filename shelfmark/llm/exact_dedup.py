@@ -195,13 +195,15 @@ def exact_groups(docs: DataFrame, owner_rows: int = OWNER_ROWS) -> DataFrame:
 
     # Byte verification: equal means equal as whole strings. A large group is counted before the shuffle.
     ids = suspects.select("doc_id")
-    whole = may_be_in(docs, ids).join(ids.distinct(), "doc_id", "left_semi").select("doc_id", normalised().alias("whole"))
+    named = ids.distinct().withColumnRenamed("doc_id", "named")
+    passed = may_be_in(docs, ids)
+    whole = passed.join(named, passed["doc_id"].eqNullSafe(named["named"]), "left_semi").select("doc_id", normalised().alias("whole"))
     groups = whole.groupBy("whole").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = groups.filter("group_size > 1").select(F.sha2(F.col("whole").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size")
     groups = written(groups, "groups")
     return prints.select("doc_id", "text_sha256").join(groups, "text_sha256", "left").select(
         "doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"),
-        (F.coalesce("keep_id", "doc_id") == F.col("doc_id")).alias("kept"), "text_sha256",
+        F.coalesce("keep_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"), "text_sha256",
     )
 
 
@@ -209,5 +211,5 @@ DEDUP_SQL = f"""
 WITH texts AS (
   SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS whole FROM documents),
 groups AS (SELECT whole, max(doc_id) AS keep_id, count(*) AS group_size FROM texts GROUP BY whole)
-SELECT doc_id, keep_id, group_size, keep_id = doc_id AS kept, sha256(whole) AS text_sha256
+SELECT doc_id, keep_id, group_size, keep_id IS NOT DISTINCT FROM doc_id AS kept, sha256(whole) AS text_sha256
 FROM texts JOIN groups USING (whole)"""

@@ -10,7 +10,8 @@ import pytest
 from shelfmark.llm import ngram_join as N
 from shelfmark.llm.components import components
 from shelfmark.llm.exact_dedup import exact_groups, rice_decode, rice_encode
-from shelfmark.llm.id_filter import id_filter, may_be_in, without
+from shelfmark.llm import id_filter as I
+from shelfmark.llm.id_filter import may_be_in, without
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -165,7 +166,10 @@ def test_exact_groups(spark):
     got = exact_groups(frame(spark, rows), owner_rows=20)
     assert sorted(map(tuple, got.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect())) == expected
     assert exact_groups(frame(spark, [])).count() == 0
-    assert exact_groups(frame(spark, [(None, "a"), (1, "a")])).count() == 2
+    nameless = exact_groups(frame(spark, [(None, "a"), (1, "A"), (None, "b"), (None, "b"), (None, None)])).collect()
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in nameless) == [
+        ("1", "1", 2, True), ("None", "1", 2, False), ("None", "None", 1, True), ("None", "None", 2, True), ("None", "None", 2, True),
+    ]
 
 
 def test_id_filter(spark):
@@ -175,4 +179,16 @@ def test_id_filter(spark):
     outside = {r.doc_id for r in may_be_in(rows, ids, inside=False).collect()}
     assert set(range(0, 5000, 7)) <= inside and inside | outside == set(range(5000)) and not inside & outside
     assert {r.doc_id for r in without(rows, ids).collect()} == set(range(5000)) - set(range(0, 5000, 7))
-    assert id_filter(spark.range(0)).sum() == 0
+    assert without(rows, ids.limit(0)).count() == 5000 and may_be_in(rows, ids.limit(0)).count() == 0
+    nameless = rows.selectExpr("nullif(doc_id, 3) as doc_id", "text", "text as part", "doc_id as bits")
+    assert without(nameless, ids).count() == 5000 - 715 and without(nameless, ids).columns == nameless.columns
+    plan = without(rows, ids)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_too_many_ids_for_a_filter(spark, monkeypatch):
+    assert I.filter_bits(0) == I.LEAST_BITS and I.filter_bits(1 << 26) == I.MOST_BITS and I.filter_bits((1 << 26) + 1) is None
+    monkeypatch.setattr(I, "MOST_BITS", 1)
+    rows = spark.range(100).selectExpr("id as doc_id")
+    assert may_be_in(rows, spark.range(5)).count() == 100 and may_be_in(rows, spark.range(5), inside=False).count() == 0
+    assert without(rows, spark.range(5)).count() == 95
