@@ -1,6 +1,7 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +15,17 @@ from shelfmark.llm.queries import TOKENIZER, table, tokenizer_path
 from shelfmark.llm.texts import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+# Whole documents go through Python workers in batches of so many bytes at most, or one document.
+BATCH_BYTES = 8 << 20
+
+
+def in_small_batches(stage: Stage) -> Stage:
+    @wraps(stage)
+    def bounded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+
+    return bounded
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +55,7 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("quality", quality),
-    ("near_copies", near_copies),
-    ("decontamination", decontamination),
-    ("mixing", mixing),
-    ("token_output", token_output),
+    (stage.__name__, in_small_batches(stage)) for stage in (quality, near_copies, decontamination, mixing, token_output)
 ]
 
 # Compression scores and the tokenizer are beyond SQL; tests/llm compares with a brute-force version.
