@@ -14,19 +14,10 @@ from shelfmark.operators.ranking import page
 from shelfmark.schemas import conform
 
 
-# Labels that the one-row report names; the jobs of all others are one sum.
-REPORTED_LABELS = 200
-OTHER_LABELS = "(other)"
-
-
 def _as_text(counts: DataFrame, name: str) -> Column:
-    """Counts per label as one JSON object, of the labels with most jobs; the full counts are M.error_taxonomy."""
-    named = counts.filter(F.col(name).isNotNull())
-    most = named.orderBy(F.col("jobs").desc(), name).limit(REPORTED_LABELS)
-    rest = named.agg(F.sum("jobs")).scalar() - F.sum("jobs")
+    """Counts per label as one JSON object of all labels, which are classes of errors or states of jobs."""
     pairs = F.array_sort(F.collect_list(F.struct(F.col(name), F.col("jobs"))))
-    other = F.when(rest > 0, F.array(F.struct(F.lit(OTHER_LABELS).alias(name), rest.alias("jobs")))).otherwise(F.array().cast(f"array<struct<{name}:string,jobs:bigint>>"))
-    return most.agg(F.to_json(F.map_from_entries(F.concat(pairs, other)))).scalar()
+    return counts.filter(F.col(name).isNotNull()).agg(F.to_json(F.map_from_entries(pairs))).scalar()
 
 
 def admin_metrics(

@@ -6,6 +6,8 @@ from shelfmark import views as V
 from shelfmark.functions import text as X
 from shelfmark.operators.catalog import Filters, metadata, search_corpus
 from shelfmark.operators.keyed import lookup
+from shelfmark.operators.numbering import numbered
+from shelfmark.plans import postings as P
 from shelfmark.plans import search as S
 from shelfmark.workload.registry import ARTIFACTS, DATASETS, SIGNALS, TERM, query
 
@@ -227,6 +229,25 @@ def search_bm25_filtered(spark, folder):
     return _shown(S.search_bm25_batch(S.build_term_index(corpus, asked), None, asked, 10, FILTERS))
 
 
+@query("search_bm25_pruned", f"WITH {DATASETS}, {_POSTINGS}, {_bm25(_BENCH_TERMS)} {_BATCH_SHOWN}")
+def search_bm25_pruned(spark, folder):
+    """The same hits from lists of terms with block maxima: only ranges of texts that can hold one are read."""
+    index = P.build_postings(_tables(spark, folder)[0], block_docs=256)
+    return _shown(P.search_postings(index, _questions(spark, folder), 10))
+
+
+@query(
+    "dense_numbering",
+    """WITH rows AS (SELECT source, count(*) AS n FROM documents GROUP BY 1), whole AS (SELECT count(*) AS n FROM documents)
+    SELECT source, rows.n, 0 AS lowest, whole.n - 1 AS highest, whole.n AS numbers FROM rows, whole""",
+)
+def dense_numbering(spark, folder):
+    """Each text has a number of its own from 0 to n - 1."""
+    rows = numbered(V.table(spark, folder, "documents").select("doc_id", "source"))
+    whole = rows.agg(F.min("number").cast("int").alias("lowest"), F.max("number").alias("highest"), F.countDistinct("number").alias("numbers"))
+    return rows.groupBy("source").agg(F.count("*").alias("n")).join(F.broadcast(whole))
+
+
 @query("lookup_datasets", f"""WITH {DATASETS}, {SIGNALS}
 SELECT id, title, description, license_class, access_class, size_class, coalesce(modalities, '[]') AS modalities,
        languages, tags FROM datasets WHERE id IN (SELECT dataset_id FROM signals)""")

@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -171,6 +172,13 @@ def test_admin_metrics_of_an_empty_catalog(spark):
     assert (row.resolve_p95_ms, row.queue_depth, row.prefetch_paused) == (0.0, 0, False)
 
 
+def test_admin_metrics_names_all_labels(spark):
+    jobs = frame(spark, "jobs", [{"id": str(i), "state": f"s{i % 7}", "error_class": f"e{i % 300:03}"} for i in range(900)])
+    row = H.admin_metrics(datasets(spark), artifacts(spark), jobs, AS_OF).first()
+    assert json.loads(row.error_taxonomy) == {f"e{i:03}": 3 for i in range(300)}
+    assert sum(json.loads(row.jobs_by_state).values()) == 900 and len(json.loads(row.jobs_by_state)) == 7
+
+
 def test_state_and_prefetch(spark):
     jobs = frame(spark, "jobs", [
         {"id": "1", "dataset_id": "acme/fraud", "state": "error", "enqueued_at": "2024-01-30 00:00:00"},
