@@ -10,14 +10,17 @@ from shelfmark import constants as C
 from shelfmark import views as V
 from shelfmark.functions import vectors as VF
 from shelfmark.operators import keyed as K
+from shelfmark.operators import rolled as R
 from shelfmark.plans import dense as D
 from shelfmark.plans import evaluation as E
 from shelfmark.plans import ingest as I
 from shelfmark.session import shared_path
+from shelfmark.sources import buckets as B
 from shelfmark.sources import scans
 from shelfmark.sources import tables as S
 from shelfmark.streaming import streams
 from shelfmark.workload import ingest as W
+from shelfmark.workload import dense as WD
 from shelfmark.workload.dense import DIMENSIONS, DigestEmbedder
 from shelfmark.workload.evaluation import _EVAL, results, runs
 from shelfmark.workload.registry import DATASETS, ORACLE, SIGNALS, VECTORS, query
@@ -244,3 +247,39 @@ def signals_stream(spark, folder):
     sink = unique.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint")
     sink.trigger(availableNow=True).start(f"{base}/unique").awaitTermination()
     return spark.read.parquet(f"{base}/unique").select("id", "dataset_id", "event", F.unix_micros("created_at").alias("created_at"))
+
+
+@query("upsert_touched", ORACLE["upsert_datasets"])
+def upsert_touched(spark, folder):
+    """The updates of upsert_datasets, put into a table in buckets; untouched buckets stay as they are."""
+    path, stored = shared_path(spark, "datasets-in-buckets"), V.datasets(spark, folder)
+    B.write_buckets(stored, path, ["id"], 32)
+    records = K.keep_last(W.updates(spark, folder), ["id"], ["seq"]).select(*stored.columns)
+    B.upsert_buckets(path, records, ["id"], 32)
+    return B.read_buckets(spark, path, stored).select("id", "title", "fingerprint")
+
+
+@query("dense_topk_bucketed", ORACLE["dense_topk_batch_filtered"])
+def dense_topk_bucketed(spark, folder):
+    """The filtered batch search over tables bucketed by dataset: vectors are filtered where they lie."""
+    vectors, datasets, _ = WD._tables(spark, folder)
+    vectors = B.bucketed_table(vectors, shared_path(spark, "vectors"), "dataset_id", 16)
+    datasets = B.bucketed_table(datasets.drop("readme_text"), shared_path(spark, "datasets"), "id", 16)
+    return WD._rounded(D.search_dense_batch(vectors, datasets, WD.centres(spark, folder), 10, WD.FILTERS))
+
+
+@query(
+    "signal_scores_rolled",
+    f"""WITH {SIGNALS}, daily AS (
+      SELECT dataset_id, CAST(created_at AS DATE) AS day, count(*) AS n FROM signals WHERE dataset_id IS NOT NULL GROUP BY ALL),
+    days AS (SELECT dataset_id, day FROM daily UNION SELECT dataset_id, day + 7 FROM daily)
+    SELECT p.day, p.dataset_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS n
+    FROM days p LEFT JOIN daily d ON d.dataset_id = p.dataset_id AND d.day BETWEEN p.day - 6 AND p.day GROUP BY ALL""",
+)
+def signal_scores_rolled(spark, folder):
+    """Counts of the last seven days for all days, from two batches of changes: a third of the signals comes late."""
+    path, signals = shared_path(spark, "signal-changes"), V.signals(spark, folder)
+    late = F.col("user_id").cast("bigint") % 3 == 0
+    R.commit_changes(path, "on-time", signals.filter(~F.coalesce(late, F.lit(False))))
+    R.commit_changes(path, "late", signals.filter(late))
+    return R.rolled(R.read_changes(spark, path))
