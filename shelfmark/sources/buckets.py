@@ -11,6 +11,7 @@ from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from shelfmark.operators.keyed import upsert
 from shelfmark.session import materialised
@@ -22,6 +23,11 @@ def bucket_of(keys: list[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
+def _whole(df: DataFrame) -> Column:
+    """A row as one value that can be compared: maps as their sorted entries."""
+    return F.struct(*[F.array_sort(F.map_entries(f.name)) if isinstance(f.dataType, MapType) else F.col(f.name) for f in df.schema.fields])
+
+
 def write_buckets(df: DataFrame, path: str, keys: list[str], buckets: int) -> None:
     """Write a table to a new folder with a sub-folder per bucket. Keys are unique, so buckets are even."""
     placed = df.withColumn(BUCKET, bucket_of(keys, buckets))
@@ -49,10 +55,12 @@ def upsert_buckets(path: str, updates: DataFrame, keys: list[str], buckets: int)
     # Bounded: one number per bucket.
     named = [r[0] for r in placed.select(BUCKET).distinct().collect()]
     old = stored.filter(F.col(BUCKET).isin(named))
-    compared = placed.select(BUCKET, *keys, F.struct(*columns).alias("_new")).join(
-        old.select(BUCKET, *keys, F.struct(*columns).alias("_old"), F.lit(True).alias("_known")), [BUCKET, *keys], "left"
+    whole = _whole(updates)
+    compared = placed.select(BUCKET, *keys, F.struct(*columns).alias("_row"), whole.alias("_new")).join(
+        old.select(BUCKET, *keys, whole.alias("_old"), F.lit(True).alias("_known")), [BUCKET, *keys], "left"
     )
-    changed = materialised(compared.filter(F.col("_known").isNull() | ~F.col("_new").eqNullSafe(F.col("_old"))).select("_new.*", BUCKET), "bucket-changes")
+    changed = compared.filter(F.col("_known").isNull() | ~F.col("_new").eqNullSafe(F.col("_old")))
+    changed = materialised(changed.select("_row.*", BUCKET), "bucket-changes")
     touched = sorted(r[0] for r in changed.select(BUCKET).distinct().collect())
     if touched:
         # The bucket is in the key, so Spark joins within buckets and the layout is kept.
