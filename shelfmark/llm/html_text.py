@@ -30,10 +30,16 @@ PASSAGE_PAGES = 100
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr "
+    "math maction mfrac mi mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split()
+)
+RAW = "script|style|textarea|title|iframe|xmp|noembed|noframes"
+FOREIGN = frozenset("svg math".split())
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
+NO_TEXT = frozenset(
+    "nav footer aside form button select option dialog head menu datalist audio video map svg noscript template object canvas "
+    "annotation annotation-xml".split()
 )
-RAW = "script|style|noscript|template|textarea|title|svg|iframe|math|xmp|noembed|noframes|object|canvas"
-NO_TEXT = frozenset("nav footer aside form button select option dialog head menu datalist audio video map".split())
 NO_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 NO_TEXT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr "
@@ -63,7 +69,8 @@ SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 # ---------------------------------------------------------------------------------
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    # A name ends at white space, a slash or the end of its tag: <title-bar> is no title.
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
     r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>|<[!?][^>]*+>""",
     re.S | re.I,
 )
@@ -146,6 +153,8 @@ def parse_held(page: str) -> tuple[list[str], list[list[int]], list[tuple[int, i
         pending.clear()
         if not text:
             return
+        if stack and stack[-1].tag == "head":
+            close()  # text belongs to the body
         if stack:
             stack[-1].hasher.update(text)
             if stack[-1].dropped:
@@ -208,6 +217,10 @@ def parse_held(page: str) -> tuple[list[str], list[list[int]], list[tuple[int, i
             continue
         if tag in VOID:
             continue
+        if tag not in IN_HEAD and stack and stack[-1].tag == "head":
+            close()  # its end tag may be left out
+        if token["attrs"].endswith("/") and (tag in FOREIGN or any(e.tag in FOREIGN for e in stack)):
+            continue  # only there does a slash make an element empty
         if tag in CLOSES_P:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth].tag == "p":
@@ -231,8 +244,7 @@ def parse_held(page: str) -> tuple[list[str], list[list[int]], list[tuple[int, i
         if tag in ("article", "main") and dropped == BY_NAME and not any(e.tag == "article" for e in stack):
             dropped, save = 0, True
         main = main or (not dropped and tag in ("article", "main"))
-        if not token["attrs"].endswith("/") or tag not in ("svg",):
-            stack.append(_Element(tag, attrs, dropped, main, save))
+        stack.append(_Element(tag, attrs, dropped, main, save))
     if at < len(page):
         pending.append(html.unescape(page[at:]))
     flush()

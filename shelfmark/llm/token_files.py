@@ -67,7 +67,8 @@ def unpack(payload: bytes, bits: int, start: int, count: int) -> np.ndarray:
 
 
 # A letter and the ASCII mark behind it, apostrophe left out: the pre-tokenizer always cuts between them.
-_CUT = r"(\pL)([!-&(-/:-@\[-`{-~])"
+# Not so behind a capital I with a dot, which lower-cases to two characters: such words are encoded with their marks.
+_CUT = r"([^\PLİ])([!-&(-/:-@\[-`{-~])"
 # How a special token may begin in a text.
 _SPECIAL = "<|"
 

@@ -1,6 +1,7 @@
 """Token files, counts, mixing, extraction and scans against brute force and round trips."""
 
 import textwrap
+import unicodedata
 import zlib
 
 import duckdb
@@ -51,6 +52,21 @@ def test_word_encoder_equals_the_tokenizer(encode):
     assert [i.tolist() for i in np.split(ids, np.cumsum(counts)[:-1])] == [encode(t) for t in ODD]
 
 
+def test_word_encoder_on_characters_of_all_categories(encode):
+    """Random texts over characters of every Unicode category, with capital dotted I among them."""
+    rng = np.random.default_rng(5)
+    by_category = {}
+    for point in range(1, 0x11000):
+        if not 0xD800 <= point < 0xE000:
+            by_category.setdefault(unicodedata.category(chr(point)), []).append(chr(point))
+    pool = [c for some in by_category.values() for c in rng.choice(some, min(30, len(some)))] + list("İİİIiıaAz.,!?'-_09  \n") * 8
+    texts = ["".join(rng.choice(pool, int(rng.integers(0, 12)))) for _ in range(4000)] + ["İSTANBUL VE TÜRKİ.", "İ", "KİTAP, İ! 'Sİ's"]
+    words = K.WordEncoder(TOKENIZER)
+    counts, ids = words.encode(pa.array(texts))
+    wrong = [t for t, i in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True) if i.tolist() != encode(t)]
+    assert wrong == []
+
+
 @pytest.mark.parametrize("block_ids", [50, 1 << 18])
 def test_token_files(spark, encode, tmp_path, block_ids):
     rows = [(i * 3 - 5, t, "v", 1) for i, t in enumerate(ODD)] + [(4, "again", "v", 1), (None, "no id", "v", 1)]
@@ -203,6 +219,42 @@ def test_article_in_a_named_element_stays(name):
         assert H.parse(PAGE % wrap % "<article><p>one</p></article>")[0] == ["one"]
 
 
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        ("<html><head><title>T</title><meta charset=utf-8><body><article><p>All of it.</article>", "All of it."),
+        ("<html><head><title>T</title><style>p{}</style>\n<p>No body tag.<p>Two.", "No body tag. Two."),
+        ("<head><title>T</title>Bare text.", "Bare text."),
+        ('<article><p>Before <svg class="i"/> after.</p><p>More.</article>', "Before after. More."),
+        ("<article><p>One <svg><path d='m'/><text>no</text></svg> two.</p></article>", "One two."),
+        ("<article><svg><g><p>Lost</p></article><p>Kept.", "Kept."),
+        ("<article><canvas-widget></canvas-widget><title-bar>Bar</title-bar><p>Rest.</article>", "Bar Rest."),
+        ("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> holds.</article>", "So x=2 holds."),
+        ("<article><p>A<script>1 < 2</script foo>B</p><script/>lost</article>", "AB"),
+        ("<article><p>" + "<b>" * 3000 + "deep" + "</b>" * 10 + "</article>", "deep"),
+        ("<article><p>" + "<div>" * 2000 + "nested", "nested"),
+        ("", ""),
+    ],
+)
+def test_valid_and_broken_markup(page, expected):
+    assert " ".join(H.parse(page)[0]) == expected
+
+
+def test_templates_equal_a_brute_force_count(spark):
+    """Every box whose tag, class and text stand on enough pages of a host goes, and no other."""
+    rng = np.random.default_rng(11)
+    boxes = [f"box {i}" for i in range(12)]
+    shown = {p: sorted({int(b) for b in rng.choice(12, 3)}) for p in range(60)}
+    host = lambda p: f"h{p % 3}.example"
+    pages = [
+        (p, f"http://{host(p)}/{p}", "<body>" + "".join(f'<div class="b"><span>{boxes[b]}</span></div>' for b in shown[p]) + f"<p>own text {p}</p></body>") for p in shown
+    ]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    on = lambda p, b: sum(b in shown[q] for q in shown if host(q) == host(p))
+    expected = {p: " ".join([boxes[b] for b in shown[p] if on(p, b) < H.TEMPLATE_PAGES] + [f"own text {p}"]) for p in shown}
+    assert {r.page_id: r.text for r in H.extract_main_text(frame).collect()} == expected
+
+
 def test_names_inside_an_article():
     body = '<h2 id="related-work">Related</h2><section id="search-methods"><p>a</p></section><div class="social-history">b</div><h2 class="share">c</h2>'
     body += '<section id="notice">d</section><div class="share">no</div><div class="comments"><article>no</article></div>'
@@ -228,11 +280,36 @@ def test_alignment_equals_the_plain_recurrence():
     for _ in range(100):
         item = "".join(rng.choice(list("abc "), int(rng.integers(4, 30))))
         text = "".join(rng.choice(list("abc "), int(rng.integers(0, 50))))
-        edits, begin, end = D.align(item.encode(), text.encode(), -len(item), len(text))
+        edits, begin, end = D.align(D.points(item), D.points(text), -len(item), len(text))
         assert edits == edits_within(item, text)
         assert edits_within(item, text[begin:end]) == edits
 
 
+def test_short_repeated_and_accented_items():
+    item = "a phrase of 21 bytes!"
+    index = lambda texts, **more: D.Index(list(range(len(texts))), texts, **more)
+    assert D.gram_size(21, 1, 12) == 8 and D.gram_size(24, 1, 12) == 12 and D.gram_size(20, 10, 12) is None
+    assert [m[0] for m in index([item], q=8).matches(f"so {item.replace('2', 'x')} it is")] == [0]
+    assert sorted(m[0] for m in index(["abc", "abc"]).matches("abc")) == [0, 1]
+    accented = "größe übermäßig über dem maß, ñandú çà et là"  # one letter counts as one edit, however many bytes it has
+    assert [m[3] for m in index([accented]).matches(accented.replace("ß", "s", 2))] == [2]
+    assert index([accented]).matches(accented.replace("ß", "s", 3)) == []
+    # Characters that fold to the same byte are not the same.
+    assert index(["ααααααααααααααα"]).matches("х" * 15) == [] and D.folded("α") == D.folded(chr(ord("α") + 128))
+    assert [m[3] for m in index(["λόγος " * 6]).matches("ο " + "λόγος " * 5 + chr(ord("λ") + 128) + "όγος ")] == [1]
+    # Without any bound all texts are aligned.
+    assert [m[0] for m in index(["wholly different"], edits=0.9).matches("holy differing")] == [0]
+
+
+def test_hits_in_pieces_count_as_one(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("ab"), 60)) + "".join(rng.choice(list("abcdefgh"), 60)) for _ in range(20)]
+    index = D.Index(list(range(20)), texts)
+    whole = [index.matches(t + texts[0] + t) for t in texts]
+    monkeypatch.setattr(D, "HITS_AT_ONCE", 7)
+    assert [index.matches(t + texts[0] + t) for t in texts] == whole and all(whole)
+
+
 def test_leaks_are_found_up_to_the_edit_budget(spark):
     rng = np.random.default_rng(7)
     vocabulary = ["".join(rng.choice(list("abcdefghij"), int(rng.integers(2, 9)))) for _ in range(300)]
