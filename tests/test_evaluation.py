@@ -92,7 +92,7 @@ def test_run_judge_and_measure(spark, engine):
     vectors = D.embed_catalog(table, frame(spark, "vectors", []), embedder, as_of=AS_OF)
     tables = E.EngineTables(table, artifacts(spark), corpus, build_term_index(corpus), vectors, embedder)
     queries = frame(spark, "eval_queries", [
-        {"id": "T1", "label": "t", "query": "reviews sentiment", "total_relevant": 1, "active": True},
+        {"id": "T1", "label": "t", "query": "gauges moon", "total_relevant": 1, "active": True},
         {"id": "T2", "label": "t", "query": "zebra", "total_relevant": 1, "active": False}])
     run, results = E.run_eval(engine, tables, queries, k=3, label="try", as_of=AS_OF, run_id="r1")
     rows = results.orderBy("result_rank").collect()

@@ -78,7 +78,7 @@ def test_reimport_changes_nothing_but_fingerprints_tell(spark, jsonl):
     once = I.apply_records(datasets(spark), artifacts(spark), records, AS_OF)
     again = I.apply_records(once.datasets, once.artifacts, records, AS_OF)
     assert again.events.count() == 0 and again.datasets.count() == once.datasets.count()
-    changed = records.withColumn("fingerprint", F.lit("other")).withColumn("id", F.lit("acme/reviews"))
+    changed = records.withColumn("fingerprint", F.lit("other")).withColumn("id", F.lit("sea/tides"))
     last = I.apply_records(once.datasets, artifacts(spark), changed, AS_OF)
     assert column(last.events, "type") == ["dataset.changed"]
     assert all(column(last.artifacts, "stale"))

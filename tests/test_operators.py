@@ -35,13 +35,13 @@ def test_upsert_replaces_and_adds(spark):
 def test_change_events_and_staleness(spark):
     base = datasets(spark)
     new = datasets(spark, [
-        {"id": "acme/reviews", "fingerprint": "f1b"}, {"id": "acme/fraud", "fingerprint": "f2"},
-        {"id": "acme/new", "fingerprint": None}, {"id": "acme/captions", "fingerprint": None}])
+        {"id": "sea/tides", "fingerprint": "f1b"}, {"id": "sky/hail", "fingerprint": "f2"},
+        {"id": "sky/new", "fingerprint": None}, {"id": "sea/charts", "fingerprint": None}])
     events = K.change_events(base, new, AS_OF)
     assert sorted((r.type, r.dataset_id) for r in events.collect()) == [
-        ("dataset.changed", "acme/captions"), ("dataset.changed", "acme/reviews"), ("dataset.discovered", "acme/new")]
+        ("dataset.changed", "sea/charts"), ("dataset.changed", "sea/tides"), ("dataset.discovered", "sky/new")]
     stale = K.mark_stale(artifacts(spark), events.filter("type = 'dataset.changed'"))
-    assert {r.dataset_id: r.stale for r in stale.collect()} == {"acme/reviews": True, "acme/fraud": True}
+    assert {r.dataset_id: r.stale for r in stale.collect()} == {"sea/tides": True, "sky/hail": True}
 
 
 def test_known_row_without_fingerprint_is_not_discovered(spark):
@@ -139,13 +139,13 @@ def test_no_size_ceiling_by_default(spark):
 
 def test_decisions(spark):
     asked = spark.createDataFrame(
-        [("acme/reviews", "schema", None, None), ("acme/reviews", "stats", 100, 10), ("acme/fraud", "schema", None, None),
-         ("acme/captions", "schema", None, None)], "dataset_id string, kind string, budget_ms int, row_cap int")
+        [("sea/tides", "schema", None, None), ("sea/tides", "stats", 100, 10), ("sky/hail", "schema", None, None),
+         ("sea/charts", "schema", None, None)], "dataset_id string, kind string, budget_ms int, row_cap int")
     got = {(r.dataset_id, r.kind): r for r in P.decide_requests(asked, artifacts(spark), datasets(spark)).collect()}
-    assert got["acme/reviews", "schema"].job_id == "cached-acme/reviews"
-    assert got["acme/reviews", "stats"].outcome == "queued" and got["acme/reviews", "stats"].budget_ms == 100
-    assert got["acme/fraud", "schema"].outcome == "queued" and got["acme/fraud", "schema"].row_cap == 200
-    assert got["acme/captions", "schema"].reason_code == "gated_private"
+    assert got["sea/tides", "schema"].job_id == "cached-sea/tides"
+    assert got["sea/tides", "stats"].outcome == "queued" and got["sea/tides", "stats"].budget_ms == 100
+    assert got["sky/hail", "schema"].outcome == "queued" and got["sky/hail", "schema"].row_cap == 200
+    assert got["sea/charts", "schema"].reason_code == "gated_private"
 
 
 def test_pause_reasons(spark):
@@ -181,15 +181,15 @@ def test_admin_metrics_names_all_labels(spark):
 
 def test_state_and_prefetch(spark):
     jobs = frame(spark, "jobs", [
-        {"id": "1", "dataset_id": "acme/fraud", "state": "error", "enqueued_at": "2024-01-30 00:00:00"},
-        {"id": "2", "dataset_id": "acme/reviews", "state": "error", "enqueued_at": "2024-01-01 00:00:00"}])
+        {"id": "1", "dataset_id": "sky/hail", "state": "error", "enqueued_at": "2024-01-30 00:00:00"},
+        {"id": "2", "dataset_id": "sea/tides", "state": "error", "enqueued_at": "2024-01-01 00:00:00"}])
     state = {r.id: (r.has_schema, r.has_snips, r.recent_errors)
              for r in M.dataset_state(datasets(spark), artifacts(spark), jobs, AS_OF).collect()}
-    assert state == {"acme/reviews": (1, 0, 0), "acme/fraud": (0, 0, 1), "acme/captions": (0, 0, 0)}
-    signals = frame(spark, "signals", [{"id": "s", "dataset_id": "acme/fraud", "created_at": "2024-01-30 10:00:00"}])
+    assert state == {"sea/tides": (1, 0, 0), "sky/hail": (0, 0, 1), "sea/charts": (0, 0, 0)}
+    signals = frame(spark, "signals", [{"id": "s", "dataset_id": "sky/hail", "created_at": "2024-01-30 10:00:00"}])
     found = H.prefetch_candidates(datasets(spark), artifacts(spark), signals, 10, AS_OF)
-    assert [(r.dataset_id, r.sig_score) for r in found.collect()] == [("acme/fraud", 1)]
-    assert H.prefetch_jobs(found, AS_OF).first().id == "prefetch-acme/fraud"
+    assert [(r.dataset_id, r.sig_score) for r in found.collect()] == [("sky/hail", 1)]
+    assert H.prefetch_jobs(found, AS_OF).first().id == "prefetch-sky/hail"
 
 
 def test_leases(spark):
@@ -207,7 +207,7 @@ def test_leases(spark):
 
 def test_filters_look_into_the_json_text(spark):
     ids = lambda f: sorted(column(datasets(spark).filter(f.condition()), "id"))
-    assert ids(Filters(modality="EX")) == ["acme/captions", "acme/reviews"]
-    assert ids(Filters(license_class="mit")) == ["acme/reviews"]
-    assert ids(Filters(language="de", size_class="1M<n<10M")) == ["acme/captions"]
+    assert ids(Filters(modality="EX")) == ["sea/charts", "sea/tides"]
+    assert ids(Filters(license_class="mit")) == ["sea/tides"]
+    assert ids(Filters(language="de", size_class="1M<n<10M")) == ["sea/charts"]
     assert len(ids(Filters(license_class=""))) == 3

@@ -99,16 +99,16 @@ def test_resolution_order(spark):
 
 def test_jobs_and_events_carry_the_same_ids(spark):
     asked = spark.createDataFrame(
-        [("acme/reviews", "stats", 10, None), ("acme/fraud", "schema", None, 5), ("acme/captions", "schema", None, None)],
+        [("sea/tides", "stats", 10, None), ("sky/hail", "schema", None, 5), ("sea/charts", "schema", None, None)],
         "dataset_id string, kind string, budget_ms int, row_cap int")
     done = R.submit_requests(asked, frame(spark, "artifacts", []), datasets(spark), as_of=AS_OF)
     jobs = {r.dataset_id: r.id for r in done.jobs.collect()}
     events = {r.dataset_id: json.loads(r.payload)["job_id"] for r in done.events.collect()}
-    assert jobs == events and sorted(jobs) == ["acme/fraud", "acme/reviews"]
+    assert jobs == events and sorted(jobs) == ["sea/tides", "sky/hail"]
 
 
 def test_requests_become_jobs_and_events(spark):
-    asked = spark.createDataFrame([("acme/reviews", "schema", None, None)], "dataset_id string, kind string, budget_ms int, row_cap int")
+    asked = spark.createDataFrame([("sea/tides", "schema", None, None)], "dataset_id string, kind string, budget_ms int, row_cap int")
     decided = decide_requests(asked, frame(spark, "artifacts", []), datasets(spark))
     job = R.queued_jobs(decided, AS_OF).first()
     assert (job.state, job.attempts, job.budget_ms, job.row_cap) == ("queued", 0, 1500, 200)

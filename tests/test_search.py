@@ -17,20 +17,20 @@ def run(spark, query, **options):
 
 
 def test_best_hit_first_with_schema(spark):
-    hits = run(spark, "text classification")
-    assert [h.id for h in hits] == ["acme/reviews", "acme/captions", "acme/fraud"]
+    hits = run(spark, "text hourly")
+    assert [h.id for h in hits] == ["sea/tides", "sea/charts", "sky/hail"]
     assert hits[0].has_schema and not hits[1].has_schema and not hits[2].has_schema
-    assert hits[0].score == 2.0 and hits[0].why == ["text", "classification"]
+    assert hits[0].score == 2.0 and hits[0].why == ["text", "hourly"]
     assert (hits[0].downloads, hits[0].likes) == (12, 3) and hits[2].downloads is None
 
 
 def test_repeated_tokens_count_twice(spark):
-    hits = run(spark, "fraud fraud")
-    assert [(h.id, h.score, h.why) for h in hits] == [("acme/fraud", 2.0, ["fraud", "fraud"])]
+    hits = run(spark, "hail hail")
+    assert [(h.id, h.score, h.why) for h in hits] == [("sky/hail", 2.0, ["hail", "hail"])]
 
 
 def test_wildcards_are_plain_characters(spark):
-    assert run(spark, "%") == [] and run(spark, "fr_ud") == []
+    assert run(spark, "%") == [] and run(spark, "ha_l") == []
 
 
 def test_empty_query_finds_nothing(spark):
@@ -38,10 +38,10 @@ def test_empty_query_finds_nothing(spark):
 
 
 def test_filters_paging_and_total(spark):
-    assert [h.id for h in run(spark, "text classification", filters=Filters(license_class="mit"))] == ["acme/reviews"]
-    assert [h.id for h in run(spark, "text classification", limit=1, offset=1)] == ["acme/captions"]
+    assert [h.id for h in run(spark, "text hourly", filters=Filters(license_class="mit"))] == ["sea/tides"]
+    assert [h.id for h in run(spark, "text hourly", limit=1, offset=1)] == ["sea/charts"]
     table = datasets(spark)
-    assert S.search_total(search_corpus(table), table, "text classification").first().total == 3
+    assert S.search_total(search_corpus(table), table, "text hourly").first().total == 3
     with pytest.raises(ValueError):
         run(spark, "x", limit=101)
 
@@ -49,15 +49,15 @@ def test_filters_paging_and_total(spark):
 def test_a_snapshot_of_the_corpus_may_hold_removed_datasets(spark):
     table = datasets(spark)
     corpus = search_corpus(table)
-    left = table.filter("id <> 'acme/reviews'")
-    assert "acme/reviews" not in [h.id for h in S.search_tokens(corpus, left, artifacts(spark), "text").collect()]
+    left = table.filter("id <> 'sea/tides'")
+    assert "sea/tides" not in [h.id for h in S.search_tokens(corpus, left, artifacts(spark), "text").collect()]
 
 
 def test_hits_with_sample_rows(spark):
-    rows = frame(spark, "sample_rows", [{"row_id": "1", "dataset_id": "acme/fraud"}, {"row_id": "2", "dataset_id": "acme/fraud"}])
-    hits = run(spark, "text classification", sample_rows=rows)
+    rows = frame(spark, "sample_rows", [{"row_id": "1", "dataset_id": "sky/hail"}, {"row_id": "2", "dataset_id": "sky/hail"}])
+    hits = run(spark, "text hourly", sample_rows=rows)
     assert {h.id: h.has_sample_rows for h in hits} == {
-        "acme/reviews": False, "acme/captions": False, "acme/fraud": True}
+        "sea/tides": False, "sea/charts": False, "sky/hail": True}
 
 
 def random_corpus(spark, n, seed):
@@ -125,26 +125,26 @@ def test_bm25_falls_back_to_token_hits(spark):
     table = datasets(spark)
     corpus = search_corpus(table)
     index = S.build_term_index(corpus)
-    assert S.search_bm25(index, table, artifacts(spark), "sentimen review").count() == 0
-    hits = S.search_bm25(index, table, artifacts(spark), "sentimen review", fall_back=corpus)
-    assert column(hits, "id")[0] == "acme/reviews"
-    by_term = S.search_bm25(index, table, artifacts(spark), "sentiment", fall_back=corpus)
-    assert column(by_term, "id") == column(S.search_bm25(index, table, artifacts(spark), "sentiment"), "id")
+    assert S.search_bm25(index, table, artifacts(spark), "gaug moo").count() == 0
+    hits = S.search_bm25(index, table, artifacts(spark), "gaug moo", fall_back=corpus)
+    assert column(hits, "id")[0] == "sea/tides"
+    by_term = S.search_bm25(index, table, artifacts(spark), "moon", fall_back=corpus)
+    assert column(by_term, "id") == column(S.search_bm25(index, table, artifacts(spark), "moon"), "id")
 
 
 def test_bm25_page(spark, tmp_path):
     table = datasets(spark)
     S.store_term_index(S.build_term_index(search_corpus(table)), str(tmp_path / "index"))
     index = S.load_term_index(spark, str(tmp_path / "index"))
-    hits = S.search_bm25(index, table, artifacts(spark), "sentiment reviews", limit=5).collect()
-    assert [h.id for h in hits] == ["acme/reviews"] and hits[0].has_schema
+    hits = S.search_bm25(index, table, artifacts(spark), "moon gauges", limit=5).collect()
+    assert [h.id for h in hits] == ["sea/tides"] and hits[0].has_schema
 
 
 def test_batch_top_k_is_restricted(spark):
     table = datasets(spark)
-    asked = spark.createDataFrame([("q", "classification with")], "query_id string, query string")
+    asked = spark.createDataFrame([("q", "hourly over")], "query_id string, query string")
     got = S.search_tokens_batch(search_corpus(table), table, asked, 2, Filters(language="en"))
-    assert [(r.rank, r.dataset_id) for r in got.orderBy("rank").collect()] == [(1, "acme/reviews"), (2, "acme/captions")]
+    assert [(r.rank, r.dataset_id) for r in got.orderBy("rank").collect()] == [(1, "sea/tides"), (2, "sea/charts")]
     own = S.search_tokens_batch(search_corpus(table, with_filters=True), None, asked, 2, Filters(language="en"))
     assert sorted(map(tuple, own.collect())) == sorted(map(tuple, got.collect()))
     none = S.search_tokens_batch(search_corpus(table), table, asked.filter(F.lit(False)), 2)
