@@ -11,6 +11,7 @@ from shelfmark import views as V
 from shelfmark.functions import vectors as VF
 from shelfmark.operators import keyed as K
 from shelfmark.operators import rolled as R
+from shelfmark.operators.numbering import numbered
 from shelfmark.plans import dense as D
 from shelfmark.plans import evaluation as E
 from shelfmark.plans import ingest as I
@@ -173,11 +174,9 @@ def seed_queries_put(spark, folder):
 @query("eval_runs_listed", """SELECT event_type AS id, 'run ' || event_type AS label, epoch_us(min(ts)) AS created_at,
 CAST(row_number() OVER (ORDER BY min(ts) DESC, event_type) AS INTEGER) AS place FROM events GROUP BY event_type""")
 def eval_runs_listed(spark, folder):
-    """All runs, the latest first."""
-    listed = E.list_runs(runs(spark, folder)).collect()
-    rows = [(r["id"], r["label"], r["created_at"], place) for place, r in enumerate(listed, 1)]
-    shown = spark.createDataFrame(rows, "id string, label string, created_at timestamp, place int")
-    return shown.withColumn("created_at", F.unix_micros("created_at"))
+    """All runs, the latest first, with their places: numbers given in the order of the listing."""
+    listed = numbered(E.list_runs(runs(spark, folder)).select("id", "label", "created_at"), "place")
+    return listed.select("id", "label", F.unix_micros("created_at").alias("created_at"), (F.col("place") + 1).cast("int").alias("place"))
 
 
 @query("run_results_put", f"""WITH {_EVAL}

@@ -102,7 +102,10 @@ def test_run_judge_and_measure(spark, engine):
     assert E.query_metrics(results, none, queries, run).first().recall == 0.0
     judged = K.put_judgments(none, frame(spark, "eval_judgments", [
         {"query_id": "T1", "dataset_id": rows[0].dataset_id, "relevant": True}]))
-    row = E.query_metrics(results, judged, queries, run).first()
+    measured = E.query_metrics(results, judged, queries, run)
+    assert [r.query_id for r in E.run_detail(results, measured, "r1").collect()] == ["T1"]
+    assert E.run_detail(results, measured, "r2").collect() == []
+    row = measured.first()
     assert row.recall == 1.0 and row.mrr == 1.0 and row.ap > 0
     again = K.put_run_results(results, results.filter("result_rank = 1").withColumn("title", F.lit("other")))
     assert again.filter("title = 'other'").count() == 1 and again.count() == len(rows)

@@ -91,3 +91,8 @@ def test_numbers_are_dense_and_stay(spark, parts):
     assert "Exchange" not in plan.replace("BroadcastExchange", "")
     with pytest.raises(ValueError):
         numbered(rows, "no")
+
+
+def test_numbers_follow_a_sort(spark):
+    rows = spark.range(500).selectExpr("id", "id * 7919 % 500 as key").repartition(6).orderBy("key")
+    assert all(r.no == r.key for r in numbered(rows, "no").collect())
