@@ -7,6 +7,7 @@ id that is committed already changes nothing, so a batch can be run again after
 """
 
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -56,30 +57,75 @@ def revised(before: DataFrame, after: DataFrame) -> DataFrame:
     return deleted(before).unionByName(inserted(after))
 
 
-def _is_committed(spark: SparkSession, folder: str) -> bool:
-    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
-    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+def _folder(store: str, batch: str) -> str:
+    return f"{store}/batch={quote(batch, safe='')}"
+
+
+def _marked(spark: SparkSession, pattern: str) -> list[str]:
+    """The folders of a pattern whose writing has ended with a success mark."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{pattern}/_SUCCESS")
+    found = mark.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(mark)
+    return sorted(str(f.getPath().getParent().toString()) for f in found or ())
+
+
+def _compacted(spark: SparkSession, store: str) -> tuple[str | None, set[str]]:
+    """The latest compaction and the folder names of the batches in it: one short name per batch."""
+    last = max(_marked(spark, f"{store}/compacted-*"), default=None)
+    if last is None:
+        return None, set()
+    return last, {r[0] for r in spark.read.schema(_SUMS).parquet(last).filter("batch is not null").select("batch").collect()}
+
+
+def _new_folders(spark: SparkSession, store: str, known: set[str]) -> list[str]:
+    return [f for f in _marked(spark, f"{store}/batch=*") if f.rsplit("/", 1)[1] not in known]
 
 
 def commit(store: str, batch: str, signed: DataFrame) -> bool:
     """Sum the signed rows of a batch into the store; False if the batch was committed before.
 
-    A batch left half-written by a failure has no success mark and is written anew.
-    One writer per batch id is assumed.
+    A batch left half-written by a failure has no success mark, is in no total, and is written anew.
+    One writer per batch id is assumed. Ids may hold any characters.
     """
-    spark, folder = signed.sparkSession, f"{store}/batch={batch}"
-    if _is_committed(spark, folder):
+    spark, folder = signed.sparkSession, _folder(store, batch)
+    if _marked(spark, folder) or folder.rsplit("/", 1)[1] in _compacted(spark, store)[1]:
         return False
     summed = signed.groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
     summed.filter("docs <> 0 or tokens <> 0").write.mode("overwrite").parquet(folder)
     return True
 
 
+_SUMS = "source string, lang string, tokenizer_version string, docs bigint, tokens bigint, batch string"
+
+
+def _sums(spark: SparkSession, store: str) -> tuple[DataFrame, set[str]]:
+    """The rows of all committed batches, those of compacted ones as their sums, and the batches' folder names."""
+    last, known = _compacted(spark, store)
+    new = _new_folders(spark, store, known)
+    rows = spark.read.schema(_SUMS).parquet(*([last] if last else []), *new) if last or new else spark.createDataFrame([], _SUMS)
+    return rows, known | {f.rsplit("/", 1)[1] for f in new}
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.filter("docs is not null").groupBy(*KEY).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+
+
+def compact(spark: SparkSession, store: str) -> None:
+    """Write the sums of all batches committed so far, and which these are, in one commit.
+
+    Totals then read this and later batches. What was compacted may be deleted afterwards.
+    """
+    rows, names = _sums(spark, store)
+    number = len(_marked(spark, f"{store}/compacted-*"))
+    listed = spark.createDataFrame([(n,) for n in sorted(names)], "batch string")
+    both = _summed(rows).unionByName(listed, allowMissingColumns=True)
+    both.write.mode("overwrite").parquet(f"{store}/compacted-{number:09d}")
+
+
 def totals(spark: SparkSession, store: str) -> DataFrame:
-    """Source, lang, tokenizer_version, n_docs and n_tokens of keys that hold documents.
+    """Source, lang, tokenizer_version, n_docs and n_tokens of keys that hold documents or tokens.
 
-    Null is a source or language of its own.
+    Null is a source or language of its own. A key with tokens and no documents, or with less
+    than none, is shown: a delete took off what was not there.
     """
-    schema = "source string, lang string, tokenizer_version string, docs bigint, tokens bigint, batch string"
-    summed = spark.read.schema(schema).parquet(store).groupBy(*KEY).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
-    return summed.filter("n_docs <> 0")
+    summed = _summed(_sums(spark, store)[0])
+    return summed.select(*KEY, F.col("docs").alias("n_docs"), F.col("tokens").alias("n_tokens")).filter("n_docs <> 0 or n_tokens <> 0")

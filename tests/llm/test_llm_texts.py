@@ -118,10 +118,29 @@ def test_half_written_batch_is_written_anew(spark, tmp_path):
     rows = spark.createDataFrame([("a", "en", "v", 1, 5)], "source string, lang string, tokenizer_version string, docs long, tokens long")
     T.commit(store, "1", rows)
     (tmp_path / "store" / "batch=1" / "_SUCCESS").unlink()
+    assert T.totals(spark, store).collect() == []  # a batch that is being written is in no total
     assert T.commit(store, "1", rows)
     assert [tuple(r) for r in T.totals(spark, store).collect()] == [("a", "en", "v", 1, 5)]
 
 
+def test_compaction_and_odd_batch_ids(spark, tmp_path):
+    store = str(tmp_path / "store")
+    rows = lambda docs, tokens: spark.createDataFrame([("a", None, "v", docs, tokens)], "source string, lang string, tokenizer_version string, docs long, tokens long")
+    found = lambda: [tuple(r) for r in T.totals(spark, store).collect()]
+    odd = ["x/y", "a=b", "50% *", "ü?"]
+    assert found() == []
+    for n, batch in enumerate(odd):
+        assert T.commit(store, batch, rows(1, n)) and not T.commit(store, batch, rows(1, n))
+    assert found() == [("a", None, "v", 4, 6)]
+    for _ in range(2):
+        T.compact(spark, store)
+        assert found() == [("a", None, "v", 4, 6)] and not any(T.commit(store, batch, rows(1, 1)) for batch in odd)
+    assert T.commit(store, "later", rows(-4, -5))
+    assert found() == [("a", None, "v", 0, 1)]  # a wrong delete is seen
+    (tmp_path / "store" / "compacted-000000001" / "_SUCCESS").unlink()
+    assert found() == [("a", None, "v", 0, 1)]
+
+
 def test_mixing_equals_sql_and_covers_odd_rows(spark):
     rng = np.random.default_rng(5)
     rows = [(int(i), " ".join(["w"] * int(rng.integers(0, 50))), f"s{rng.integers(0, 7)}") for i in range(300)]
