@@ -1,9 +1,8 @@
 """Toxicity by a weighted finite-state grammar of clauses.
 
-Four lexical transducers turn the words of a clause into marks: insults (a prefix acceptor
-whose paths and weights are learned from labels), threats, targets, negation and reported
-speech (fixed word lists). Composed with them, the clause transducer walks the marks from left
-to right, with negation and report as its state, and emits one weighted reading per insult
+Insults are words that a prefix acceptor takes, whose paths and weights are learned from labels. The
+transducers of insults, threats, targets, negation and reported speech (``clause_grammar``) are
+composed; the words of a clause are its input, and its output one weighted reading per insult
 or threat. A text's readings are summed by kind, and the weight of each kind is learned, so
 that what softens or hardens an insult is what the labels say. Clauses without an insult or
 threat, nearly all, are passed over by a multi-pattern automaton and cost no walk.
@@ -20,14 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.llm import clause_grammar as G
 from shelfmark.llm.fitting import fit_logistic, labelled_sample, prior_shift, probability, remainder
 from shelfmark.llm.texts import pieces, text_array
 
 THRESHOLD = 0.3
-# An acceptor path needs this many and this share of the toxic texts, and this log odds, and may
-# be in one clean text for PURITY toxic ones. The lexicon has at most LEXICON paths.
+# An acceptor path needs this many toxic texts, and this log odds, may be in one clean text for
+# PURITY toxic ones, and must be more than chance: over all paths that are tried, fewer than
+# CHANCE are expected by luck. The lexicon has at most LEXICON paths.
 LEAST_TEXTS = 4
-LEAST_SHARE = 0.02
+CHANCE = 0.05
 LEAST_ODDS = 2.0
 PURITY = 20
 LEXICON = 2_000
@@ -35,27 +36,13 @@ LEXICON = 2_000
 FIT_TEXTS = 2_000
 FIT_CHARS = 8_000
 PREFIXES = (4, 5, 6, 7, 8)
-# A negation or a reporting verb reaches this many words ahead within its clause.
-NEGATION_REACH = 4
-REPORT_REACH = 12
-
-# Closed word lists of the grammar (en, de, fr, es) ------------------
-NEGATIONS = frozenset(
-    "not never no isn't aren't wasn't don't doesn't nicht kein keine keinen nie niemals pas jamais aucun aucune nunca jamás ningún".split()
-)
-REPORTS = frozenset(
-    "said says wrote claimed alleged quoted called sagte sagt schrieb behauptete zitierte dit écrit affirmé cité dijo dice escribió "
-    "afirmó citó".split()
-)
-TARGETS = frozenset("you your yourself they them he she du dich dir euch ihr sie tu toi vous te ils tú ti usted ustedes ellos".split())
-THREATS = frozenset(
-    "kill hurt murder destroy stab shoot burn töten umbringen ermorden zerstören tuer assassiner détruire matar asesinar destruir".split()
-)
-# ---------------------------------------------------------------------------------
-
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _CLAUSE = re.compile(r"[.,;:!?\n()\"“”«»]+")
-KINDS = ("plain", "aimed", "negated", "reported", "threat", "aimed threat")
+KINDS = (G.INSULT, G.AIMED_INSULT, G.NEGATED, G.REPORTED, G.THREAT, G.AIMED_THREAT)
+SOFTENED = (G.NEGATED, G.REPORTED)
+# The word of a threatening phrase by which clauses are found: its longest.
+CUES = sorted({*G.THREATS, *(max(phrase.split(), key=len) for phrase in G.THREAT_PHRASES)})
+GRAMMAR = G.build_grammar()
 N_FEATURES = len(KINDS) + 3
 
 
@@ -70,7 +57,7 @@ class Grammar:
         found = ahocorasick.Automaton()
         for path in self.paths:
             found.add_word(path.rstrip("$"), len(path.rstrip("$")))
-        for word in THREATS:
+        for word in CUES:
             found.add_word(word, len(word))
         found.make_automaton()
         return found
@@ -87,56 +74,42 @@ def insult(word: str, paths: dict[str, float]) -> float:
 
 
 def readings(clause: str, paths: dict[str, float]) -> list[tuple[str, float]]:
-    """The clause transducer: (kind, weight) per insult or threat, in the order of words."""
-    words = _WORD.findall(clause)
-    aimed = any(w in TARGETS for w in words)
-    negated = reported = 0
-    out = []
-    for word in words:
-        weight = insult(word, paths)
-        if word in NEGATIONS:
-            negated = NEGATION_REACH + 1
-        elif word in REPORTS:
-            reported = REPORT_REACH + 1
-        elif weight or word in THREATS:
-            if reported:
-                kind = "reported"
-            elif negated:
-                kind = "negated"
-            elif weight:
-                kind = "aimed" if aimed else "plain"
-            else:
-                kind = "aimed threat" if aimed else "threat"
-            out.append((kind, weight or 1.0))
-        negated, reported = max(0, negated - 1), max(0, reported - 1)
-    return out
+    """(kind, weight) per insult or threat of a clause, in the order of words."""
+    return GRAMMAR.readings([(word, insult(word, paths)) for word in _WORD.findall(clause)])
 
 
 def features(text: str, paths: dict[str, float], machine: ahocorasick.Automaton) -> list[float]:
     """Sums of reading weights by kind (damped), the heaviest reading, and their share of all words."""
     low = text.lower()
     sums = dict.fromkeys(KINDS, 0.0)
-    heaviest, count, done = 0.0, 0, -1
+    heaviest, count = 0.0, 0
+    cuts = _CLAUSE.finditer(low)
+    before, stop, then = 0, -1, 0  # the clause last looked at, and where the next one begins
     for end, length in machine.iter(low):
         start = end - length + 1
-        if start <= done or (start and low[start - 1].isalpha()):
+        if start < stop or (start and low[start - 1].isalpha()):
             continue  # inside a word, or in a clause that was read
-        before = 0
-        for cut in _CLAUSE.finditer(low, max(0, start - 2_000), start):
-            before = cut.end()
-        before = before or max(0, start - 2_000)
-        after = _CLAUSE.search(low, start)
-        stop = after.start() if after else len(low)
-        done = stop
+        while stop < start:
+            before, cut = then, next(cuts, None)
+            stop, then = (cut.start(), cut.end()) if cut else (len(low), len(low))
         for kind, weight in readings(low[before:stop], paths):
             sums[kind] += weight
             count += 1
-            if kind not in ("negated", "reported"):
+            if kind not in SOFTENED:
                 heaviest = max(heaviest, weight)
     words = max(1, low.count(" ") + low.count("\n") + 1)
     return [np.log1p(sums[k]) for k in KINDS] + [heaviest, np.log1p(count), np.log1p(1000.0 * count / words)]
 
 
+def beyond_chance(toxic: int, clean: int, share: float, tried: int) -> bool:
+    """Whether so many toxic among all texts of a path are more than luck gives any of the paths tried (Chernoff's bound)."""
+    part = toxic / (toxic + clean)
+    if part <= share:
+        return False
+    gain = part * np.log(part / share) + ((1 - part) * np.log((1 - part) / (1 - share)) if clean else 0.0)
+    return (toxic + clean) * gain >= np.log(max(1, tried) / CHANCE)
+
+
 def learn_paths(texts: list[str], label: np.ndarray) -> dict[str, float]:
     """Words and word beginnings that mark toxic texts, weighted by log odds (smoothed).
 
@@ -151,8 +124,7 @@ def learn_paths(texts: list[str], label: np.ndarray) -> dict[str, float]:
     for text, y in zip(texts, label):
         if y:
             toxic.update(paths(text))
-    least = max(LEAST_TEXTS, LEAST_SHARE * label.sum())
-    toxic = Counter({path: seen for path, seen in toxic.items() if seen >= least})
+    toxic = Counter({path: seen for path, seen in toxic.items() if seen >= LEAST_TEXTS})
     for text, y in zip(texts, label):
         if not y:
             clean.update(path for path in paths(text) if path in toxic)
@@ -160,7 +132,8 @@ def learn_paths(texts: list[str], label: np.ndarray) -> dict[str, float]:
     scored = []
     for path, seen in toxic.items():
         odds = float(np.log((seen + 0.5) / (n_toxic + 1)) - np.log((clean[path] + 0.5) / (n_clean + 1)))
-        if odds >= LEAST_ODDS and clean[path] * PURITY <= seen:
+        pure = odds >= LEAST_ODDS and clean[path] * PURITY <= seen
+        if pure and beyond_chance(seen, clean[path], n_toxic / (n_toxic + n_clean), len(toxic)):
             scored.append((odds, path))
     scored.sort(key=lambda s: (-s[0], s[1]))
     kept: dict[str, float] = {}
@@ -185,9 +158,9 @@ def fit(texts: list[str], label: np.ndarray, share: float) -> Grammar:
     rest = np.flatnonzero(~fold)
     x = np.array([features(texts[i], half.paths, machine) for i in rest]).reshape(len(rest), N_FEATURES)
     weights = fit_logistic(x, label[rest], ridge=1.0)
-    softened = [KINDS.index("negated"), KINDS.index("reported")]
+    softened = [KINDS.index(kind) for kind in SOFTENED]
     weights[: len(KINDS)] = np.maximum(weights[: len(KINDS)], 0.0)  # no reading speaks for a clean text
-    weights[softened] = np.minimum(weights[softened], weights[KINDS.index("plain")])
+    weights[softened] = np.minimum(weights[softened], weights[KINDS.index(G.INSULT)])
     weights[-1] += prior_shift(label[rest], share)
     return Grammar(learn_paths(texts, label), weights)
 

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
+from shelfmark.llm import clause_grammar as G
 from shelfmark.llm import quality as Q
 from shelfmark.llm import toxicity as X
 from shelfmark.llm.decontamination import Index, normalise
@@ -73,20 +74,82 @@ def test_logistic_fit_is_calibrated():
 
 def test_readings_of_clauses():
     paths = {"idio": 3.0, "scum$": 2.0}
-    assert X.readings("what an idiot", paths) == [("plain", 3.0)]
-    assert X.readings("you are idiotic scum", paths) == [("aimed", 3.0), ("aimed", 2.0)]
+    assert X.readings("what an idiot", paths) == [("insult", 3.0)]
+    assert X.readings("you are idiotic scum", paths) == [("aimed insult", 3.0), ("aimed insult", 2.0)]
     assert X.readings("he is not an idiot", paths) == [("negated", 3.0)]
-    assert X.readings("not in any of these long years an idiot", paths) == [("plain", 3.0)]
+    assert X.readings("not in any of these long years an idiot", paths) == [("insult", 3.0)]
     assert X.readings("she said he was scum", paths) == [("reported", 2.0)]
     assert X.readings("i will kill you", paths) == [("aimed threat", 1.0)]
     assert X.readings("scummy water", paths) == []
+    assert X.readings("i will end your life", paths) == [("aimed threat", 1.0)]
+    assert X.readings("ich bring dich um", paths) == [("aimed threat", 1.0)]
+    assert X.readings("end your day and romperte la cara", paths) == [("aimed threat", 1.0)]
+    assert X.readings("idiot bist du nicht", paths) == [("negated", 3.0)]
+    assert X.readings("idiot do not go there", paths) == [("insult", 3.0)]
+    assert X.readings("", paths) == X.readings("idle words", paths) == []
+
+
+def read_plainly(words, weights):
+    """The rules of the grammar, looked up word by word."""
+    phrases = [p.split() for p in G.THREAT_PHRASES]
+    threat = [w in G.THREATS or any(words[max(0, i + 1 - len(p)) : i + 1] == p for p in phrases) for i, w in enumerate(words)]
+    kind = ["insult" if x else "threat" if t else G.letter_of(w) for w, x, t in zip(words, weights, threat)]
+    # An insult breaks a phrase.
+    for i, w in enumerate(words):
+        if kind[i] == "threat" and w not in G.THREATS:
+            fits = [p for p in phrases if words[max(0, i + 1 - len(p)) : i + 1] == p and not any(weights[i + 1 - len(p) : i + 1])]
+            kind[i] = "threat" if fits else G.letter_of(w)
+    out = []
+    for i, k in enumerate(kind):
+        if k in ("insult", "threat"):
+            if "report" in kind[max(0, i - G.REPORT_REACH) : i]:
+                name = "reported"
+            elif "negation" in kind[max(0, i - G.NEGATION_REACH) : i] or (kind[-1] == "negation" and len(kind) - 1 - i <= G.NEGATION_REACH):
+                name = "negated"
+            else:
+                name = f"aimed {k}" if "target" in kind else k
+            out.append((name, weights[i] or 1.0))
+    return out
+
+
+def test_composed_grammar_equals_its_rules():
+    rng = np.random.default_rng(5)
+    some = sorted({w for p in G.THREAT_PHRASES for w in p.split()})
+    pool = ["idiot", "scum", "kill", "not", "nicht", "said", "you", *["word"] * 12]
+    for _ in range(4_000):
+        words = list(rng.choice(pool + list(rng.choice(some, 4)), rng.integers(0, 24)))
+        if rng.random() < 0.4:
+            at = rng.integers(0, len(words) + 1)
+            words[at:at] = G.THREAT_PHRASES[rng.integers(len(G.THREAT_PHRASES))].split()
+        weights = [{"idiot": 3.0, "scum": 2.0}.get(w, 0.0) for w in words]
+        assert X.GRAMMAR.readings(list(zip(words, weights))) == read_plainly([str(w) for w in words], weights), words
+
+
+def test_clauses_are_read_whole():
+    paths = {"idio": 3.0}
+    machine = X.Grammar(paths).machine()
+    aimed = X.KINDS.index("aimed insult")
+    long = "you " + "word " * 20_000 + "idiot " + "word " * 20_000
+    assert X.features(long, paths, machine)[aimed] > 0
+    assert X.features("You. " + long[4:], paths, machine)[aimed] == 0
+    assert X.features("Slit   your\tthroat! " + "fine. " * 10, paths, machine)[X.KINDS.index("aimed threat")] > 0
+
+
+def test_rare_insults_are_learned_if_they_are_no_chance():
+    clean = [f"plain words number{i} here" for i in range(400)]
+    toxic = ["the zorgon is here" if i < 12 else f"usual mudhead talk{i}" for i in range(1_200)]
+    label = np.array([0.0] * 400 + [1.0] * 1_200)
+    assert not any(p.startswith("zorg") for p in X.learn_paths(clean + toxic, label))  # 12 of 1,200 where 3 of 4 texts are toxic
+    label = np.array([0.0] * 2_000 + [1.0] * 1_200)
+    clean = [f"plain words number{i} here" for i in range(2_000)]
+    assert any(p.startswith("zorg") for p in X.learn_paths(clean + ["the zorgon is here" if i < 18 else t for i, t in enumerate(toxic)], label))
 
 
 def test_only_matched_clauses_count():
     paths = {"idio": 3.0}
     machine = X.Grammar(paths).machine()
     kinds = len(X.KINDS)
-    plain, negated = X.KINDS.index("plain"), X.KINDS.index("negated")
+    plain, negated = X.KINDS.index("insult"), X.KINDS.index("negated")
     got = X.features("Not now. An IDIOT; fine, no idiot here? videoidiot", paths, machine)
     assert got[plain] > 0 and got[negated] > 0 and got[kinds] == 3.0 and got[kinds + 1] == pytest.approx(np.log1p(2))
     assert X.features("", paths, machine) == [0.0] * X.N_FEATURES
