@@ -19,6 +19,7 @@ from shelfmark.session import shared_path
 from shelfmark.sources import buckets as B
 from shelfmark.sources import scans
 from shelfmark.sources import tables as S
+from shelfmark.streaming import requests as RQ
 from shelfmark.streaming import streams
 from shelfmark.workload import ingest as W
 from shelfmark.workload import dense as WD
@@ -282,3 +283,56 @@ def signal_scores_rolled(spark, folder):
     R.commit_changes(path, "on-time", signals.filter(~F.coalesce(late, F.lit(False))))
     R.commit_changes(path, "late", signals.filter(late))
     return R.rolled(R.read_changes(spark, path))
+
+
+_LEASE_HOURS, _ATTEMPTS = 12, 2
+_ACTIONS = {"view": RQ.REQUEST, "click": RQ.START, "signup": RQ.DONE, "error": RQ.FAILED, "purchase": RQ.STALE}
+_ACTION_SQL = " ".join(f"WHEN '{event}' THEN '{action}'" for event, action in _ACTIONS.items())
+
+
+@query(
+    "request_stream",
+    f"""WITH log AS (
+      SELECT CAST(user_id AS VARCHAR) AS dataset_id, CAST(event_id AS VARCHAR) AS id, epoch_us(ts) AS at_us,
+             CASE event_type {_ACTION_SQL} END AS action
+      FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+    known AS (
+      SELECT *, coalesce((last_value(CASE WHEN action IN ('done', 'stale') THEN action END IGNORE NULLS) OVER past) = 'done', false) AS fresh,
+             coalesce(count(*) FILTER (WHERE action IN ('done', 'failed')) OVER past, 0) AS closed
+      FROM log WHERE action IS NOT NULL
+      WINDOW past AS (PARTITION BY dataset_id ORDER BY at_us, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    jobs AS (
+      SELECT *, first_value(CASE WHEN action = 'request' AND NOT fresh THEN id END IGNORE NULLS) OVER opened AS job
+      FROM known WINDOW opened AS (PARTITION BY dataset_id, closed ORDER BY at_us, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    starts AS (
+      SELECT *, lead(at_us) OVER (PARTITION BY dataset_id ORDER BY at_us, id) AS then_at,
+             count(*) FILTER (WHERE action = 'start') OVER (PARTITION BY dataset_id, closed ORDER BY at_us, id) AS attempt
+      FROM jobs WHERE action IN ('done', 'failed') OR (action = 'start' AND job IS NOT NULL))
+    SELECT dataset_id, 'schema' AS kind, id, at_us,
+           CASE WHEN fresh THEN 'cached' WHEN job = id THEN 'queued' ELSE 'joined' END AS outcome,
+           CASE WHEN NOT fresh THEN job END AS job_id
+    FROM jobs WHERE action = 'request'
+    UNION ALL
+    SELECT dataset_id, 'schema', id, at_us + {_LEASE_HOURS} * 3600000000, CASE WHEN attempt < {_ATTEMPTS} THEN 'requeued' ELSE 'given up' END, job
+    FROM starts WHERE action = 'start' AND (then_at IS NULL OR then_at > at_us + {_LEASE_HOURS} * 3600000000)""",
+)
+def request_stream(spark, folder):
+    """Requests decided by a stream with state and leases, from a log that lands in two steps; a seventh of the first comes with the second."""
+    base = shared_path(spark, "requests")
+    action = F.create_map(*[F.lit(x) for pair in _ACTIONS.items() for x in pair])
+    events = V.table(spark, folder, "events").select(
+        F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("dataset_id"), F.lit("schema").alias("kind"),
+        F.element_at(action, F.col("event_type")).alias("action"), F.col("ts").cast("timestamp").alias("at"),
+    )
+    step = ((F.dayofmonth("at") > 15) | (F.pmod(F.xxhash64("id"), F.lit(7)) == 0)).cast("int")
+    # A last row moves the watermark past all others and their leases.
+    end = spark.sql("select 'end' as id, '' as dataset_id, 'schema' as kind, 'stale' as action, timestamp'2100-01-01' as at")
+    log = f"{base}/log"
+    schema = events.limit(0).schema
+    for number in range(3):
+        part = end if number == 2 else events.filter(F.coalesce(step, F.lit(0)) == number)
+        part.write.parquet(f"{log}/step={number}")
+        arrived = spark.readStream.schema(schema).parquet(f"{log}/*")
+        outcomes = RQ.decide_stream(arrived, "16 days", _LEASE_HOURS * 3600, _ATTEMPTS)
+        RQ.run_decisions(outcomes, f"{base}/outcomes", f"{base}/checkpoint")
+    return spark.read.schema(RQ.OUTCOMES).parquet(f"{base}/outcomes")
