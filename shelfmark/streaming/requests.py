@@ -119,14 +119,22 @@ def decide_stream(
     )
 
 
-def run_decisions(outcomes: DataFrame, path: str, checkpoint: str) -> None:
-    """Write the outcomes of all rows that have arrived since the last run; each outcome is written once."""
+def run_decisions(outcomes: DataFrame, path: str, checkpoint: str, partitions: int | None = None) -> None:
+    """Write the outcomes of all rows that have arrived since the last run; each outcome is written once.
+
+    State lies in ``partitions``, by default two per core, as many as the first run on a checkpoint had: each costs a
+    store and a worker in every batch, and they are not coalesced.
+    """
     spark = outcomes.sparkSession
-    before = spark.conf.get(STATE_STORE)
-    spark.conf.set(STATE_STORE, ROCKS_DB)  # a query keeps the settings it was started with
+    partitions = partitions or 2 * spark.sparkContext.defaultParallelism
+    settings = {STATE_STORE: ROCKS_DB, "spark.sql.shuffle.partitions": str(partitions)}
+    before = {name: spark.conf.get(name) for name in settings}
     try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)  # a query keeps the settings it was started with
         sink = outcomes.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append")
         query = sink.trigger(availableNow=True).start(path)
     finally:
-        spark.conf.set(STATE_STORE, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     query.awaitTermination()
