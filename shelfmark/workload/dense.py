@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from shelfmark import views as V
 from shelfmark.functions import vectors as VF
 from shelfmark.operators.catalog import Filters
+from shelfmark.plans import cells as PC
 from shelfmark.plans import dense as D
-from shelfmark.workload.registry import ARTIFACTS, AS_OF, DATASETS, NOT_SPACE, VECTORS, query
+from shelfmark.workload.registry import ARTIFACTS, AS_OF, DATASETS, NOT_SPACE, ORACLE, VECTORS, query
 
 DIMENSIONS = 64
 QUERY_VECTOR = [0.125] * DIMENSIONS
@@ -288,3 +289,24 @@ def vector_migration_check(spark, folder):
     legacy = _legacy(spark, folder)
     moved = D.migrate_vectors(legacy, V.vectors(spark, folder).filter(F.lit(False)))
     return D.migration_check(legacy, moved)
+
+
+@query("dense_cells_batch", ORACLE["dense_topk_batch"])
+def dense_cells_batch(spark, folder):
+    """The rows of dense_topk_batch by cells: only those that can hold one of the best are read."""
+    vectors, datasets, _ = _tables(spark, folder)
+    return _rounded(PC.search_cells(PC.build_cells(vectors), centres(spark, folder), 10, datasets))
+
+
+@query("dense_cells_filtered", ORACLE["dense_topk_batch_filtered"])
+def dense_cells_filtered(spark, folder):
+    vectors, datasets, _ = _tables(spark, folder)
+    return _rounded(PC.search_cells(PC.build_cells(vectors), centres(spark, folder), 10, datasets, FILTERS))
+
+
+@query("dense_cells_neighbours", _NEIGHBOURS)
+def dense_cells_neighbours(spark, folder):
+    """The five nearest vectors of every vector, by cells."""
+    vectors = V.vectors(spark, folder)
+    asked = vectors.select(F.col("dataset_id").alias("query_id"), "vector")
+    return _rounded(PC.search_cells(PC.build_cells(vectors), asked, 5))

@@ -9,6 +9,7 @@ from shelfmark.operators.keyed import lookup
 from shelfmark.operators.numbering import numbered
 from shelfmark.plans import postings as P
 from shelfmark.plans import search as S
+from shelfmark.plans import signatures as G
 from shelfmark.workload.registry import ARTIFACTS, DATASETS, SIGNALS, TERM, query
 
 QUERY = "the with the text"
@@ -257,3 +258,28 @@ def lookup_datasets(spark, folder):
     rows = metadata(lookup(V.datasets(spark, folder), used, ["id"]))
     lists = ["modalities", "languages", "tags"]
     return rows.select(*[c for c in rows.columns if c not in lists], *[X.json_text(c).alias(c) for c in lists])
+
+
+SIGNED_QUERY = "src1 ention-zz erwhhaes \u00e9t"
+_SIGNED_SCORE = " + ".join(f"CAST(contains(content, '{t}') AS INTEGER)" for t in SIGNED_QUERY.split())
+
+
+@query("search_signed", f"""WITH {DATASETS} SELECT * FROM (SELECT id AS dataset_id, {_SIGNED_SCORE} AS score FROM corpus) WHERE score > 0""")
+def search_signed(spark, folder):
+    """All texts that hold a token, from the blocks whose signature fits; one token is too short for a trigram."""
+    corpus, _, _ = _tables(spark, folder)
+    return G.signed_matches(G.build_signatures(corpus), SIGNED_QUERY)
+
+
+_RARE_SCORE = " + ".join(f"CAST(contains(content, '{t}') AS INTEGER)" for t in RARE_QUERY.split())
+
+
+@query("search_signed_rare", f"""WITH {DATASETS}, {ARTIFACTS}
+SELECT d.id, title, has_schema, CAST(score AS DOUBLE) AS score
+FROM (SELECT id, {_RARE_SCORE} AS score FROM corpus) JOIN datasets d USING (id)
+LEFT JOIN (SELECT dataset_id, true AS has_schema FROM fresh) f ON f.dataset_id = d.id
+WHERE score > 0 ORDER BY score DESC, d.id LIMIT 30""".replace("title, has_schema,", "title, coalesce(has_schema, false) AS has_schema,"))
+def search_signed_rare(spark, folder):
+    """A page of hits through the signatures."""
+    corpus, datasets, artifacts = _tables(spark, folder)
+    return G.search_signed(G.build_signatures(corpus), datasets, artifacts, RARE_QUERY).select("id", "title", "has_schema", "score")
