@@ -10,6 +10,7 @@ bound reaches the k-th score. The k best are exact for vectors of any length.
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,7 @@ from shelfmark.plans import dense as D
 from shelfmark.plans.search import best_first, restrict
 from shelfmark.session import materialised, shared_path
 
-# Pivots: so many rows, each a vector, are held by the driver and every task.
-CELLS = 256
+# Pivots are vectors that the driver and every task hold: the root of the number of vectors, and at most so many.
 MOST_CELLS = 1024
 # Cells per query that are scored before others are given up.
 FIRST_CELLS = 2
@@ -54,12 +54,14 @@ def pivots(vectors: DataFrame, cells: int) -> np.ndarray:
     return np.unique(rows, axis=0) if len(rows) else rows
 
 
-def build_cells(vectors: DataFrame, cells: int = CELLS, folder: str | None = None) -> Cells:
+def build_cells(vectors: DataFrame, cells: int | None = None, folder: str | None = None) -> Cells:
     """The vectors (dataset_id, vector) by cell, kept in ``folder`` or a new one in the shared folder.
 
     Rows without a vector have no score and are left out. A cell may hold any share of the vectors:
     its files are cut by size, so no task holds a cell.
     """
+    if cells is None:
+        cells = min(max(isqrt(vectors.count()), 1), MOST_CELLS)
     if not 1 <= cells <= MOST_CELLS:
         raise ValueError(f"cells must be from 1 to {MOST_CELLS}")
     spark = vectors.sparkSession

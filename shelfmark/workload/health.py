@@ -4,10 +4,13 @@ from pyspark.sql import functions as F
 
 from shelfmark import constants as C
 from shelfmark import views as V
+from shelfmark.functions.times import micros_between
 from shelfmark.operators import metrics as M
 from shelfmark.operators import policy as P
+from shelfmark.operators import quantiles as Q
 from shelfmark.plans import health as H
-from shelfmark.workload.registry import ARTIFACTS, AS_OF, DATASETS, JOBS, JOBS_AS_OF, SIGNALS, query
+from shelfmark.session import materialised
+from shelfmark.workload.registry import ARTIFACTS, AS_OF, DATASETS, JOBS, JOBS_AS_OF, ORACLE, SIGNALS, query
 
 _P95 = """
 durations AS (
@@ -246,3 +249,33 @@ def requeue_stale(spark, folder):
 ORDER BY enqueued_at NULLS LAST, id LIMIT 50""")
 def backlog_head(spark, folder):
     return _job_columns(H.backlog_head(V.jobs(spark, folder), 50))
+
+
+@query("resolve_p95_merged", ORACLE["resolve_p95"])
+def resolve_p95_merged(spark, folder):
+    """The p95 of the whole job log out of the sketches of two batches."""
+    done = V.jobs(spark, folder).filter("state = 'done'")
+    values = done.select("id", micros_between("started_at", "finished_at").alias("us"))
+    batch = F.pmod(F.xxhash64("id"), F.lit(2))
+    earlier, later = (Q.batch_sketches(values.filter(batch == b), [], "us") for b in range(2))
+    sketches = materialised(earlier.unionByName(later), "sketches")
+    picked = Q.exact_quantiles(values, sketches, [], "us", "greatest(floor(n * 0.95D), 1)")
+    found = picked.agg(F.max("us").alias("us"))
+    return found.select(F.coalesce(F.col("us") / 1000, F.lit(0.0)).alias("resolve_p95_ms"))
+
+
+@query(
+    "item_price_medians",
+    """SELECT l_suppkey AS supplier, n, cents FROM (
+      SELECT l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, count(*) OVER (PARTITION BY l_suppkey) AS n,
+             row_number() OVER (PARTITION BY l_suppkey ORDER BY CAST(round(l_extendedprice * 100) AS BIGINT)) AS place FROM lineitem)
+    WHERE place = greatest(CAST(floor(n * 0.5) AS BIGINT), 1)""",
+)
+def item_price_medians(spark, folder):
+    """The median price of the items of each supplier, from sketches of the items of each return flag."""
+    items = V.table(spark, folder, "lineitem")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents")
+    values = items.select(F.col("l_suppkey").alias("supplier"), "l_returnflag", cents)
+    batches = [Q.batch_sketches(values.filter(c), ["supplier"], "cents") for c in ("l_returnflag = 'N'", "l_returnflag is distinct from 'N'")]
+    sketches = materialised(batches[0].unionByName(batches[1]), "sketches")
+    return Q.exact_quantiles(values, sketches, ["supplier"], "cents", "greatest(floor(n * 0.5D), 1)")
