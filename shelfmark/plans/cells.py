@@ -14,6 +14,7 @@ from math import isqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,7 +107,11 @@ def load_cells(spark: SparkSession, folder: str) -> Cells:
 
 
 def cell_bounds(index: Cells, queries: DataFrame) -> DataFrame:
-    """(query_id, vector, reach array<struct<cell, bound>>): what a query can score in each cell, best first."""
+    """(query_id, vector, reach array<struct<cell, bound>>): what a query can score in each cell, best first.
+
+    A column ``least`` of the queries is passed on.
+    """
+    more = [c for c in ("least",) if c in queries.columns]
     heads = index.cells.orderBy("cell").toArrow()
     numbers, nearest, radius, length = (np.asarray(heads.column(c)) for c in ("cell", "nearest", "radius", "length"))
     centres = V.block(heads.column("centre"))
@@ -132,58 +137,108 @@ def cell_bounds(index: Cells, queries: DataFrame) -> DataFrame:
                 values = np.take_along_axis(best, order, axis=1).ravel()
                 pairs = pa.StructArray.from_arrays([pa.array(numbers[order].ravel(), pa.int32()), pa.array(values)], ["cell", "bound"])
                 offsets = pa.array(np.arange(len(rows) + 1) * len(numbers), pa.int32())
-                columns = [part.column("query_id"), part.column("vector"), pa.ListArray.from_arrays(offsets, pairs).cast(reach_type)]
-                yield pa.RecordBatch.from_arrays(columns, ["query_id", "vector", "reach"])
+                columns = [part.column("query_id"), part.column("vector"), pa.ListArray.from_arrays(offsets, pairs).cast(reach_type), *[part.column(c) for c in more]]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "vector", "reach", *more])
 
-    asked = queries.filter("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    asked = queries.filter("vector is not null").select("query_id", F.col("vector").cast("array<double>").alias("vector"), *more)
     schema = "query_id string, vector array<double>, reach array<struct<cell:int,bound:double>>"
-    return asked.mapInArrow(bound, schema)
+    return asked.mapInArrow(bound, schema + "".join(f", {c} double" for c in more))
+
+
+def _best_of_cells(matrix: np.ndarray, askers: dict[int, np.ndarray], batch: pa.RecordBatch, k: int, carried: V.Best | None) -> V.Best | None:
+    """The k best of the rows so far for every query; the rows of a cell are scored for those that want it only."""
+    cells = np.asarray(batch.column("cell"))
+    order = np.argsort(cells, kind="stable")
+    batch, cells = batch.take(pa.array(order)), cells[order]
+    for cell in np.unique(cells).tolist():
+        rows = askers.get(cell)
+        if rows is None:
+            continue
+        begin, end = np.searchsorted(cells, [cell, cell + 1])
+        found = D._best_of_batch(matrix[rows], batch.slice(begin, end - begin), k, None)
+        best = rows[found[0]], found[1], found[2]
+        if carried is not None:
+            best = tuple(np.concatenate(pair) for pair in zip(carried, best))
+        place = np.lexsort((best[2], -best[1], best[0]))
+        queries, values, names = (part[place] for part in best)
+        kept = np.arange(queries.size) - np.searchsorted(queries, queries, side="left") < k
+        carried = queries[kept], values[kept], names[kept]
+    return carried
+
+
+def _askers(wanted: pa.Table) -> dict[int, np.ndarray]:
+    """Which rows of a table of queries want a cell."""
+    lists = wanted.column("cells").combine_chunks()
+    rows, cells = np.asarray(pc.list_parent_indices(lists)), np.asarray(lists.flatten())
+    order = np.argsort(cells, kind="stable")
+    rows, cells = rows[order], cells[order]
+    numbers, begins = np.unique(cells, return_index=True)
+    return dict(zip(numbers.tolist(), np.split(rows, begins[1:]))) if len(numbers) else {}
 
 
 def _scan_cells(stored: DataFrame, wanted: pa.Table, k: int) -> DataFrame:
-    """The k best per query and cell, where the vectors lie; only folders of wanted cells are read."""
-    names, matrix = np.asarray(wanted.column("query_id").to_pylist(), dtype=str), V.block(wanted.column("vector"))
-    askers: dict[int, list[int]] = {}
-    for row, cells in enumerate(wanted.column("cells").to_pylist()):
-        for cell in cells:
-            askers.setdefault(cell, []).append(row)
+    """The k best per query and task, where the vectors lie; only folders of wanted cells are read."""
+    names, matrix, askers = np.asarray(wanted.column("query_id").to_pylist(), dtype=str), V.block(wanted.column("vector")), _askers(wanted)
     shared = stored.sparkSession.sparkContext.broadcast((names, matrix, askers))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix, askers = shared.value
-        held, best = None, None
+        best = None
         for batch in batches:
-            cells = np.asarray(batch.column("cell"))
-            edges = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), len(cells)] if len(cells) else [0]
-            for begin, end in zip(edges, edges[1:]):
-                cell = int(cells[begin])
-                if cell != held:
-                    if best is not None:
-                        yield V.hits_of(names[askers[held]], best)
-                    held, best = cell, None
-                best = D._best_of_batch(matrix[askers[cell]], batch.slice(begin, end - begin), k, best)
+            best = _best_of_cells(matrix, askers, batch, k, best)
         if best is not None:
-            yield V.hits_of(names[askers[held]], best)
+            yield V.hits_of(names, best)
 
-    used = sorted(askers)
-    return stored.filter(F.col("cell").isin(used)).select("dataset_id", "vector", "cell").mapInArrow(scan, V.HITS)
+    return stored.filter(F.col("cell").isin(sorted(askers))).select("dataset_id", "vector", "cell").mapInArrow(scan, V.HITS)
 
 
-def _grid_cells(index: Cells, stored: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """Cells and the queries that want them, cut into bounded parts; one task scores one part against one other."""
-    each = wanted.select("query_id", "vector", F.explode("cells").alias("cell"))
-    counts = index.cells.select("cell", "n").join(each.groupBy("cell").agg(F.count("*").alias("asked")), "cell")
-    cuts = F.ceil(F.col("n") / D.GRID_VECTORS).cast("int").alias("parts"), F.ceil(F.col("asked") / D.GRID_QUERIES).cast("int").alias("blocks")
+def _bins(index: Cells) -> tuple[list[int | None], list[int]]:
+    """Neighbouring cells packed to bins of GRID_VECTORS: the bin of each cell number, and into how many parts a bin is cut."""
+    sizes: list[int] = []
+    of_cell: list[int | None] = []
     # One row per cell: at most MOST_CELLS.
-    grid = materialised(counts.select("cell", *cuts), "cell-grid")
-    used = [row["cell"] for row in grid.select("cell").collect()]
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = stored.filter(F.col("cell").isin(used)).join(F.broadcast(grid), "cell")
-    left = left.select("dataset_id", "vector", "cell", F.pmod(F.xxhash64("dataset_id"), F.col("parts")).cast("int").alias("part"), upto("blocks").alias("block"))
-    right = each.join(F.broadcast(grid), "cell")
-    right = right.select("query_id", "vector", "cell", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int").alias("block"), upto("parts").alias("part"))
-    key = ("cell", "part", "block")
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(D.best_of_cell(k), V.HITS)
+    for cell, n in sorted(map(tuple, index.cells.select("cell", "n").collect())):
+        of_cell += [None] * (cell - len(of_cell))
+        if sizes and sizes[-1] + n <= D.GRID_VECTORS:
+            sizes[-1] += n
+        else:
+            sizes.append(n)
+        of_cell.append(len(sizes) - 1)
+    return of_cell, [-(-n // D.GRID_VECTORS) for n in sizes]
+
+
+def _grid_cells(index: Cells, stored: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """Bins of cells and the queries that want some of them, cut into bounded parts; one task scores one part against one other.
+
+    A query is copied to each part of a bin, not to each cell.
+    """
+    of_cell, cuts = _bins(index)
+    lookup, parts = (F.array(*[F.lit(n).cast("int") for n in numbers]) for numbers in (of_cell, cuts))
+    bin_of = lambda cell: F.get(lookup, cell)
+    each = wanted.withColumn("bin", F.explode(F.array_distinct(F.transform("cells", bin_of))))
+    each = each.withColumn("cells", F.filter("cells", lambda c: bin_of(c) == F.col("bin")))
+    asked = each.groupBy("bin").agg(F.ceil(F.count("*") / D.GRID_QUERIES).cast("int").alias("blocks"))
+    # One row per bin: at most MOST_CELLS.
+    grid = F.broadcast(materialised(asked, "cell-grid"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left = stored.withColumn("bin", bin_of(F.col("cell"))).join(grid, "bin")
+    part = F.pmod(F.xxhash64("dataset_id"), F.get(parts, F.col("bin"))).cast("int").alias("part")
+    left = left.select("dataset_id", "vector", "cell", "bin", part, upto(F.col("blocks")).alias("block"))
+    block = F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int").alias("block")
+    right = each.join(grid, "bin").select("query_id", "vector", "cells", "bin", block, upto(F.get(parts, F.col("bin"))).alias("part"))
+
+    def best(held: pa.Table, asked: pa.Table) -> pa.Table:
+        found = None
+        if held.num_rows and asked.num_rows:
+            matrix, askers = V.block(asked.column("vector")), _askers(asked)
+            for batch in held.combine_chunks().to_batches():
+                found = _best_of_cells(matrix, askers, batch, k, found)
+        if found is None:
+            return pa.table({"query_id": pa.array([], pa.string()), "dataset_id": pa.array([], pa.string()), "score": pa.array([], pa.float64())})
+        return pa.Table.from_batches([V.hits_of(np.asarray(asked.column("query_id").to_pylist(), dtype=str), found)])
+
+    key = ("bin", "part", "block")
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(best, V.HITS)
 
 
 def _scores(index: Cells, stored: DataFrame, wanted: DataFrame, k: int, broadcast_queries: int) -> DataFrame:
@@ -217,11 +272,13 @@ def choose_cells(
     index: Cells, stored: DataFrame, queries: DataFrame, k: int, first_cells: int = FIRST_CELLS, broadcast_queries: int = D.BROADCAST_QUERIES
 ) -> tuple[DataFrame, DataFrame]:
     """(hits of the first cells, (query_id, vector, cells) of cells that can still hold one of the k best)."""
-    reach = materialised(cell_bounds(index, queries), "cell-bounds")
-    first = reach.select("query_id", "vector", F.slice("reach.cell", 1, first_cells).alias("cells"))
+    # Bounds are worked out twice, as keeping all of them would take more room than the queries.
+    reach = cell_bounds(index, queries)
+    first = materialised(reach.select("query_id", "vector", F.slice("reach.cell", 1, first_cells).alias("cells")), "first-cells")
     scored = materialised(_scores(index, stored, first, k, broadcast_queries), "first-hits")
     kth = top_k(scored, ["query_id"], best_first(), k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
     rest = F.slice("reach", first_cells + 1, MOST_CELLS)
     kept = F.filter(rest, lambda c: F.col("least").isNull() | (c.bound >= F.col("least")))
-    further = reach.join(kth, "query_id", "left").select("query_id", "vector", kept.cell.alias("cells"))
+    further = cell_bounds(index, queries.select("query_id", "vector").join(kth, "query_id", "left"))
+    further = further.select("query_id", "vector", F.array_sort(kept.cell).alias("cells")).filter(F.size("cells") > 0)
     return scored, materialised(further, "further-cells")

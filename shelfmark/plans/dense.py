@@ -91,26 +91,6 @@ def _scan_best(vectors: DataFrame, query_ids: list[str], matrix: np.ndarray, k:
     return vectors.mapInArrow(best_of_partition, V.HITS)
 
 
-def best_of_cell(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """For cogroups of stored vectors and queries: the k best of the part for every query."""
-
-    def best(stored: pa.Table, asked: pa.Table) -> pa.Table:
-        empty = pa.table(
-            {"query_id": pa.array([], pa.string()), "dataset_id": pa.array([], pa.string()),
-             "score": pa.array([], pa.float64())}
-        )
-        if not stored.num_rows or not asked.num_rows:
-            return empty
-        names = np.asarray(asked.column("query_id").to_pylist(), dtype=str)
-        matrix = V.block(asked.column("vector"))
-        found = None
-        for batch in stored.combine_chunks().to_batches():
-            found = _best_of_batch(matrix, batch, k, found)
-        return pa.Table.from_batches([V.hits_of(names, found)])
-
-    return best
-
-
 def _grid_best(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Cut vectors and queries into bounded parts; one task scores one part against one other."""
     cuts = max(1, -(-vectors.count() // GRID_VECTORS))
@@ -122,10 +102,24 @@ def _grid_best(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         "cut", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(cuts - 1).cast("bigint")))
     )
 
+    def best_of_cell(stored: pa.Table, asked: pa.Table) -> pa.Table:
+        empty = pa.table(
+            {"query_id": pa.array([], pa.string()), "dataset_id": pa.array([], pa.string()),
+             "score": pa.array([], pa.float64())}
+        )
+        if not stored.num_rows or not asked.num_rows:
+            return empty
+        names = np.asarray(asked.column("query_id").to_pylist(), dtype=str)
+        matrix = V.block(asked.column("vector"))
+        best = None
+        for batch in stored.combine_chunks().to_batches():
+            best = _best_of_batch(matrix, batch, k, best)
+        return pa.Table.from_batches([V.hits_of(names, best)])
+
     return (
         left.groupBy("cut", "block")
         .cogroup(right.groupBy("cut", "block"))
-        .applyInArrow(best_of_cell(k), V.HITS)
+        .applyInArrow(best_of_cell, V.HITS)
     )
 
 
