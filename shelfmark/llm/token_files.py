@@ -10,7 +10,7 @@ its block. A block closes at ``block_ids`` ids, so a longer document is a block
 import itertools
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,8 @@ from shelfmark.llm.texts import pieces, shared_path, split_words, text_array
 BLOCK_IDS = 1 << 18
 # Words kept by one worker; beyond that its memory of words is emptied.
 CACHED_WORDS = 500_000
+# Texts are encoded in pieces of about so many bytes: the arrays made of a piece take some 30 times as much.
+ENCODE_BYTES = 1 << 20
 NULL_ID = -(1 << 63)
 BLOCK_SCHEMA = (
     "shard int, block int, first_doc bigint, last_doc bigint, n_docs int, n_ids bigint, bits int, "
@@ -139,11 +141,11 @@ class WordEncoder:
         if not len(codes):
             return counts, np.empty(0, np.uint32)
         places = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))[codes]
-        starts, ends = self.ends[places], self.ends[places + 1]
-        lengths = ends - starts
+        starts, lengths = self.ends[places], self.ends[places + 1] - self.ends[places]
         upto = np.cumsum(lengths)
-        ids = self.pool[np.arange(int(upto[-1])) + np.repeat(starts - (upto - lengths), lengths)]
-        return np.diff(np.concatenate(([0], upto))[np.concatenate(([0], np.cumsum(counts)))]), ids
+        at = np.repeat(starts - (upto - lengths), lengths)
+        at += np.arange(len(at))
+        return np.diff(np.concatenate(([0], upto))[np.concatenate(([0], np.cumsum(counts)))]), self.pool[at]
 
     def _encode_some_whole(self, texts: pa.Array, special: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         counts, parts = [], []
@@ -179,6 +181,29 @@ def _block(shard: int, number: int, doc_ids: list, lengths: list, ids: list, bit
     }
 
 
+def encoded_blocks(
+    batches: Iterable[pa.RecordBatch], words: WordEncoder, shard: int, bits: int, end_id: int, block_ids: int = BLOCK_IDS
+) -> Iterator[pa.RecordBatch]:
+    """The blocks of one shard from its rows (doc_id, text), in their order."""
+    number, doc_ids, lengths, ids, held = 0, [], [], [], 0
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()),
+                        ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("bits", pa.int32()), ("doc_ids", pa.binary()),
+                        ("doc_lengths", pa.binary()), ("payload", pa.binary())])
+    for piece in pieces(batches, "text", ENCODE_BYTES):
+        counts, flat = words.encode(text_array(piece.column("text")))
+        ends = np.cumsum(counts)
+        for doc, stop, count in zip(piece.column("doc_id").to_pylist(), ends.tolist(), counts.tolist()):
+            if doc_ids and held + count + 1 > block_ids:
+                yield pa.RecordBatch.from_pylist([_block(shard, number, doc_ids, lengths, ids, bits)], schema)
+                doc_ids, lengths, ids, held, number = [], [], [], 0, number + 1
+            doc_ids.append(doc)
+            lengths.append(count + 1)
+            ids += [flat[stop - count : stop], np.array([end_id], np.uint32)]
+            held += count + 1
+    if doc_ids:
+        yield pa.RecordBatch.from_pylist([_block(shard, number, doc_ids, lengths, ids, bits)], schema)
+
+
 def write_token_files(
     docs: DataFrame, path: str, tokenizer: str, vocabulary: int = 49_408, end_id: int = 2, block_ids: int = BLOCK_IDS,
     partitions: int | None = None,
@@ -199,24 +224,7 @@ def write_token_files(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, shard, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        doc_ids, lengths, ids, held = [], [], [], 0
-        schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()),
-                            ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("bits", pa.int32()), ("doc_ids", pa.binary()),
-                            ("doc_lengths", pa.binary()), ("payload", pa.binary())])
-        for piece in pieces(batches, "text"):
-            counts, flat = words.encode(text_array(piece.column("text")))
-            ends = np.cumsum(counts)
-            for doc, stop, count in zip(piece.column("doc_id").to_pylist(), ends.tolist(), counts.tolist()):
-                if doc_ids and held + count + 1 > block_ids:
-                    yield pa.RecordBatch.from_pylist([_block(shard, number, doc_ids, lengths, ids, bits)], schema)
-                    doc_ids, lengths, ids, held, number = [], [], [], 0, number + 1
-                doc_ids.append(doc)
-                lengths.append(count + 1)
-                ids += [flat[stop - count : stop], np.array([end_id], np.uint32)]
-                held += count + 1
-        if doc_ids:
-            yield pa.RecordBatch.from_pylist([_block(shard, number, doc_ids, lengths, ids, bits)], schema)
+        return encoded_blocks(batches, encoder(tokenizer), TaskContext.get().partitionId(), bits, end_id, block_ids)
 
     ordered.mapInArrow(encode, BLOCK_SCHEMA).write.parquet(path)
     return read_blocks(spark, path)

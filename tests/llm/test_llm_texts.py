@@ -1,5 +1,8 @@
 """Token files, counts, mixing, extraction and scans against brute force and round trips."""
 
+import os
+import subprocess
+import sys
 import textwrap
 import unicodedata
 import zlib
@@ -84,6 +87,33 @@ def test_token_files(spark, encode, tmp_path, block_ids):
     assert some == {d: ids[d, t].tolist() for d, t, _, _ in rows if d in (-5, 1, 7)}
 
 
+def test_memory_of_encoding_is_bounded():
+    """A worker takes its batch of 8 MB, the words it keeps, and little for the piece it encodes."""
+    code = f"""if True:
+        import re, random
+        import pyarrow as pa
+        from shelfmark.llm import token_files as K
+
+        def peak():
+            return int(re.search(r"VmHWM:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+
+        rng, words = random.Random(1), K.WordEncoder({TOKENIZER!r})
+        vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(50_000)]
+        words.learn(sorted(set(vocabulary)))
+        texts = [" ".join(rng.choices(vocabulary, k=1000)) + "." for _ in range(1300)]
+        batch = pa.RecordBatch.from_arrays([pa.array(range(1300), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+        open("/proc/self/clear_refs", "w").write("5")
+        before = peak()
+        blocks = [b.column("n_ids")[0].as_py() for b in K.encoded_blocks([batch], words, 0, 16, 2)]
+        print(batch.nbytes, sum(blocks), peak() - before)
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": root})
+    size, ids, took = done.stdout.split()
+    assert int(size) > 8_000_000 and int(ids) > 2_000_000
+    assert float(took) < 60
+
+
 def test_token_files_of_an_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert K.token_output(docs, TOKENIZER, str(tmp_path / "files")).count() == 0
