@@ -7,9 +7,9 @@ Texts whose word-shingle sets reach a Jaccard similarity are linked; linked text
    sets that reach the threshold t share one of the first ``n - ceil(t * n) + 1``. The
    order is by hash, with shingles that many texts share put last.
 2. Texts with equal sets are one text from here on.
-3. Texts sharing a prefix shingle form a tile. Each text is first compared with one
-   pivot of each of its tiles, and in large tiles with the text whose sketch is nearest;
-   links found are joined to components.
+3. Texts sharing a prefix shingle form a tile; of tiles that hold the same texts one stays.
+   Each text is first compared with one or two pivots of each of its tiles, and in large
+   tiles with the text whose sketch is nearest; links found are joined to components.
 4. Tiles that still hold texts of several components are cut into bounded cells, and all
    pairs of different components and fitting sizes (the size bands) are bounded from above
    by the bits in which their sketches differ: that many shingles differ at least.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.components import components
-from shelfmark.llm.id_filter import may_be_in
+from shelfmark.llm.id_filter import may_be_in, without
 from shelfmark.llm.texts import give_back_memory, pieces, shingle_sets, text_array, written
 
 # A shingle seen this often among prefixes goes to the end of the order. At most HOT_SHINGLES
@@ -48,7 +48,7 @@ LINK_COLUMNS = 4096
 SKETCH_SPREAD = 2
 SKETCH_BITS = (64, 16_384)
 
-_SET = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, sketch binary, prefix array<bigint>"
+_SET = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, sketch binary, short binary, prefix array<bigint>"
 
 
 def prefix_length(n: int, threshold: tuple[int, int]) -> int:
@@ -66,6 +66,13 @@ def odd_sketch(hashes: np.ndarray) -> bytes:
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
 
 
+def halved(sketch: bytes) -> bytes:
+    """The sketch of the same set with half as many bits; the shortest stays."""
+    if 8 * len(sketch) <= SKETCH_BITS[0]:
+        return sketch
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(2, -1), axis=0).tobytes()
+
+
 def differing(a: bytes, b: bytes) -> int:
     """A lower bound of the number of shingles in one of two sets only."""
     if len(a) < len(b):
@@ -122,15 +129,17 @@ def _sets(docs: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
         for piece in pieces(batches, "text"):
             offsets, hashes = shingle_sets(text_array(piece.column("text")), width)
             sets = [hashes[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            sketches = [odd_sketch(s) for s in sets]
             columns = [
                 piece.column("doc_id").cast(pa.int64()),
                 pa.array(np.diff(offsets)),
                 pa.array([int(np.add.reduce(s).view(np.int64)) if len(s) else 0 for s in sets], pa.int64()),
                 pa.array([int(np.bitwise_xor.reduce(s * seed).view(np.int64)) if len(s) else 0 for s in sets], pa.int64()),
-                pa.array([odd_sketch(s) for s in sets], pa.binary()),
+                pa.array(sketches, pa.binary()),
+                pa.array([halved(s) for s in sketches], pa.binary()),
                 pa.array([_prefix(s, *hot.value, threshold).view(np.int64) for s in sets], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", "sketch", "short", "prefix"])
 
     return written(docs.mapInArrow(build, _SET), "sets")
 
@@ -157,9 +166,11 @@ def _bounded(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> D
 
     above, below = threshold
     side = sets.select("doc_id", "n_shingles", "sketch")
-    with_a = pairs.join(side.toDF("a", "n_a", "sketch_a"), "a")
-    both = with_a.join(side.toDF("b", "n_b", "sketch_b"), "b")
-    both = both.filter(below * F.least("n_a", "n_b") >= above * F.greatest("n_a", "n_b"))
+    # Sizes come first: only pairs that they let pass carry a sketch through a shuffle.
+    sized = pairs.join(sets.select("doc_id", "n_shingles").toDF("a", "_size"), "a")
+    with_b = sized.join(side.toDF("b", "n_b", "sketch_b"), "b")
+    with_b = with_b.filter(below * F.least("_size", "n_b") >= above * F.greatest("_size", "n_b")).drop("_size")
+    both = with_b.join(side.toDF("a", "n_a", "sketch_a"), "a")
     return both.mapInArrow(keep, "a bigint, b bigint")
 
 
@@ -188,6 +199,26 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, threshold: tuple[in
     return written(joined.mapInArrow(compare, "a bigint, b bigint, shared bigint"), "verified")
 
 
+def _tiles(members: DataFrame) -> DataFrame:
+    """(shingle, doc_id, texts, pivots): tiles of at least two texts, from (doc_id, shingle).
+
+    Tiles of the same texts give the same pairs, so only the one with the smallest shingle stays; that
+    texts are the same is told by 128 bits. It keeps the smallest and the largest pivot of them all.
+    """
+    # The counts and the join read the same shuffle, as most shingles are those of one text and would not shrink before it.
+    spread = members.filter("doc_id is not null and shingle is not null").repartition("shingle")
+    # doc_id xor shingle orders the texts of each tile in another way, so pivots differ.
+    found = spread.groupBy("shingle").agg(
+        F.count("*").alias("texts"), F.bit_xor(F.xxhash64(F.lit(0), "doc_id")).alias("_x"),
+        F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("_y"), F.min(F.expr("doc_id ^ shingle")).alias("_pivot"),
+    )
+    found = found.filter("texts > 1").withColumn("_pivot", F.expr("_pivot ^ shingle"))
+    kept = found.groupBy("texts", "_x", "_y").agg(
+        F.min("shingle").alias("shingle"), F.array_distinct(F.array(F.min("_pivot"), F.max("_pivot"))).alias("pivots")
+    )
+    return spread.join(kept.select("shingle", "texts", "pivots"), "shingle")
+
+
 def _cells(
     tiles: DataFrame, sets: DataFrame, threshold: tuple[int, int], cell: int = CELL_TEXTS, nearest: bool = False
 ) -> DataFrame:
@@ -393,26 +424,29 @@ def ngram_groups(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (
     # n_shingles in the key keeps texts without shingles apart from all others.
     classes = sets.filter("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("class_id"), F.count("doc_id").alias("copies"))
     classes = written(classes, "classes")
-    kept = sets.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
-    members = kept.select("doc_id", F.explode("prefix").alias("shingle"))
-    # doc_id xor shingle orders the texts of each tile in another way, so pivots differ.
-    tiles = members.groupBy("shingle").agg(F.count("*").alias("texts"), F.min(F.expr("doc_id ^ shingle")).alias("_pivot"))
-    tiles = tiles.filter("texts > 1").withColumn("pivot", F.expr("_pivot ^ shingle")).drop("_pivot")
-    tiles = written(members.join(tiles, "shingle"), "tiles")
-
-    pairs = tiles.filter("doc_id <> pivot").select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b"))
-    pairs = written(_bounded(pairs.distinct(), kept, threshold), "pairs")
+    # One text of each class stays: the others are named, as they are fewer, and do not move the rest.
+    full = sets.filter("n_shingles > 0 and doc_id is not null")
+    key = ["n_shingles", "set_a", "set_b"]
+    copies = full.select("doc_id", *key).join(classes.select("class_id", *key), key).filter("doc_id <> class_id").select("doc_id")
+    kept = without(full.select("doc_id", "prefix"), written(copies, "copies"))
+    tiles = written(_tiles(kept.select("doc_id", F.explode("prefix").alias("shingle"))), "tiles")
+
+    pairs = tiles.select("doc_id", F.explode("pivots").alias("pivot")).filter("doc_id <> pivot")
+    pairs = pairs.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b"))
+    pairs = written(_bounded(pairs.distinct(), sets, threshold), "pairs")
     links = _verified(docs, pairs, width, threshold)
     groups = written(components(links).withColumnRenamed("id", "doc_id"), "components")
 
+    # A text goes to all its tiles, with the halved sketch: its bound is looser, and holds as well.
+    short = sets.select("doc_id", "n_shingles", F.col("short").alias("sketch"))
     # In large tiles each text first meets its nearest one of another component only.
     large = _open_tiles(tiles.filter(F.col("texts") > LARGE_TILE), groups)
-    more = written(_cells(large, kept, threshold, nearest=True), "pairs")
+    more = written(_cells(large, short, threshold, nearest=True), "pairs")
     more = written(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     found = _verified(docs, more, width, threshold)
     groups = _joined(groups, found)
 
-    left = written(_cells(_open_tiles(tiles, groups), kept, threshold), "pairs")
+    left = written(_cells(_open_tiles(tiles, groups), short, threshold), "pairs")
     left = written(left.join(pairs.union(more), ["a", "b"], "left_anti"), "pairs")
     if not left.isEmpty():
         found = _verified(docs, left, width, threshold)

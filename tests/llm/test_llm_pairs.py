@@ -137,6 +137,40 @@ def test_cells_find_what_the_pairwise_bound_lets_pass(spark, cell):
     assert {tuple(r) for r in got.collect()} == expected and expected
 
 
+def test_tiles_of_the_same_texts_are_one(spark):
+    rng = random.Random(4)
+    some = [rng.sample(range(30), rng.choice((1, 2, 2, 3, 9))) for _ in range(25)]
+    tiles = {rng.getrandbits(63) - (1 << 62): frozenset(rng.choice(some)) for _ in range(300)}
+    rows = [(doc, shingle) for shingle, texts in tiles.items() for doc in texts]
+    got = N._tiles(spark.createDataFrame([*rows, (None, 5), (None, 6)], "doc_id long, shingle long").repartition(5)).collect()
+    held = {}
+    for r in got:
+        assert r.texts == len(tiles[r.shingle]) and set(r.pivots) <= tiles[r.shingle] and 1 <= len(r.pivots) <= 2
+        held.setdefault(r.shingle, []).append(r.doc_id)
+    several = [(k, t) for k, t in tiles.items() if len(t) > 1]
+    first = {t: min(k for k, u in several if u == t) for _, t in several}
+    assert {k: sorted(v) for k, v in held.items()} == {k: sorted(t) for t, k in first.items()}
+
+
+def test_bounds_carry_sketches_of_fitting_sizes_only(spark):
+    sets = spark.createDataFrame([(d, n, bytes(8)) for d, n in ((1, 10), (2, 9), (3, 40))], "doc_id long, n_shingles long, sketch binary")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "a long, b long")
+    found = N._bounded(pairs, sets, (80, 100))
+    assert [tuple(r) for r in found.collect()] == [(1, 2)]
+    joins = [x for x in found._jdf.queryExecution().analyzed().toString().split("\n") if re.search(r"^[\s:+-]*(Join|Filter)", x)]
+    assert "Join" in joins[0] and "Filter" in joins[1]  # a sketch of one side joins behind the filter of sizes
+
+
+def test_halved_sketch_is_that_of_fewer_bits(monkeypatch):
+    rng = np.random.default_rng(5)
+    for n in (3, 40, 700):
+        hashes = rng.integers(0, 1 << 62, n).astype(np.uint64)
+        half = N.halved(N.odd_sketch(hashes))
+        monkeypatch.setattr(N, "SKETCH_SPREAD", 1)
+        assert len(half) == max(8, len(N.odd_sketch(hashes))) and half == N.odd_sketch(hashes)
+        monkeypatch.setattr(N, "SKETCH_SPREAD", 2)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 30)] + [(40, 41), (41, 40), (50, 50), (60, 61), (60, 62), (60, 63), (None, 7)]
     got = {r.id: r.component_id for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
