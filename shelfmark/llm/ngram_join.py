@@ -12,8 +12,11 @@ Texts whose word-shingle sets reach a Jaccard similarity are linked; linked text
    tiles with the text whose sketch is nearest; links found are joined to components.
 4. Tiles that still hold texts of several components are cut into bounded cells, and all
    pairs of different components and fitting sizes (the size bands) are bounded from above
-   by the bits in which their sketches differ: that many shingles differ at least.
-5. Pairs that pass are compared exactly on their sorted arrays.
+   by the bits in which their sketches differ: that many shingles differ at least. Of the
+   pairs that pass, only a tree over their texts leaves a cell, so fewer rows than texts.
+5. Trees that meet make a cluster: it holds both texts of each pair that passed. In a
+   cluster all pairs whose sizes fit are compared exactly on their sorted arrays, each in
+   one bounded cell; of the links, again only a tree over components leaves a cell.
 6. For the number of links, all pairs of each component whose sizes fit are compared
    exactly, each in one bounded cell; only counts per text leave a cell.
 
@@ -219,12 +222,22 @@ def _tiles(members: DataFrame) -> DataFrame:
     return spread.join(kept.select("shingle", "texts", "pivots"), "shingle")
 
 
+def _grown(tree: np.ndarray, one: int, others: np.ndarray) -> np.ndarray:
+    """Of each tree among ``others`` its first, but for the tree of ``one``, which all of them become part of."""
+    trees, first = np.unique(tree[others], return_index=True)
+    first = first[trees != tree[one]]
+    tree[np.isin(tree, trees)] = tree[one]
+    return others[first]
+
+
 def _cells(
-    tiles: DataFrame, sets: DataFrame, threshold: tuple[int, int], cell: int = CELL_TEXTS, nearest: bool = False
-) -> DataFrame:
+    tiles: DataFrame, sets: DataFrame, threshold: tuple[int, int], cell: int = CELL_TEXTS, nearest: bool = False,
+    spanning: bool = False,
+) -> DataFrame:
     """Pairs of different components within a tile that size bands and sketches let pass.
 
     With ``nearest``, of these only one per text and cell: the one whose sketch differs least.
+    With ``spanning``, only so many per cell that they connect the texts which all of them connect.
     """
     above, below = threshold
     rows = tiles.join(sets.select("doc_id", "n_shingles", "sketch"), "doc_id")
@@ -235,7 +248,7 @@ def _cells(
         "shingle", F.least("_part", "_other").alias("low"), F.greatest("_part", "_other").alias("high"),
         F.col("_part").alias("part"), "doc_id", "n_shingles", "component_id", "sketch",
     )
-    rows = rows.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high")
+    rows = rows.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high", "doc_id")
 
     def within(rows: list[dict]) -> Iterator[tuple[int, int]]:
         if len(rows) < 2:
@@ -250,6 +263,7 @@ def _cells(
         spot = np.empty(len(rows), np.int64)
         for at in places.values():
             spot[at] = np.arange(len(at))
+        tree = np.arange(len(rows))
         for k in range(len(rows)):
             own, best = int(lengths[k]), None
             for length, shared in ((own, own), (2 * own, own), (own // 2, own // 2)):
@@ -261,6 +275,8 @@ def _cells(
                     fits &= at > k
                 if split:
                     fits &= part[at] != part[k]
+                if spanning:
+                    fits &= tree[at] != tree[k]
                 fits = np.flatnonzero(fits)
                 if len(fits):
                     apart = np.bitwise_count(folded[length, shared][fits] ^ folded[own, shared][spot[k]]).sum(axis=1).astype(np.int64)
@@ -272,7 +288,8 @@ def _cells(
                         if passed[least] and (best is None or share[least] < best[0]):
                             best = (share[least], int(at[fits[least]]))
                         continue
-                    for j in at[fits[passed]].tolist():
+                    others = at[fits[passed]]
+                    for j in (_grown(tree, k, others) if spanning else others).tolist():
                         yield int(min(ids[k], ids[j])), int(max(ids[k], ids[j]))
             if best is not None:
                 yield int(min(ids[k], ids[best[1]])), int(max(ids[k], ids[best[1]]))
@@ -316,8 +333,8 @@ def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
     return written(rows.select("doc_id", F.coalesce("_low", "component_id").alias("component_id")), "components")
 
 
-def _linked(sets: list[np.ndarray], side: np.ndarray | None, copies: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
-    """For each set the copies of all sets (with sides, of those of the other side) that it reaches the threshold with."""
+def _linked(sets: list[np.ndarray], side: np.ndarray | None, threshold: tuple[int, int]) -> np.ndarray:
+    """Whether each set reaches the threshold with each other set (with sides, with those of the other side)."""
     above, below = threshold
     sizes = np.array([len(s) for s in sets])
     _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -337,14 +354,14 @@ def _linked(sets: list[np.ndarray], side: np.ndarray | None, copies: np.ndarray,
     np.fill_diagonal(link, False)
     if side is not None:
         link &= side[:, None] != side
-    return link.astype(np.int64) @ copies
+    return link
 
 
-def _link_counts(docs: DataFrame, members: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
-    """(class_id, n_links): the texts of other classes that a class is linked with.
+def _by_cell(docs: DataFrame, members: DataFrame, own: str, compare, schema: str, width: int, threshold: tuple[int, int]) -> DataFrame:
+    """The rows that ``compare`` makes of each bounded cell, from its class ids, sides, values of ``own`` and sets.
 
-    ``members`` has class_id, component_id, n_shingles and copies. Linked texts lie in one component, so
-    its classes are compared there: in bands of sizes, of which a link joins at most neighbours.
+    ``members`` has class_id, component_id, n_shingles and ``own``, a bigint. All pairs of classes of a
+    component whose sizes fit meet in one cell: in bands of sizes, of which a link joins at most neighbours.
     """
     above, below = threshold
     weight = F.sum("n_shingles") * 8
@@ -374,27 +391,26 @@ def _link_counts(docs: DataFrame, members: DataFrame, width: int, threshold: tup
             side.cast("int").alias("side"),
         )
 
-    own, part = F.col("band"), F.col("part")
+    band, part = F.col("band"), F.col("part")
     in_cells = F.concat(
-        cells("parts", lambda q: cell(own, False, F.least(part, q), F.greatest(part, q), part)),
-        cells("up", lambda q: cell(own, True, part, q, F.lit(0))),
-        cells("down", lambda q: cell(own - 1, True, q, part, F.lit(1))),
+        cells("parts", lambda q: cell(band, False, F.least(part, q), F.greatest(part, q), part)),
+        cells("up", lambda q: cell(band, True, part, q, F.lit(0))),
+        cells("down", lambda q: cell(band - 1, True, q, part, F.lit(1))),
     )
     arrays = _arrays(docs, rows.select(F.col("class_id").alias("doc_id")), width).withColumnRenamed("doc_id", "class_id")
-    rows = rows.select("class_id", "component_id", "copies", in_cells.alias("_cells")).join(arrays, "class_id")
-    rows = rows.select("class_id", "component_id", "copies", "hashes", F.explode("_cells").alias("_cell")).select(
-        "component_id", "_cell.*", "class_id", "copies", "hashes"
+    rows = rows.select("class_id", "component_id", own, in_cells.alias("_cells")).join(arrays, "class_id")
+    rows = rows.select("class_id", "component_id", own, "hashes", F.explode("_cells").alias("_cell")).select(
+        "component_id", "_cell.*", "class_id", own, "hashes"
     )
     place = ["component_id", "first", "across", "low", "high"]
     rows = rows.repartition(*place).sortWithinPartitions(*place)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def settled() -> Iterator[pa.RecordBatch]:
             if len(held) > 1:
-                ids, sides, copies, sets = zip(*held)
+                ids, sides, owns, sets = zip(*held)
                 side = np.array(sides) if key[2] or key[3] != key[4] else None
-                counted = _linked(list(sets), side, np.array(copies, np.int64), threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counted)], ["class_id", "links"])
+                yield compare(np.array(ids, np.int64), side, np.array(owns, np.int64), list(sets))
 
         key, held = None, []
         for batch in batches:
@@ -404,11 +420,49 @@ def _link_counts(docs: DataFrame, members: DataFrame, width: int, threshold: tup
                 if now != key:
                     yield from settled()
                     key, held = now, []
-                held.append((row["class_id"], row["side"], row["copies"], np.frombuffer(hashes[at].as_buffer(), np.uint64)))
+                held.append((row["class_id"], row["side"], row[own], np.frombuffer(hashes[at].as_buffer(), np.uint64)))
         yield from settled()
         give_back_memory()
 
-    return rows.mapInArrow(count, "class_id bigint, links bigint").groupBy("class_id").agg(F.sum("links").alias("n_links"))
+    return rows.mapInArrow(each, schema)
+
+
+def _link_counts(docs: DataFrame, members: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
+    """(class_id, n_links): the texts of other classes that a class is linked with.
+
+    ``members`` has class_id, component_id, n_shingles and copies; linked texts lie in one component.
+    """
+
+    def count(ids: np.ndarray, side: np.ndarray | None, copies: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+        counted = _linked(sets, side, threshold).astype(np.int64) @ copies
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counted)], ["class_id", "links"])
+
+    counts = _by_cell(docs, members, "copies", count, "class_id bigint, links bigint", width, threshold)
+    return counts.groupBy("class_id").agg(F.sum("links").alias("n_links"))
+
+
+def _cluster_links(
+    docs: DataFrame, trees: DataFrame, sets: DataFrame, groups: DataFrame, width: int, threshold: tuple[int, int]
+) -> DataFrame:
+    """Links (a, b) that connect the components which all links within clusters connect.
+
+    ``trees`` are pairs (a, b); the texts that they connect are a cluster.
+    """
+
+    def connect(ids: np.ndarray, side: np.ndarray | None, group: np.ndarray, sets: list[np.ndarray]) -> pa.RecordBatch:
+        found = []
+        if (group != group[0]).any():
+            tree = group.copy()
+            for k, link in enumerate(_linked(sets, side, threshold)):
+                found += [(ids[k], ids[j]) for j in _grown(tree, k, np.flatnonzero(link & (tree != tree[k])))]
+        a, b = zip(*found) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    clusters = written(components(trees), "clusters").withColumnRenamed("id", "class_id")
+    members = clusters.join(sets.select(F.col("doc_id").alias("class_id"), "n_shingles"), "class_id")
+    own = groups.select(F.col("doc_id").alias("class_id"), F.col("component_id").alias("group"))
+    members = members.join(own, "class_id", "left").withColumn("group", F.coalesce("group", "class_id"))
+    return written(_by_cell(docs, members, "group", connect, "a bigint, b bigint", width, threshold), "links")
 
 
 def ngram_groups(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (80, 100), with_links: bool = True) -> DataFrame:
@@ -446,10 +500,9 @@ def ngram_groups(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (
     found = _verified(docs, more, width, threshold)
     groups = _joined(groups, found)
 
-    left = written(_cells(_open_tiles(tiles, groups), short, threshold), "pairs")
-    left = written(left.join(pairs.union(more), ["a", "b"], "left_anti"), "pairs")
+    left = written(_cells(_open_tiles(tiles, groups), short, threshold, spanning=True), "trees")
     if not left.isEmpty():
-        found = _verified(docs, left, width, threshold)
+        found = _cluster_links(docs, left, sets, groups, width, threshold)
         groups = _joined(groups, found)
 
     groups = groups.withColumnRenamed("doc_id", "class_id")

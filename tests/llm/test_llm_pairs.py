@@ -137,6 +137,41 @@ def test_cells_find_what_the_pairwise_bound_lets_pass(spark, cell):
     assert {tuple(r) for r in got.collect()} == expected and expected
 
 
+@pytest.mark.parametrize("cell", [3, 512])
+def test_near_misses_leave_cells_as_trees(spark, cell, monkeypatch):
+    monkeypatch.setattr(N, "LINK_TEXTS", cell)
+    base = [f"v{i}" for i in range(204)]  # 200 shingles; texts with 24 of their own miss the threshold, those with 20 reach it
+    rows = [(d, " ".join([f"t{d}w{i}" for i in range(own)] + base[own:])) for d in range(60, 0, -1) for own in [20 if d % 7 == 3 else 24]]
+    seen, cells = [], N._cells
+
+    def counted(tiles, *args, **kind):
+        found = cells(tiles, *args, **kind)
+        seen.append((found.count(), tiles.count()))
+        return found
+
+    monkeypatch.setattr(N, "_cells", counted)
+    got = N.ngram_groups(frame(spark, rows), with_links=False).collect()
+    assert sorted(map(tuple, got)) == grouped(rows)
+    assert len({r.component_id for r in got}) == 60 - 9 + 1
+    assert seen[-1][0] and all(pairs <= texts for pairs, texts in seen)
+
+
+def test_trees_connect_what_all_pairs_connect(spark):
+    rng = random.Random(8)
+    rows, sketches = [], []
+    for doc in range(90):
+        x = np.unique(np.array([hash((doc % 4, i)) % (1 << 62) for i in range(300)] + [rng.getrandbits(62) for _ in range(25)], np.uint64))
+        sketches.append((doc, N.odd_sketch(x), len(x)))
+        rows += [(shingle, doc, doc // 3, 90) for shingle in range(6)]
+    tiles = spark.createDataFrame(rows, "shingle long, doc_id long, component_id long, texts long")
+    sets = spark.createDataFrame(sketches, "doc_id long, sketch binary, n_shingles long")
+    whole = N._cells(tiles, sets, (80, 100))
+    for cell in (1000, 20):
+        trees = N._cells(tiles, sets, (80, 100), cell, spanning=True)
+        assert sorted(components(trees).collect()) == sorted(components(whole).collect())
+    assert N._cells(tiles, sets, (80, 100), spanning=True).count() < 90 < whole.count()
+
+
 def test_tiles_of_the_same_texts_are_one(spark):
     rng = random.Random(4)
     some = [rng.sample(range(30), rng.choice((1, 2, 2, 3, 9))) for _ in range(25)]
