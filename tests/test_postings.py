@@ -96,3 +96,43 @@ def test_numbers_are_dense_and_stay(spark, parts):
 def test_numbers_follow_a_sort(spark):
     rows = spark.range(500).selectExpr("id", "id * 7919 % 500 as key").repartition(6).orderBy("key")
     assert all(r.no == r.key for r in numbered(rows, "no").collect())
+
+
+def test_only_the_best_of_a_range_leave_its_task(spark):
+    """All scores of all queries are more than the index."""
+    rows = [(f"d{i:05}", "common " * (1 + i % 7) + f"own{i} " * (i % 5)) for i in range(2000)]
+    index = P.build_postings(spark.createDataFrame(rows, "dataset_id string, content string").repartition(3), 50, buckets=4)
+    asked = spark.createDataFrame([("q", "common"), ("r", "common common own77")], "query_id string, query string")
+    _, scored, _ = P.choose_ranges(index, P._weights(index, asked), 2, first_ranges=100)
+    by_query = {q: sorted((h.score for h in scored.filter(F.col("query_id") == q).collect()), reverse=True) for q in "qr"}
+    # Equal scores of the last stay, and 2,000 texts have but 35 scores.
+    assert all(2 <= len(s) < 500 for s in by_query.values())
+    best = brute(rows, [("q", "common"), ("r", "common common own77")], 2)
+    assert sorted((q, round(s, 6)) for q, scores in by_query.items() for s in scores[:2]) == sorted((q, s) for q, _, _, s in best)
+
+
+@pytest.mark.parametrize(("most_terms", "block_parts", "broadcast"), [(60, 7, 0), (1 << 20, 1 << 20, 100_000)])
+def test_lists_equal_counts_of_the_texts(spark, corpus, monkeypatch, most_terms, block_parts, broadcast):
+    """Long texts end a range early; parts, blocks of queries and weights are bounded without a change to the hits."""
+    monkeypatch.setattr(P, "RANGE_TERMS", most_terms)
+    monkeypatch.setattr(P, "BLOCK_PARTS", block_parts)
+    monkeypatch.setattr(P, "BROADCAST_WEIGHTS", broadcast)
+    monkeypatch.setattr(P, "SPAN_QUERIES", 4)
+    rows, queries = corpus
+    rows = [*rows, ("again", "w1 w1 w9"), ("again", "w1 w1 w9"), (None, "w2 w9")]
+    index = P.build_postings(spark.createDataFrame(rows, "dataset_id string, content string").repartition(3), 16, buckets=4)
+    texts = {r.doc_no: r for r in index.documents.collect()}
+    assert len(texts) == len(rows) and sorted(r.dataset_id or "" for r in texts.values()) == sorted(d or "" for d, _ in rows)
+    held = index.lists.collect()
+    assert len({(r.term, r.range) for r in held}) == len(held) and all(r.n == len(r.offsets) <= 16 for r in held)
+    got = Counter()
+    for r in held:
+        for offset, tf, length in zip(r.offsets, r.tfs, r.lens):
+            assert texts[r.range * 16 + offset].doc_len == length
+            got[r.term, texts[r.range * 16 + offset].dataset_id, tf] += 1
+    counted = [(d, Counter(re.findall(r"\w+", (t or "").lower()))) for d, t in rows]
+    assert got == Counter((term, d, tf) for d, c in counted for term, tf in c.items())
+    assert {r.term: r.df for r in index.terms.collect()} == Counter(t for _, c in counted for t in c)
+    asked = spark.createDataFrame(queries, "query_id string, query string")
+    hits = [(h.query_id, h.rank, h.dataset_id or "", round(h.score, 6)) for h in P.search_postings(index, asked, 5).collect()]
+    assert sorted(hits) == brute([(d or "", t) for d, t in rows], queries, 5)
